@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing
+from . import decontaminate, language, packing, quality, sharding, urls
 
 _MODULES = {
     "op1_suffix_decontamination": decontaminate,
+    "op2_line_frequency": quality,
     "op4_spfhp_packing": packing,
+    "op5_histogram_sort": sharding,
+    "op8_association_rules": urls,
     "op9_language_ppm": language,
 }
 
