@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, sharding, urls
+from . import decontaminate, language, packing, quality, sharding, suffix_dedup, urls
 
 _MODULES = {
     "op1_suffix_decontamination": decontaminate,
@@ -11,6 +11,7 @@ _MODULES = {
     "op5_histogram_sort": sharding,
     "op8_association_rules": urls,
     "op9_language_ppm": language,
+    "op10_column_suffixes": suffix_dedup,
 }
 
 
