@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, sharding, suffix_dedup, urls
+from . import decontaminate, jaccard, language, packing, quality, sharding, suffix_dedup, urls
 
 _MODULES = {
     "op1_suffix_decontamination": decontaminate,
     "op2_line_frequency": quality,
+    "op3_jaccard_join": jaccard,
     "op4_spfhp_packing": packing,
     "op5_histogram_sort": sharding,
     "op8_association_rules": urls,
