@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import materialise
 from tidemark.llm.decontaminate import decontamination_stage
+from tidemark.llm.jaccard import jaccard_stage
 from tidemark.llm.language import language_stage
 from tidemark.llm.packing import packing_stage
+from tidemark.llm.suffix_dedup import suffix_stage
 
 STAGES = [
     ("language", language_stage),
+    ("jaccard", jaccard_stage),
+    ("suffixes", suffix_stage),
     ("decontaminate", decontamination_stage),
     ("pack", packing_stage),
 ]
