@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, packing, quality, sharding, suffix_dedup, urls
+from . import decontaminate, jaccard, language, licenses, packing, passages, quality, sharding, suffix_dedup, urls
 
 _MODULES = {
     "op1_suffix_decontamination": decontaminate,
@@ -10,6 +10,8 @@ _MODULES = {
     "op3_jaccard_join": jaccard,
     "op4_spfhp_packing": packing,
     "op5_histogram_sort": sharding,
+    "op6_patience_licenses": licenses,
+    "op7_compact_windows": passages,
     "op8_association_rules": urls,
     "op9_language_ppm": language,
     "op10_column_suffixes": suffix_dedup,
