@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import market, streams, sql
+
 
 def queries() -> dict:
-    return {}
+    return dict(market.QUERIES) | dict(streams.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
