@@ -13,8 +13,8 @@ whole collection as the longest document has bytes.  Here it runs over small ali
    stretch a round: a stable sort by symbol of the order so far gives the order of all suffixes that
    begin at the column, and the common prefixes of neighbours follow from the previous ones.  A window
    is repeated where its suffix shares ``length`` bytes or more with a neighbour.
-4. Anchors with more than ``HOT`` stretches would fill a task.  Their windows are hashed to 128 bits
-   and counted by Spark instead, map-side first.
+4. Anchors with more than ``HOT`` stretches would fill a task.  Their windows are hashed to 96 bits
+   instead and meet by hash, those that repeat in a task being settled there first.
 
 Rows: null and empty texts keep nothing and lose nothing.  Repeated rows and equal texts repeat each
 other: all of their windows go, in each copy.  Texts shorter than ``length`` are kept.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import common as C
@@ -32,6 +33,8 @@ LENGTH = 400
 GRAM = 32
 HOT = 1000
 CHUNK = 2 << 20
+#: Bytes of input for each task that windows are dealt to.
+DEAL_BYTES = 8 << 20
 PLACE_BITS = np.uint64(24)
 TABLE = C.byte_table(10)
 STRETCH = T.ArrayType(T.StructType([T.StructField("anchor", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in ("first", "last", "place"))]))
@@ -201,33 +204,97 @@ def _parts(anchors: np.ndarray, places: np.ndarray):
         at = to
 
 
-def by_hashes(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of many stretches: windows hashed, counted and joined by Spark."""
+WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u4"), ("text", "<u4"), ("start", "<i4"), ("many", "u1")])
+
+
+def by_hashes(rows: DataFrame, length: int, tasks: int) -> DataFrame:
+    """The same for anchors of many stretches: windows are hashed to 96 bits and meet by hash.
+
+    What repeats among a task's own windows is settled there and goes on as ranges; of each hash one
+    window goes on, packed, and only those that were alone in their task are answered."""
     other = C.byte_table(11)
+    back = pow(int(C.POWER), -1, 1 << 64)
+    names = ["dest", "h1", "h2", "start", "end", "texts", "windows"]
 
     def work(batches):
+        for piece in C.gather(batches, "raw", 1 << 19):
+            data, places = C.flat(piece.column("raw"))
+            windows = np.diff(places) - length + 1
+            row = np.repeat(np.arange(len(piece)), windows)
+            start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            at = places[row] + start
+            with np.errstate(over="ignore"):
+                weight = C.powers(len(data))
+                undo = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(data), back, np.uint64)]))
+                w1, w2 = (C.mix((total[at + length] - total[at]) * undo[at]) for total in (np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[data] * weight)]) for t in (TABLE, other)))
+            order = np.lexsort((w2, w1))
+            new = np.ones(len(order), bool)
+            new[1:] = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
+            lead = np.flatnonzero(new)
+            count = np.diff(np.append(lead, len(order)))
+            first = piece.column("first").to_numpy().astype(np.int64)
+            twice = np.zeros((len(piece), int(windows.max(initial=1))), bool)
+            again = order[np.repeat(count > 1, count)]
+            twice[row[again], start[again]] = True
+            r, a, b = ranges_of(twice, first, length)
+            own, none = pa.array(r), pa.nulls(len(r), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(r % tasks, pa.int32()), piece.column("h1").take(own), piece.column("h2").take(own), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), none, none], names=names)
+            one = order[lead]
+            packed = np.empty(len(one), WINDOW)
+            packed["w1"], packed["w2"], packed["text"], packed["start"], packed["many"] = w1[one], w2[one] >> np.uint64(32), row[one], first[row[one]] + start[one], count > 1
+            dest = (w1[one] % np.uint64(tasks)).astype(np.int64)
+            order = np.argsort(dest, kind="stable")
+            edges = np.flatnonzero(np.diff(dest[order], prepend=-1))
+            keys = np.stack([piece.column("h1").to_numpy(), piece.column("h2").to_numpy()], axis=1)
+            out = []
+            for x, y in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+                part = packed[order[x:y]]
+                used, part["text"] = np.unique(part["text"], return_inverse=True)
+                out.append((int(dest[order[x]]), keys[used].astype("<i8").tobytes(), part.tobytes()))
+            none = pa.nulls(len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), none, none, none.cast(pa.int32()), none.cast(pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=names)
+
+    def solve(held):
+        keys = [np.frombuffer(t, "<i8").reshape(-1, 2) for t, _ in held]
+        parts = [np.frombuffer(w, WINDOW).copy() for _, w in held]
+        base = 0
+        for k, p in zip(keys, parts, strict=True):
+            p["text"] += base
+            base += len(k)
+        keys, whole = np.concatenate(keys), np.concatenate(parts)
+        whole = whole[np.lexsort((whole["w2"], whole["w1"]))]
+        same = (whole["w1"][1:] == whole["w1"][:-1]) & (whole["w2"][1:] == whole["w2"][:-1])
+        again = np.zeros(len(whole), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        asked = whole[again & (whole["many"] == 0)]
+        asked = asked[np.lexsort((asked["start"], asked["text"]))]
+        if not len(asked):
+            return
+        # neighbours of one text go on as one range
+        new = np.ones(len(asked), bool)
+        new[1:] = (asked["text"][1:] != asked["text"][:-1]) | (asked["start"][1:] > asked["start"][:-1] + length)
+        first = np.flatnonzero(new)
+        end = asked["start"][np.append(first[1:], len(asked)) - 1] + length
+        own = keys[asked["text"][first]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[:, 0])), pa.array(np.ascontiguousarray(own[:, 1])), pa.array(asked["start"][first]), pa.array(end.astype(np.int32))], names=names[1:5])
+
+    def meet(batches):
+        held, at = [], None
         for batch in batches:
-            for piece in C.pieces(batch, "raw", 1 << 17):
-                data, places = C.flat(piece.column("raw"))
-                windows = np.diff(places) - length + 1
-                row = np.repeat(np.arange(len(piece)), windows)
-                start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-                at = places[row] + start
-                with np.errstate(over="ignore"):
-                    weight = C.powers(len(data))
-                    back = pow(int(C.POWER), -1, 1 << 64)
-                    undo = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(data), back, np.uint64)]))
-                    out = []
-                    for table in (TABLE, other):
-                        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * weight)])
-                        out.append(C.mix((total[at + length] - total[at]) * undo[at]).view(np.int64))
-                own = pa.array(row)
-                first = piece.column("first").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), piece.column("h1").take(own), piece.column("h2").take(own), pa.array((first + start).astype(np.int32))], names=["w1", "w2", "h1", "h2", "start"])
-
-    windows = C.mapped(rows, work, "w1 bigint, w2 bigint, h1 bigint, h2 bigint, start int")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return windows.join(twice, ["w1", "w2"]).select("h1", "h2", "start", (F.col("start") + length).alias("end"))
+            settled = batch.column("windows").is_null()
+            yield batch.filter(settled).select(names[1:5])
+            for dest, texts, windows in zip(*(batch.filter(pa.compute.invert(settled)).column(n).to_pylist() for n in ("dest", "texts", "windows")), strict=True):
+                if held and dest != at:
+                    yield from solve(held)
+                    held = []
+                at = dest
+                held.append((texts, windows))
+        if held:
+            yield from solve(held)
+
+    packed = C.mapped(rows, work, "dest int, h1 bigint, h2 bigint, start int, end int, texts binary, windows binary")
+    return C.mapped(packed.repartition(tasks, "dest").sortWithinPartitions("dest"), meet, RANGES)
 
 
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -263,7 +330,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int
                 yield pa.RecordBatch.from_arrays([anchors[a:to], pa.array([key[0]] * len(parts), pa.int64()), pa.array([key[1]] * len(parts), pa.int64()), firsts[a:to], at[a:to], n[a:to], pa.array(parts, pa.binary())], names=["anchor", "h1", "h2", "first", "place", "n", "raw"])
 
     rows = C.materialise(C.mapped(joined, cut, "anchor bigint, h1 bigint, h2 bigint, first int, place int, n bigint, raw binary"), "anchored")
-    ranges = by_columns(rows.where(F.col("n") <= hot).drop("n"), length).unionByName(by_hashes(rows.where(F.col("n") > hot).select("h1", "h2", "first", "raw"), length))
+    ranges = by_columns(rows.where(F.col("n") <= hot).drop("n"), length).unionByName(by_hashes(rows.where(F.col("n") > hot).select("h1", "h2", "first", "raw"), length, max(12, -(-C.input_bytes(docs) // DEAL_BYTES))))
     copied = found.where("copies > 1").select("h1", "h2", F.lit(0).alias("start"), (F.element_at("found", -1)["last"] + length).alias("end"))
     merged = F.aggregate(
         F.array_sort(F.collect_list(F.struct("start", "end"))), F.expr("cast(array() as array<struct<start:int,end:int>>)"),
