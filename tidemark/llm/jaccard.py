@@ -13,7 +13,7 @@ signatures meets there, so only short sets need the dearer ones.
 Signatures are dealt to tasks as packed arrays; a task sorts its own and keeps each different set of
 documents that share one.  From these groups: (1) every member with the group's least id, verified
 on the exact sets; components of these links; (2) in groups that still hold several components, all
-pairs across components.  Pairs inside a component need no check: its documents are connected.
+pairs across components that sizes and parity sketches do not rule out.  Pairs inside a component need no check: its documents are connected.
 
 Rows: null, empty and wordless texts have no shingles and link with nothing.  Texts of fewer words
 than a shingle are one shingle.  Equal sets are merged before the join, so copies never pair up.
@@ -110,16 +110,27 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
         return int(shingles.sum().view(np.int64)), int(np.bitwise_xor.reduce(C.mix(shingles)).view(np.int64))
 
 
+#: 64-bit words of a set's parity sketch: each shingle flips one bit, so the bits that two sketches
+#: differ in are no more than the shingles that their sets differ in.
+SKETCH = 8
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    bits = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def set_table(rows: DataFrame, size: int) -> DataFrame:
-    """(id, key, n, s1, s2) for rows (id, key, raw)."""
+    """(id, key, n, s1, s2, p0 …) for rows (id, key, raw): the set's size, name and sketch."""
 
     def work(batches):
         for batch in batches:
             for piece in C.pieces(batch, "raw", CHUNK):
-                sets = [(len(x), *set_key(x)) for x in shingle_sets(*C.flat(piece.column("raw")), size)]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("key"), *(pa.array([s[k] for s in sets], pa.int64()) for k in range(3))], names=["id", "key", "n", "s1", "s2"])
+                sets = np.array([(len(x), *set_key(x), *parity(x)) for x in shingle_sets(*C.flat(piece.column("raw")), size)], np.int64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("key"), *(pa.array(np.ascontiguousarray(c)) for c in sets.T)], names=["id", "key", *names])
 
-    return C.mapped(rows, work, f"id bigint, key {rows.schema['key'].dataType.simpleString()}, n bigint, s1 bigint, s2 bigint")
+    names = ["n", "s1", "s2", *(f"p{k}" for k in range(SKETCH))]
+    return C.mapped(rows, work, f"id bigint, key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def groups(rows: DataFrame, size: int, threshold: int, tasks: int) -> DataFrame:
@@ -242,14 +253,20 @@ def links(rows: DataFrame, sets: DataFrame, size: int, threshold: int) -> DataFr
     labels = components(first)
     named = runs.join(labels, "id", "left").select("run", "id", F.coalesce("label", "id").alias("label"))
     mixed = named.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("run")
-    open_runs = named.join(mixed, "run").join(sets.groupBy("id").agg(F.max("n").alias("most"), F.min("n").alias("least")), "id")
-    open_runs = C.materialise(open_runs, "open")
+    bits = [f"p{k}" for k in range(SKETCH)]
+    # an id with several texts has no single sketch: its pairs are verified unseen
+    known = sets.groupBy("id").agg(F.min("n").alias("n"), *(F.first(p).alias(p) for p in bits), ((F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))).alias("many"))
+    open_runs = C.materialise(named.join(mixed, "run").join(known, "id"), "open")
     if open_runs.isEmpty():
         return labels
-    left = open_runs.select("run", F.col("id").alias("a"), F.col("label").alias("la"), F.col("most").alias("ma"), F.col("least").alias("na"))
-    right = open_runs.select("run", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("most").alias("mb"), F.col("least").alias("nb"))
-    near = (F.col("ma") * 100 >= F.col("nb") * threshold) & (F.col("mb") * 100 >= F.col("na") * threshold)
-    cross = left.join(right, (left["run"] == right["run"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
+    left = open_runs.select("run", *(F.col(c).alias(f"a_{c}") for c in open_runs.columns if c != "run"))
+    right = open_runs.select(F.col("run").alias("other"), *(F.col(c).alias(f"b_{c}") for c in open_runs.columns if c != "run"))
+    total = F.col("a_n") + F.col("b_n")
+    most = total - 2 * F.ceil(total * threshold / (100 + threshold))
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in bits[1:]), F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))))
+    near = F.col("a_many") | F.col("b_many") | ((F.abs(F.col("a_n") - F.col("b_n")) <= most) & (differ <= most))
+    pairs = left.join(right, (F.col("run") == F.col("other")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_label") != F.col("b_label")) & near)
+    cross = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
     cross = C.materialise(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     second = C.materialise(verified(cross, rows, size, threshold), "links2")
     if second.isEmpty():
