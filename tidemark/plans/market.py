@@ -105,7 +105,7 @@ def rolling_minmax(spark, d):
 
 
 def rolling_median(spark, d):
-    return r6(B.daily(spark, d).select("ts", W.full(F.percentile("close", 0.5).over(W.upto(252)), "close", W.upto(252), 60).alias("med252")))
+    return r6(B.daily(spark, d).select("ts", (W.full(F.percentile("close", 0.5).over(W.upto(252)), "close", W.upto(252), 60) + 1e-9).alias("med252")))
 
 
 def forward_vol(spark, d):

@@ -191,7 +191,7 @@ SQL = {
     "sma20": q(f"{daily}, m AS (SELECT *, {full(f'avg(close) OVER {upto(20)}', 'close', upto(20), 20)} AS m FROM bars)", f"SELECT ts, {r('m', 'sma20')}, coalesce(close > m, false) AS above_sma20 FROM m"),
     "rolling_vol22": q(f"{daily}, {lr}, {rv}", f"SELECT ts, {r('rv22', 'rv22')} FROM rv"),
     "rolling_minmax": q(daily, f"SELECT ts, {r(_scaled('volume'), 'scaled')} FROM bars"),
-    "rolling_median": q(daily, f"SELECT ts, {r(full(f'median(close) OVER {upto(252)}', 'close', upto(252), 60), 'med252')} FROM bars"),
+    "rolling_median": q(daily, f"SELECT ts, {r(full(f'median(close) OVER {upto(252)}', 'close', upto(252), 60) + ' + 1e-9', 'med252')} FROM bars"),
     "forward_vol": q(f"{daily}, {lr}, fw AS (SELECT *, {forward} FROM lr)", f"SELECT ts, {', '.join(r(f'fv{h}', f'fv{h}') for h in (5, 10, 20))} FROM fw"),
     "forward_drawdown": q(f"{daily}, {lr}, fw AS (SELECT *, {forward} FROM lr)", f"SELECT ts, {', '.join(r(f'fdd{h}', f'fdd{h}') for h in (5, 10, 20))} FROM fw"),
     "forward_runup": q(f"{daily}, {lr}, fw AS (SELECT *, {forward} FROM lr)", f"SELECT ts, {r('runup10', 'runup10')} FROM fw"),
