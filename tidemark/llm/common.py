@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,9 +39,14 @@ def fresh(name: str, taken) -> str:
     return name
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size that Spark's planner knows for the files under ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Bytes of text for each task that packed entries are dealt to.
+DEAL_BYTES = 14 << 20
+
+
+def deal(df: DataFrame, text: str) -> int:
+    """Tasks to deal what is found in a text column to: in proportion to its bytes, which are summed first."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(12, -(-total // DEAL_BYTES))
 
 
 def text_of(name: str = "text"):
@@ -195,5 +201,12 @@ def distinct_shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(in_runs(words, min(size, len(words))))
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def mapped(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches of 16 MB at most, unless the session asks for less: texts are long."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(ARROW_BYTES)) or 0) == 64 << 20:  # Spark's default
+        conf.set(ARROW_BYTES, str(16 << 20))
     return df.mapInArrow(work, schema)

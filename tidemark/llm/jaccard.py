@@ -34,8 +34,7 @@ SHINGLE = 5
 THRESHOLD = 80
 RATIO = 1.3
 SLACK = 1.2
-#: Bytes of input for each task that signatures are dealt to, and of text that is indexed at a time.
-DEAL_BYTES = 8 << 20
+#: Bytes of text that are indexed at a time.
 CHUNK = 3 << 20
 TABLE = C.byte_table(20, lower=True)
 #: Ids of rows without one lie above all others.
@@ -245,7 +244,7 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int, threshold: int) -> Da
 
 def links(rows: DataFrame, sets: DataFrame, size: int, threshold: int) -> DataFrame:
     """(id, label): the components of more than one different set."""
-    tasks = max(12, -(-C.input_bytes(rows) // DEAL_BYTES))
+    tasks = C.deal(rows, "raw")
     runs = C.materialise(groups(rows, size, threshold, tasks), "runs")
     least = runs.groupBy("run").agg(F.min("id").alias("a"))
     stars = C.materialise(runs.join(least, "run").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")

@@ -33,8 +33,6 @@ LENGTH = 400
 GRAM = 32
 HOT = 1000
 CHUNK = 2 << 20
-#: Bytes of input for each task that windows are dealt to.
-DEAL_BYTES = 8 << 20
 PLACE_BITS = np.uint64(24)
 TABLE = C.byte_table(10)
 STRETCH = T.ArrayType(T.StructType([T.StructField("anchor", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in ("first", "last", "place"))]))
@@ -330,7 +328,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int
                 yield pa.RecordBatch.from_arrays([anchors[a:to], pa.array([key[0]] * len(parts), pa.int64()), pa.array([key[1]] * len(parts), pa.int64()), firsts[a:to], at[a:to], n[a:to], pa.array(parts, pa.binary())], names=["anchor", "h1", "h2", "first", "place", "n", "raw"])
 
     rows = C.materialise(C.mapped(joined, cut, "anchor bigint, h1 bigint, h2 bigint, first int, place int, n bigint, raw binary"), "anchored")
-    ranges = by_columns(rows.where(F.col("n") <= hot).drop("n"), length).unionByName(by_hashes(rows.where(F.col("n") > hot).select("h1", "h2", "first", "raw"), length, max(12, -(-C.input_bytes(docs) // DEAL_BYTES))))
+    ranges = by_columns(rows.where(F.col("n") <= hot).drop("n"), length).unionByName(by_hashes(rows.where(F.col("n") > hot).select("h1", "h2", "first", "raw"), length, C.deal(texts, "raw")))
     copied = found.where("copies > 1").select("h1", "h2", F.lit(0).alias("start"), (F.element_at("found", -1)["last"] + length).alias("end"))
     merged = F.aggregate(
         F.array_sort(F.collect_list(F.struct("start", "end"))), F.expr("cast(array() as array<struct<start:int,end:int>>)"),
