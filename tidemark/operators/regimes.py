@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.frames import YEAR, w
 
@@ -184,7 +184,8 @@ def polyline(df: DataFrame, points: int = 100) -> DataFrame:
 
 def step(held: int | None, pending: int | None, count: int, p, hard: float, soft: float, persist: int) -> tuple[int, int | None, int]:
     """One bar of the trigger: (held, pending, count) after posteriors ``p``."""
-    top = int(np.argmax(p))
+    p = list(p)
+    top = p.index(max(p))
     if held is None or top == held:
         return (top if held is None else held), None, 0
     margin = float(p[top]) - float(p[held])
@@ -201,31 +202,25 @@ def check(hard: float, soft: float, persist: int) -> None:
         raise ValueError("hysteresis needs hard >= soft and a persistence of one bar or more")
 
 
-def _fold(series: Column, hard: Column, soft: Column, persist: Column) -> Column:
-    """The held label of each element of array<struct<ts, p>> in order of ts, as array<struct<ts, raw, held>>."""
-    none = F.lit(-1)
-    start = F.struct(none.alias("held"), none.alias("pending"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out"))
-
-    def move(s, x):
-        p = x["p"]
-        top = top_label(p)
-        margin = F.array_max(p) - F.get(p, F.greatest(s["held"], F.lit(0)))
-        calm = (s["held"] == none) | (top == s["held"])
-        count = F.when(s["pending"] == top, s["n"] + 1).otherwise(1)
-        flip = calm | (margin >= hard) | ((margin >= soft) & (count >= persist))
-        wait = ~flip & (margin >= soft)
-        held = F.when(flip, top).otherwise(s["held"])
-        return F.struct(held.alias("held"), F.when(wait, top).otherwise(none).alias("pending"), F.when(wait, count).otherwise(0).alias("n"), F.concat(s["out"], F.array(held)).alias("out"))
-
-    return F.aggregate(series, start, move, lambda s: s["out"])
+def held_labels(p: list, hard: float, soft: float, persist: int) -> list[int]:
+    held, pending, count, out = None, None, 0, []
+    for x in p:
+        held, pending, count = step(held, pending, count, x, hard, soft, persist)
+        out.append(held)
+    return out
 
 
 def hysteresis(df: DataFrame, hard: float = HARD, soft: float = SOFT, persist: int = PERSIST) -> DataFrame:
-    """(ticker, ts, raw, held) from posteriors (ticker, ts, p).  A ticker's bars are one array: the state is sequential."""
+    """(ticker, ts, raw, held) from posteriors (ticker, ts, p).  The state is sequential: a pass over each ticker's bars."""
     check(hard, soft, persist)
-    own = df.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("ts", "p"))).alias("s"))
-    own = own.withColumn("held", _fold(F.col("s"), F.lit(hard), F.lit(soft), F.lit(persist)))
-    return own.select("ticker", F.inline(F.arrays_zip("s", "held"))).select("ticker", "s.ts", top_label(F.col("s.p")).alias("raw"), "held")
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ts")
+        p = [list(x) for x in frame["p"]]
+        out = pd.DataFrame({"ticker": frame["ticker"], "ts": frame["ts"], "raw": [x.index(max(x)) for x in p], "held": held_labels(p, hard, soft, persist)})
+        return out.astype({"raw": "int32", "held": "int32"})
+
+    return df.select("ticker", "ts", "p").groupBy("ticker").applyInPandas(walk, f"ticker string, ts {df.schema['ts'].dataType.simpleString()}, raw int, held int")
 
 
 def flips(df: DataFrame, label: str) -> DataFrame:
@@ -243,19 +238,19 @@ def diagnostics(df: DataFrame) -> DataFrame:
 
 def calibration(df: DataFrame) -> DataFrame:
     """Every setting of the grid on each ticker's posteriors, with its fitness columns and rank."""
-    grid = df.sparkSession.createDataFrame([(h, s, t) for h in HARD_GRID for s in SOFT_GRID for t in PERSIST_GRID if h >= s], "hard double, soft double, persist int")
-    series = df.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("ts", "p"))).alias("s"))
-    own = series.join(F.broadcast(grid)).withColumn("held", _fold(F.col("s"), F.col("hard"), F.col("soft"), F.col("persist")))  # 90 settings
-    own = own.withColumns({"raw": F.transform("s", lambda x: top_label(x["p"])), "n": F.size("s")})
-
-    def changes(c: str) -> Column:
-        pairs = F.arrays_zip(F.slice(c, F.lit(1), F.greatest(F.col("n") - 1, F.lit(0))).alias("a"), F.slice(c, F.lit(2), F.greatest(F.col("n") - 1, F.lit(0))).alias("b"))
-        return F.size(F.filter(pairs, lambda x: x["a"] != x["b"]))
-
-    same = F.size(F.filter(F.arrays_zip(F.col("raw").alias("a"), F.col("held").alias("b")), lambda x: x["a"] == x["b"]))
-    out = own.select("ticker", "hard", "soft", "persist", (changes("raw") * float(YEAR) / F.col("n")).alias("raw_per_year"), (changes("held") * float(YEAR) / F.col("n")).alias("held_per_year"), (same / F.col("n")).alias("agreement"))
+    grid = [(h, s, t) for h in HARD_GRID for s in SOFT_GRID for t in PERSIST_GRID if h >= s]
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        p = [list(x) for x in frame.sort_values("ts")["p"]]
+        raw, n = [x.index(max(x)) for x in p], len(p)
+        flips = lambda v: sum(x != y for x, y in zip(v, v[1:])) * float(YEAR) / n
+        rows = []
+        for hard, soft, persist in grid:
+            held = held_labels(p, hard, soft, persist)
+            rows.append((frame["ticker"].iloc[0], hard, soft, persist, flips(raw), flips(held), sum(x == y for x, y in zip(raw, held)) / n))
+        return pd.DataFrame(rows, columns=["ticker", "hard", "soft", "persist", "raw_per_year", "held_per_year", "agreement"]).astype({"persist": "int32"})
+
+    out = df.select("ticker", "ts", "p").groupBy("ticker").applyInPandas(search, "ticker string, hard double, soft double, persist int, raw_per_year double, held_per_year double, agreement double")
     out = out.withColumns({"in_band": F.col("held_per_year").between(FLIPS_LOW, FLIPS_HIGH), "distance": F.abs(F.col("held_per_year") - (FLIPS_LOW + FLIPS_HIGH) / 2), "width": F.round(F.col("hard") - F.col("soft"), 6)})
-    from pyspark.sql import Window
-
     order = Window.partitionBy("ticker").orderBy(F.desc("in_band"), F.round("distance", 6), "width", "persist", "hard")
     return out.withColumn("place", F.row_number().over(order))

@@ -35,12 +35,13 @@ def exogenous(df: DataFrame) -> DataFrame:
 def variance_path(e2: np.ndarray, omega, alpha, beta, extra=0.0) -> np.ndarray:
     decay = 0.94 ** np.arange(min(75, len(e2)))
     s2 = float((e2[: len(decay)] * decay).sum() / decay.sum())
-    before, out = s2, np.empty(len(e2))
-    extra = np.broadcast_to(np.asarray(extra, float), len(e2))
-    for t in range(len(e2)):
-        s2 = max(omega + (alpha * e2[t - 1] if t else alpha * before) + beta * s2 + extra[t], 1e-12)
-        out[t] = s2
-    return out
+    before, out = s2, []
+    own = [before, *e2.tolist()]
+    more = np.broadcast_to(np.asarray(extra, float), len(e2)).tolist()
+    for e, x in zip(own, more):
+        s2 = max(omega + alpha * e + beta * s2 + x, 1e-12)
+        out.append(s2)
+    return np.array(out)
 
 
 def nelder_mead(f, start: np.ndarray, rounds: int = 500, tolerance: float = 1e-7) -> tuple[np.ndarray, float]:
@@ -182,15 +183,17 @@ def garch(df: DataFrame, mode: str = "spec", rounds: int = 500) -> DataFrame:
 
 def given_variance(df: DataFrame, mu: float, omega: float, alpha: float, beta: float, start: float) -> DataFrame:
     """(ticker, ts, cond_vol, cond_vol_annual) of returns ``pct`` under given parameters, the first variance being ``start``."""
-    own = df.where(F.col("pct").isNotNull()).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("ts", "pct"))).alias("s"))
-    first = F.struct(F.lit(float(start)).alias("s2"), F.expr("cast(array() as array<double>)").alias("out"))
 
-    def move(s, x):
-        e = x["pct"] - mu
-        return F.struct((omega + alpha * e * e + beta * s["s2"]).alias("s2"), F.concat(s["out"], F.array(F.sqrt(s["s2"]))).alias("out"))
-
-    own = own.withColumn("v", F.aggregate("s", first, move, lambda s: s["out"]))
-    out = own.select("ticker", F.inline(F.arrays_zip("s", "v"))).select("ticker", "s.ts", F.col("v").alias("cond_vol"))
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ts")
+        s2, out = float(start), []
+        for x in frame["pct"].tolist():
+            out.append(math.sqrt(s2))
+            s2 = omega + alpha * (x - mu) ** 2 + beta * s2
+        return frame[["ticker", "ts"]].assign(cond_vol=out)
+
+    rows = df.where(F.col("pct").isNotNull()).select("ticker", "ts", "pct")
+    out = rows.groupBy("ticker").applyInPandas(walk, f"ticker string, ts {rows.schema['ts'].dataType.simpleString()}, cond_vol double")
     return out.withColumn("cond_vol_annual", F.col("cond_vol") * math.sqrt(YEAR))
 
 
