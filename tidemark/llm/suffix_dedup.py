@@ -202,6 +202,19 @@ def _parts(anchors: np.ndarray, places: np.ndarray):
         at = to
 
 
+def merged(text: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """Ranges (row, start, end) with those joined that touch and lie in one text (by row); rows of the first stay."""
+    if not len(row):
+        return row, start, end
+    order = np.lexsort((start, text[row]))
+    row, start, end = row[order], start[order], end[order]
+    base = text[row].astype(np.int64) << 40
+    reach = np.maximum.accumulate(base + end)
+    new = np.append(True, base[1:] + start[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    return row[first], start[first], (reach - base)[np.append(first[1:], len(row)) - 1]
+
+
 WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u4"), ("text", "<u4"), ("start", "<i4"), ("many", "u1")])
 
 
@@ -235,6 +248,8 @@ def by_hashes(rows: DataFrame, length: int, tasks: int) -> DataFrame:
             again = order[np.repeat(count > 1, count)]
             twice[row[again], start[again]] = True
             r, a, b = ranges_of(twice, first, length)
+            keys = np.stack([piece.column("h1").to_numpy(), piece.column("h2").to_numpy()], axis=1)
+            r, a, b = merged(np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1))), r, a, b)
             own, none = pa.array(r), pa.nulls(len(r), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(r % tasks, pa.int32()), piece.column("h1").take(own), piece.column("h2").take(own), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), none, none], names=names)
             one = order[lead]
@@ -243,7 +258,6 @@ def by_hashes(rows: DataFrame, length: int, tasks: int) -> DataFrame:
             dest = (w1[one] % np.uint64(tasks)).astype(np.int64)
             order = np.argsort(dest, kind="stable")
             edges = np.flatnonzero(np.diff(dest[order], prepend=-1))
-            keys = np.stack([piece.column("h1").to_numpy(), piece.column("h2").to_numpy()], axis=1)
             out = []
             for x, y in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
                 part = packed[order[x:y]]
