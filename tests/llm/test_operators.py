@@ -124,6 +124,40 @@ def test_jaccard_misses_nothing_near_the_threshold(spark):
     assert {r[0]: (r[1], r[2]) for r in jaccard.similar(docs).select("doc_id", "n", "component").collect()} == brute.components(rows)
 
 
+def test_jaccard_schemes_cover_all_linked_sizes():
+    for threshold in (50, 70, 80, 90):
+        schemes = jaccard.Schemes(threshold, 1000)
+        need = {n: dict(schemes.of(n)) for n in range(1, 400)}
+        for a in need:
+            for b in range(a, min(399, a * 100 // threshold) + 1):
+                differ = jaccard.difference(a, b, threshold)
+                assert any(min(need[a][k], need[b][k]) > differ for k in need[a].keys() & need[b].keys()), (threshold, a, b)
+
+
+def test_jaccard_linked_sizes_meet():
+    rng = np.random.default_rng(5)
+    schemes = jaccard.Schemes(80)
+    for a in range(1, 61):
+        for b in range(a, a * 100 // 80 + 1):
+            differ = jaccard.difference(a, b, 80)
+            extra = (differ - (b - a)) // 2  # replaced on both sides: 0 is a set inside the other
+            for gone in {0, extra}:
+                for _ in range(8):
+                    x = rng.integers(0, 1 << 63, b + gone).astype(np.uint64) * np.uint64(2)
+                    one, two = np.sort(np.append(x[: a - gone], x[b : b + gone])), np.sort(x[:b])
+                    assert len(np.intersect1d(jaccard.signatures(one, schemes), jaccard.signatures(two, schemes))), (a, b, gone)
+
+
+def test_jaccard_links_appended_words(spark):
+    rows = []
+    for n in [*range(5, 33), 37, 42]:
+        for g in range(4):
+            own = [f"v{n}_{g}_{k}" for k in range(n + 1)]
+            rows += [(len(rows), " ".join(own[:-1])), (len(rows) + 1, " ".join(own))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r[0]: (r[1], r[2]) for r in jaccard.similar(docs).select("doc_id", "n", "component").collect()} == brute.components(rows)
+
+
 def test_jaccard_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, "q r s t u v")], "doc_id bigint, text string")
     assert sorted(((r[0], r[2]) for r in jaccard.similar(docs).select("doc_id", "n", "component").collect()), key=repr) == sorted([(None, 3), (3, 3), (None, None)], key=repr)

@@ -23,6 +23,8 @@ the least id of its component, or null.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -50,6 +52,13 @@ def difference(a: int, b: int, threshold: int) -> int:
     return a + b - 2 * -(-threshold * (a + b) // (100 + threshold))
 
 
+@cache
+def widest(low: int, high: int, threshold: int) -> int:
+    """The largest ``difference`` of two sizes whose sum is ``low`` to ``high``.  It isn't monotone in the
+    sum, but grows with every 100 + threshold of it, so the last sums hold the maximum."""
+    return max(difference(s, 0, threshold) for s in range(max(low, high - 99 - threshold), high + 1))
+
+
 class Schemes:
     """Bands by their lower edges, and the number of segments of each band's scheme."""
 
@@ -57,16 +66,16 @@ class Schemes:
         self.threshold, self.edges = threshold, [1]
         while self.edges[-1] < most:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * max(RATIO, 100 / threshold + 0.01))))
-        self.segments = [int(np.ceil(SLACK * (difference(e - 1, e - 1, threshold) + 1))) + 2 for e in self.edges[1:]]
+        self.segments = [int(np.ceil(SLACK * (widest(1, 2 * (e - 1), threshold) + 1))) + 2 for e in self.edges[1:]]
 
     def of(self, n: int) -> list[tuple[int, int]]:
         """(band, signatures needed) for each scheme that cuts a set of ``n``."""
         k = int(np.searchsorted(self.edges, n, "right")) - 1
-        most = n * 100 // self.threshold
+        least, most = -(-n * self.threshold // 100), n * 100 // self.threshold
         top = self.edges[k + 1] - 1
-        out = [(k, difference(n, min(most, top), self.threshold) + 1)]
+        out = [(k, widest(n + least, n + min(most, top), self.threshold) + 1)]
         if most > top:
-            out.append((k + 1, difference(n, most, self.threshold) + 1))
+            out.append((k + 1, widest(n + top + 1, n + most, self.threshold) + 1))
         return out
 
 
