@@ -274,6 +274,43 @@ def test_compact_windows_are_the_long_nodes():
     assert got == want
 
 
+def test_passages_with_edited_words(spark):
+    rng, rows, many = random.Random(6), [], 0
+
+    def fresh(n):
+        return [f"p{rng.random()}" for _ in range(n)]
+
+    for trial in range(120):
+        for n, edits, insert in ((60, 1, True), (52, 1, False), (100, 2, True)):
+            own = fresh(n)
+            other = list(own)
+            for e in range(edits, 0, -1):
+                at = e * n // (edits + 1)
+                other[at : at + (not insert)] = fresh(1)
+            rows += [(many, " ".join(fresh(40) + own + fresh(40))), (many + 1, " ".join(fresh(30) + other + fresh(60)))]
+            many += 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in passages.passage_table(docs).collect()}
+    for kind in range(3):
+        caught = [got[k + 1] == k for k in range(2 * kind, many, 6)]
+        assert sum(caught) >= 0.95 * len(caught), (kind, sum(caught), len(caught))
+
+
+def test_passages_behind_an_unlike_lead(spark):
+    rng, texts = random.Random(7), []
+
+    def fresh(n):
+        return [f"a{rng.random()}" for _ in range(n)]
+
+    for _ in range(40):
+        own = fresh(50)
+        # the first holds two parts of the passage, both too short; the others share all of it
+        texts += [fresh(20) + own[:45] + fresh(30) + own[5:] + fresh(20), fresh(30) + own + fresh(30), fresh(40) + own + fresh(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_passages"], r["class_id"]) for r in passages.passage_table(docs).collect()}
+    assert got == {i: (int(i % 3 > 0), i - (i % 3 == 2)) for i in range(len(texts))}
+
+
 def test_passages_odd_rows(odd):
     got = {r["doc_id"]: r["n_passages"] for r in passages.passage_table(odd[0]).collect()}
     assert got[6] and got[7] and got[8] and got[10] and not got[1] and not got[12]
