@@ -244,6 +244,17 @@ def test_licenses(odd, spark):
     assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def test_licenses_without_their_rarest_word(spark):
+    gone = licenses.TEMPLATES["MIT"].replace("sublicense", "x")
+    texts = [
+        f"{prose(30)} under the MIT License {prose(60)} under the MIT License {prose(300)} released {prose(20)}",
+        f"{prose(40)} {gone} {prose(900)} sublicense {prose(900)}",
+        f"{prose(900)} Released {prose(50)}",
+    ]
+    got = {r["doc_id"]: [x["name"] for x in r["scan"]["licenses"]] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0: ["MIT line"], 1: ["MIT"], 2: []}
+
+
 def test_passages_find_exact_repeats(spark, small):
     runs = collections.defaultdict(set)
     for d, t in small[1]:

@@ -3,8 +3,9 @@
 Words that occur once in the template and once in the stretch of text at hand are anchors; the longest
 run of anchors in the order of both texts stays, and the gaps between them are aligned in the same
 way, equal words at both ends of a gap first.  A template's coverage is the part of its words that is
-aligned.  Stretches of a document are looked at around its rarest word of the template, so a
-license that a text holds twice is found.
+aligned.  Stretches of a document are looked at around as many of its rarest words of the template as
+no match at the coverage can do without, so a license that a text holds twice is found, and so is an
+edited one whose rarest word stands elsewhere.
 
 A template can only be covered if enough of its words occur at all; that exact test spares most
 alignments.  Documents are read whole, one by one, without a shuffle.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -86,23 +88,36 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def best_match(template: list[str], text: list[str], where: dict[str, list[int]]) -> tuple[float, int, int]:
-    """(coverage, first word, end) of the best stretch of the text."""
-    rare = min((w for w in set(template) if w in where), key=lambda w: (len(where[w]), w), default=None)
+def best_match(template: list[str], text: list[str], where: dict[str, list[int]], coverage: float = COVERAGE) -> tuple[float, int, int]:
+    """(coverage, first word, end) of the best stretch of the text.
+
+    A match leaves out (1 - coverage) of the template's places at most, so it holds one of any words
+    that stand at more places than that: the rarest such words are looked around."""
+    count, spare = Counter(template), len(template) - ceil(coverage * len(template) - 1e-9)
+    rare, places = [], set()
+    for w in sorted(count, key=lambda w: (len(where.get(w, ())), w)):
+        rare.append(w)
+        places.update(where.get(w, ()))
+        spare -= count[w]
+        if spare < 0:
+            break
     best = (0.0, 0, 0)
-    if rare is None:
-        return best
-    reach, stretches = 2 * len(template), []
-    for p in where[rare]:
+    reach, stretches, spots = 2 * len(template), [], sorted(places)
+    for p in spots:
         if stretches and p - reach <= stretches[-1][1]:
             stretches[-1][1] = p + reach
         else:
             stretches.append([max(0, p - reach), p + reach])
     for a, b in stretches:
-        # stretches that overlap were joined; each part around one place of the rare word is tried too
-        for x, y in [(a, b), *((p - reach // 2, p + reach // 2) for p in where[rare] if b - a > 2 * reach and a <= p < b)]:
+        # stretches that overlap were joined; each part around one place of a rare word is tried too
+        parts = [(p - reach // 2, p + reach // 2) for p in spots[bisect_left(spots, a) : bisect_left(spots, b)]] if b - a > 2 * reach else []
+        for x, y in [(a, b), *parts]:
             x = max(0, x)
-            pairs = align(template, text[x:y])
+            own = text[x:y]
+            # no alignment covers more than the words in common
+            if sum((count & Counter(own)).values()) < max(coverage, best[0]) * len(template):
+                continue
+            pairs = align(template, own)
             if pairs and len(pairs) / len(template) > best[0]:
                 best = (len(pairs) / len(template), x + pairs[0][1], x + pairs[-1][1] + 1)
     return best
@@ -134,7 +149,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
                                 where.setdefault(w, []).append(p)
                     for k, template, count in known:
                         if sum(min(n, len(where[w])) for w, n in count.items() if w in where) >= coverage * len(template):
-                            part, a, b = best_match(template, own, where)
+                            part, a, b = best_match(template, own, where, coverage)
                             if part >= coverage:
                                 found.append((-part, -len(template), k, a, b))
                     rows.append({"n_words": len(own), "licenses": [{"name": k, "coverage": -part, "start": a, "end": b} for part, _, k, a, b in sorted(found)]})
