@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from tests.conftest import DATA
 from tidemark.functions import frames as W
 from tidemark.operators import entropy as E, regimes as G, stats as S, volatility as V
 from tidemark.sources import bars as B
@@ -119,3 +120,21 @@ def test_sources(spark, tmp_path):
         B.load(spark, "x.txt")
     runs = W.islands(spark.createDataFrame([("X", i, v) for i, v in enumerate("aabba")], "ticker string, ts int, l string"), "l")
     assert sorted((r["run"], r["l"], r["n_bars"]) for r in runs.collect()) == [(0, "a", 2), (1, "b", 2), (2, "a", 1)]
+
+
+def test_forecast_query_takes_every_bar(spark, monkeypatch):
+    import inspect
+
+    from tidemark.plans import market
+
+    real, steps = V.rolling_forecasts, []
+
+    def seen(*a, **k):
+        own = inspect.signature(real).bind(*a, **k)
+        own.apply_defaults()
+        steps.append(own.arguments["every"])
+        return real(*a, **k)
+
+    monkeypatch.setattr(market.V, "rolling_forecasts", seen)
+    market.rolling_forecast_eval(spark, DATA)
+    assert steps == [1]

@@ -392,9 +392,9 @@ def garch_x_fit(spark, d):
 
 
 def rolling_forecast_eval(spark, d):
-    """Every 50th bar, for time; ``rolling_forecasts`` takes any step."""
+    """A forecast for each bar after the first window."""
     own = lr(spark, d).withColumn("pct", F.col("lr") * 100)
-    return r6(S.forecast_scores(V.rolling_forecasts(own, every=50), "realised", "garch", "benchmark"))
+    return r6(S.forecast_scores(V.rolling_forecasts(own), "realised", "garch", "benchmark"))
 
 
 # ---- decisions --------------------------------------------------------------------------------
