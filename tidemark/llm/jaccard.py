@@ -1,22 +1,25 @@
 """Exact self-join of word-shingle sets by Jaccard similarity: universe partition and pigeonhole.
 
 Sizes fall into bands.  A scheme belongs to each band and splits the universe of shingle hashes into
-segments, somewhat more than the largest difference ``H`` that a pair with its larger set in the band
-may have while it links.  A set is cut by its own band's scheme, and by the next one's if a partner
-may be that large.  ``H`` differences touch ``H`` segments at most, so a set with more than ``H``
-segments of two shingles or more shares one of them, whole, with every partner: those segments are
-its signatures.  A set with fewer is short of value, and cost decides: it is also indexed with all its
-segments and their one-deletion neighbourhoods, which are worth two differences each; sets that are
-still short are indexed by every shingle.  A pair of which either side is covered by cheaper
-signatures meets there, so only short sets need the dearer ones.
-
-Signatures are dealt to tasks as packed arrays; a task sorts its own and keeps each different set of
-documents that share one.  From these groups: (1) every member with the group's least id, verified
-on the exact sets; components of these links; (2) in groups that still hold several components, all
-pairs across components that sizes and parity sketches do not rule out.  Pairs inside a component need no check: its documents are connected.
+segments, more than the largest difference ``H`` that a pair with its larger set in the band may have
+while it links.  A set is cut by its own band's scheme, and by the next one's if a partner may be that
+large.  ``H`` differences touch ``H`` segments at most, so of any ``H + 1`` segments a set has one, whole,
+in common with every partner.  Every set is indexed with its segments of two shingles or more; one with
+fewer than ``H + 1`` of them also with all its segments and their one-deletion neighbourhoods, which are
+worth two differences each; one that is still short also with every shingle.
+
+Allocation is by measured cost: signatures meet in their tasks, where it is counted how many different
+sets have each, and the counts of those that are shared go back to their sets.  A set spends its
+``H + 1`` where it costs least: signatures that nobody shares cost nothing, and a set that has ``H + 1`` of
+these has no partner at all; else the cheapest shared ones make up the rest.  Only groups in which a
+set looks for partners go on, so a frequent line, which few sets need to spend on, pairs up nobody.
+
+From these groups: (1) every member with the group's first set, verified on the exact sets;
+components of these links; (2) the sets that look for partners with members of other components
+that sizes and parity sketches do not rule out.  Pairs inside a component need no check.
 
 Rows: null, empty and wordless texts have no shingles and link with nothing.  Texts of fewer words
-than a shingle are one shingle.  Equal sets are merged before the join, so copies never pair up.
+than a shingle are one shingle.  Equal sets are one set throughout, so copies never pair up.
 Rows with one id are one document, linked through any of its texts; a null id stands alone: it gets
 the least id of its component, or null.
 """
@@ -79,27 +82,42 @@ class Schemes:
         return out
 
 
-def signatures(shingles: np.ndarray, schemes: Schemes) -> np.ndarray:
-    """All signatures of a sorted set of shingle hashes."""
-    out = []
+def signatures(shingles: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(signatures, slots, deficits) of a sorted set of shingle hashes.
+
+    A slot says what its set may spend a signature on: 0 nothing (it is only there to be found), else
+    one more than (unit, worth two, scheme) in bits; units are segments or shingles.  A deficit, one
+    for each scheme, is what has to be spent less what all of the set's units are worth together."""
+    sigs, slots, deficits = [], [], [0, 0]
     token = C.mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
     with np.errstate(over="ignore"):
-        for band, need in schemes.of(len(shingles)):
+        for k, (band, need) in enumerate(schemes.of(len(shingles))):
             segment = (shingles >> np.uint64(32)) * np.uint64(schemes.segments[band]) >> np.uint64(32)
             first = np.flatnonzero(np.diff(segment, prepend=segment[:1] + np.uint64(1)))
             count = np.diff(np.append(first, len(shingles)))
             total = np.add.reduceat(token, first)
             place = (segment[first] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(4 * band)
             strong = count > 1
-            out.append(C.mix(total[strong] + place[strong]))
-            if strong.sum() < need:
+            unit = np.arange(len(first))
+            slot = (unit << 2) + k + 1
+            worth = int(strong.sum())
+            covered = worth >= need
+            sigs.append(total[strong] + place[strong])
+            slots.append(slot[strong] if covered else np.zeros(worth, np.int64))
+            if not covered:
                 one = np.uint64(1)
-                out.append(C.mix(total + place + one))
                 inside = np.repeat(strong, count)
-                out.append(C.mix((np.repeat(total + place, count) - token)[inside] + one))
-                if 2 * strong.sum() + (~strong).sum() < need:
-                    out.append(C.mix(token + np.uint64(4 * band + 2)))
-    return np.unique(np.concatenate(out))
+                sigs += [total + place + one, (np.repeat(total + place, count) - token)[inside] + one]
+                worth += len(first)
+                enough = worth >= need
+                slot += 2 * strong
+                slots += [slot, np.repeat(slot, count)[inside]] if enough else [np.zeros(len(first) + int(inside.sum()), np.int64)]
+                if not enough:
+                    worth = len(token)
+                    sigs.append(token + np.uint64(4 * band + 2))
+                    slots.append((np.arange(len(token)) << 2) + k + 1)
+            deficits[k] = need - worth
+        return C.mix(np.concatenate(sigs)), np.concatenate(slots), deficits
 
 
 def shingle_sets(data: np.ndarray, places: np.ndarray, size: int):
@@ -128,101 +146,175 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def node_of(n: int, s1: int, s2: int) -> int:
+    """64 bits that name a set in the join."""
+    with np.errstate(over="ignore"):
+        return int(C.mix(C.mix(np.array([s1 & C.MASK], np.uint64) + np.uint64(n)) + np.uint64(s2 & C.MASK)).view(np.int64)[0])
+
+
 def set_table(rows: DataFrame, size: int) -> DataFrame:
-    """(id, key, n, s1, s2, p0 …) for rows (id, key, raw): the set's size, name and sketch."""
+    """(id, key, h, n, node, p0 …) for rows (id, key, h, raw): the set's size, name and sketch."""
 
     def work(batches):
         for batch in batches:
             for piece in C.pieces(batch, "raw", CHUNK):
-                sets = np.array([(len(x), *set_key(x), *parity(x)) for x in shingle_sets(*C.flat(piece.column("raw")), size)], np.int64).reshape(-1, len(names))
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("key"), *(pa.array(np.ascontiguousarray(c)) for c in sets.T)], names=["id", "key", *names])
+                sets = np.array([(len(x), node_of(len(x), *set_key(x)), *parity(x)) for x in shingle_sets(*C.flat(piece.column("raw")), size)], np.int64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("key"), piece.column("h"), *(pa.array(np.ascontiguousarray(c)) for c in sets.T)], names=["id", "key", "h", *names])
+
+    names = ["n", "node", *(f"p{k}" for k in range(SKETCH))]
+    return C.mapped(rows, work, f"id bigint, key {rows.schema['key'].dataType.simpleString()}, h bigint, " + ", ".join(f"{n} bigint" for n in names))
+
 
-    names = ["n", "s1", "s2", *(f"p{k}" for k in range(SKETCH))]
-    return C.mapped(rows, work, f"id bigint, key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))
+#: What comes from the tasks of the signatures: members (run, node) of groups, and for each set what it may spend there.
+MET = "run bigint, node bigint, cost bigint, unit bigint, worth bigint, scheme int, deficit int"
 
 
-def groups(rows: DataFrame, size: int, threshold: int, tasks: int) -> DataFrame:
-    """(run, id): the different groups of documents that share a signature."""
+def meetings(rows: DataFrame, size: int, threshold: int, tasks: int) -> DataFrame:
+    """The groups of different sets that share a signature (cost null: a member), and what a set gains by
+    looking there: ``worth`` of a unit's signatures at the cost of the group's size."""
 
     def index(batches):
         schemes = Schemes(threshold)
         for batch in C.gather(batches, "raw", CHUNK):
-            ids = batch.column("id").to_numpy()
-            first: dict[tuple, int] = {}
-            sets = list(shingle_sets(*C.flat(batch.column("raw")), size))
-            keys = [(len(x), *set_key(x)) for x in sets]
-            for i, key in enumerate(keys):
-                if key[0] and (key not in first or ids[i] < ids[first[key]]):
-                    first[key] = i
-            own = list(first.values())
-            if not own:
+            found: dict[int, np.ndarray] = {}
+            for x in shingle_sets(*C.flat(batch.column("raw")), size):
+                if len(x):
+                    found.setdefault(node_of(len(x), *set_key(x)), x)
+            if not found:
                 continue
-            each = [signatures(sets[i], schemes) for i in own]
-            sig = np.concatenate(each)
-            doc = np.repeat(np.arange(len(own), dtype=np.uint32), [len(x) for x in each])
+            each = [signatures(x, schemes) for x in found.values()]
+            sig, slot = (np.concatenate([x[k] for x in each]) for k in (0, 1))
+            doc = np.repeat(np.arange(len(each), dtype=np.uint32), [len(x[0]) for x in each])
+            lack = np.array([x[2] for x in each], "<i4")
             dest = (sig % np.uint64(tasks)).astype(np.int64)
             order = np.argsort(dest, kind="stable")
-            sig, doc, dest = sig[order] >> np.uint64(24), doc[order], dest[order]
+            sig, doc, slot, dest = sig[order] >> np.uint64(24), doc[order], slot[order], dest[order]
             edges = np.flatnonzero(np.diff(dest, prepend=-1))
-            names, out = ids[own], []
+            names, out = np.array(list(found), "<i8"), []
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(dest)], strict=True):
                 used, place = np.unique(doc[a:b], return_inverse=True)
-                kind = "<u2" if len(used) <= 1 << 16 else "<u4"
-                out.append((int(dest[a]), names[used].astype("<i8").tobytes(), place.astype(kind).tobytes(), np.ascontiguousarray(sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3))], names=["dest", "ids", "places", "sigs"])
+                kind = "<u2" if max(len(used), int(slot[a:b].max()) + 1) <= 1 << 16 else "<u4"
+                out.append((int(dest[a]), names[used].tobytes(), lack[used].tobytes(), place.astype(kind).tobytes(), slot[a:b].astype(kind).tobytes(), np.ascontiguousarray(sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 6))], names=["dest", "nodes", "lacks", "places", "slots", "sigs"])
 
     def solve(held):
-        sigs, ids = [], []
-        for names, places, packed in held:
+        sigs, nodes, slots, lacks = [], [], [], []
+        for names, lack, places, slot, packed in held:
             own = np.frombuffer(packed, np.uint8).reshape(-1, 5)
             wide = np.zeros((len(own), 8), np.uint8)
             wide[:, :5] = own
+            kind = "<u2" if len(places) == 2 * len(own) else "<u4"
+            place = np.frombuffer(places, kind)
             sigs.append(wide.view("<u8").ravel())
-            ids.append(np.frombuffer(names, "<i8")[np.frombuffer(places, "<u2" if len(places) == 2 * len(own) else "<u4")])
-        sig, doc = np.concatenate(sigs), np.concatenate(ids)
+            nodes.append(np.frombuffer(names, "<i8")[place])
+            slots.append(np.frombuffer(slot, kind).astype(np.int64))
+            lacks.append(np.frombuffer(lack, "<i4").reshape(-1, 2)[place, (slots[-1] - 1) & 1])
+        sig, node, slot, lack = (np.concatenate(x) for x in (sigs, nodes, slots, lacks))
         order = np.argsort(sig, kind="stable")
-        sig, doc = sig[order], doc[order]
+        sig = sig[order]
         again = np.zeros(len(sig), bool)
         again[1:] = sig[1:] == sig[:-1]
         again[:-1] |= again[1:]
-        sig, doc = sig[again], doc[again]
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
-        sig, doc = sig[fresh], doc[fresh]
+        order, sig = order[again], sig[again]
+        inner = np.lexsort((node[order], sig))
+        order, sig = order[inner], sig[inner]
+        node, slot, lack = node[order], slot[order], lack[order]
         if not len(sig):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        first = np.flatnonzero(np.diff(sig, prepend=sig[:1] + np.uint64(1)))
-        count = np.diff(np.append(first, len(sig)))
+            return
+        new_sig = np.append(True, sig[1:] != sig[:-1])
+        new = new_sig | np.append(True, node[1:] != node[:-1])
+        first = np.flatnonzero(new_sig)
+        count = np.add.reduceat(new.astype(np.int64), first)
         with np.errstate(over="ignore"):
-            name = C.mix(np.add.reduceat(C.mix(doc.view(np.uint64)), first) + count.astype(np.uint64))
-        many = np.flatnonzero(count > 1)
-        name, lead = np.unique(name[many], return_index=True)
-        lead = many[lead]
-        at = np.concatenate([np.arange(first[k], first[k] + count[k]) for k in lead] or [np.zeros(0, np.int64)])
-        return np.repeat(name.view(np.int64), count[lead]), doc[at]
+            name = C.mix(np.add.reduceat(np.where(new, C.mix(node.view(np.uint64)), np.uint64(0)), first) + count.astype(np.uint64)).view(np.int64)
+        of = np.cumsum(new_sig) - 1
+        ok = count[of] > 1
+        # members, each different group once
+        lead = np.zeros(len(first), bool)
+        lead[np.unique(name, return_index=True)[1]] = True
+        own = ok & new & lead[of]
+        yield name[of][own], node[own], None
+        # what may be spent: units worth one by group, those worth two each for itself
+        spend = ok & (slot > 0)
+        run, who, cost, unit = name[of][spend], node[spend], count[of][spend], (slot[spend] - 1) >> 2
+        two, scheme, less = (slot[spend] - 1 >> 1 & 1) == 1, slot[spend] - 1 & 1, lack[spend]
+        unit = np.where(two, unit, -1)
+        order = np.lexsort((unit, run, scheme, who))
+        run, who, cost, unit, two, scheme, less = (x[order] for x in (run, who, cost, unit, two, scheme, less))
+        if not len(run):
+            return
+        new = np.append(True, (run[1:] != run[:-1]) | (who[1:] != who[:-1]) | (scheme[1:] != scheme[:-1]) | (unit[1:] != unit[:-1]))
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(run)))
+        yield run[first], who[first], (cost[first], unit[first], np.where(two[first], 2, many), scheme[first], less[first])
+
+    def batches_of(held):
+        for run, who, spent in solve(held):
+            none = pa.nulls(len(run), pa.int64())
+            cost, unit, worth, scheme, lack = (none, none, none, none.cast(pa.int32()), none.cast(pa.int32())) if spent is None else (pa.array(x.astype(k)) for x, k in zip(spent, ("i8", "i8", "i8", "i4", "i4"), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(who), cost, unit, worth, scheme, lack], names=["run", "node", "cost", "unit", "worth", "scheme", "deficit"])
 
     def meet(batches):
         held, at = [], None
         for batch in batches:
             for dest, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and dest != at:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(held)], names=["run", "id"])
+                    yield from batches_of(held)
                     held = []
                 at = dest
                 held.append(own)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(held)], names=["run", "id"])
+            yield from batches_of(held)
 
-    packed = C.mapped(rows.select("id", "raw"), index, "dest int, ids binary, places binary, sigs binary")
-    return C.mapped(packed.repartition(tasks, "dest").sortWithinPartitions("dest"), meet, "run bigint, id bigint").distinct()
+    packed = C.mapped(rows.select("raw"), index, "dest int, nodes binary, lacks binary, places binary, slots binary, sigs binary")
+    return C.mapped(packed.repartition(tasks, "dest").sortWithinPartitions("dest"), meet, MET)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets link.  Both texts meet in sort-merge joins, which split hot ids."""
-    texts = rows.select("id", "raw")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("raw").alias("raw_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("raw").alias("raw_b")), "b")
+def allocated(met: DataFrame) -> DataFrame:
+    """(run, node): the groups in which each set looks for partners, those of least cost that make up its need."""
+    lists = met.where("cost IS NOT NULL").groupBy("node", "scheme").agg(F.min("deficit").alias("deficit"), F.collect_list(F.struct("cost", "run", "unit", "worth")).alias("offers"))
+
+    def work(batches):
+        for batch in batches:
+            offers = batch.column("offers")
+            ends = np.cumsum(offers.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            cost, run, unit, worth = (x.to_pylist() for x in offers.flatten().flatten())
+            runs, nodes = [], []
+            at = 0
+            for node, deficit, to in zip(batch.column("node").to_pylist(), batch.column("deficit").to_pylist(), ends, strict=True):
+                items: dict[tuple, list] = {}  # (unit) or (none, run): cost, worth, groups
+                for k in range(at, to):
+                    item = items.setdefault((unit[k], 0 if unit[k] >= 0 else run[k]), [0, 0, []])
+                    item[0] += cost[k]
+                    item[1] = worth[k] if unit[k] >= 0 else item[1] + worth[k]
+                    item[2].append(run[k])
+                at = to
+                left = deficit + sum(x[1] for x in items.values())
+                if left <= 0:
+                    continue
+                own = set()
+                for price, value, where in sorted(items.values(), key=lambda x: x[0] / x[1]):
+                    own.update(where)
+                    left -= value
+                    if left <= 0:
+                        break
+                runs += own
+                nodes += [node] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(nodes, pa.int64())], names=["run", "node"])
+
+    return C.mapped(lists, work, "run bigint, node bigint").distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sets link.  Both texts meet in sort-merge joins, which split hot sets."""
+    def side(x):
+        one = nodes.select(F.col("node").alias(x), F.col("row.id").alias(f"id_{x}"), F.col("row.h").alias(f"h_{x}"))
+        return one, rows.select(F.col("id").alias(f"id_{x}"), F.col("h").alias(f"h_{x}"), F.col("raw").alias(f"raw_{x}"))
+
+    both = pairs
+    for x in "ab":
+        one, texts = side(x)
+        both = both.join(one, x).join(texts, [f"id_{x}", f"h_{x}"])
 
     def work(batches):
         known: dict[bytes, np.ndarray] = {}  # the sets of the last texts: one side repeats
@@ -252,31 +344,35 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int, threshold: int) -> Da
 
 
 def links(rows: DataFrame, sets: DataFrame, size: int, threshold: int) -> DataFrame:
-    """(id, label): the components of more than one different set."""
-    tasks = C.deal(rows, "raw")
-    runs = C.materialise(groups(rows, size, threshold, tasks), "runs")
-    least = runs.groupBy("run").agg(F.min("id").alias("a"))
-    stars = C.materialise(runs.join(least, "run").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
-    first = C.materialise(verified(stars, rows, size, threshold), "links")
+    """(id, label): the components of nodes, where they have more than one."""
+    bits = [f"p{k}" for k in range(SKETCH)]
+    nodes = C.materialise(sets.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "h")).alias("row"), F.first("n").alias("n"), *(F.first(p).alias(p) for p in bits)), "nodes")
+    met = C.materialise(meetings(rows, size, threshold, C.deal(rows, "raw")), "met")
+    seeking = C.materialise(allocated(met), "seeking")
+    groups = met.where("cost IS NULL").select("run", "node").distinct()
+    groups = C.materialise(groups.join(seeking.select("run").distinct(), "run").join(seeking.withColumn("seeks", F.lit(True)), ["run", "node"], "left"), "groups")
+    least = groups.groupBy("run").agg(F.min("node").alias("a"))
+    stars = C.materialise(groups.join(least, "run").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
+    # one id with several texts is one document
+    several = sets.where("n > 0").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("hi"), F.collect_set("node").alias("all")).where("a < hi")
+    several = several.select("a", F.explode("all").alias("b")).where("a <> b")
+    first = C.materialise(verified(stars, rows, nodes, size, threshold).unionByName(several).distinct(), "links")
     labels = components(first)
-    named = runs.join(labels, "id", "left").select("run", "id", F.coalesce("label", "id").alias("label"))
+    named = groups.join(labels.withColumnRenamed("id", "node"), "node", "left").select("run", "node", "seeks", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("run")
-    bits = [f"p{k}" for k in range(SKETCH)]
-    # an id with several texts has no single sketch: its pairs are verified unseen
-    known = sets.groupBy("id").agg(F.min("n").alias("n"), *(F.first(p).alias(p) for p in bits), ((F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))).alias("many"))
-    open_runs = C.materialise(named.join(mixed, "run").join(known, "id"), "open")
+    open_runs = C.materialise(named.join(mixed, "run").join(nodes.drop("row"), "node"), "open")
     if open_runs.isEmpty():
         return labels
-    left = open_runs.select("run", *(F.col(c).alias(f"a_{c}") for c in open_runs.columns if c != "run"))
+    left = open_runs.where("seeks").select("run", *(F.col(c).alias(f"a_{c}") for c in open_runs.columns if c != "run"))
     right = open_runs.select(F.col("run").alias("other"), *(F.col(c).alias(f"b_{c}") for c in open_runs.columns if c != "run"))
     total = F.col("a_n") + F.col("b_n")
     most = total - 2 * F.ceil(total * threshold / (100 + threshold))
     differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in bits[1:]), F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))))
-    near = F.col("a_many") | F.col("b_many") | ((F.abs(F.col("a_n") - F.col("b_n")) <= most) & (differ <= most))
-    pairs = left.join(right, (F.col("run") == F.col("other")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_label") != F.col("b_label")) & near)
-    cross = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    once = F.col("b_seeks").isNull() | (F.col("a_node") < F.col("b_node"))
+    pairs = left.join(right, (F.col("run") == F.col("other")) & (F.col("a_label") != F.col("b_label")) & once & (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (differ <= most))
+    cross = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
     cross = C.materialise(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    second = C.materialise(verified(cross, rows, size, threshold), "links2")
+    second = C.materialise(verified(cross, rows, nodes, size, threshold), "links2")
     if second.isEmpty():
         return labels
     return components(first.unionByName(second))
@@ -285,14 +381,12 @@ def links(rows: DataFrame, sets: DataFrame, size: int, threshold: int) -> DataFr
 def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(key, n, component, id, label) for each row: the set's size, the least key that links reach from
     it, and the same with the ids that stand for rows without a key."""
-    rows = docs.select(node(key, text).alias("id"), F.col(key).alias("key"), C.text_of(text).alias("raw"))
+    raw = C.text_of(text)
+    rows = docs.select(node(key, text).alias("id"), F.col(key).alias("key"), F.xxhash64(raw).alias("h"), raw.alias("raw"))
     sets = C.materialise(set_table(rows, size), "sets")
-    labels = links(rows, sets, size, threshold)
-    full = sets.where("n > 0")
-    own = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("least"))
-    found = full.join(labels, "id").groupBy("n", "s1", "s2").agg(F.min("label").alias("label"))
-    named = own.join(found, ["n", "s1", "s2"], "left").select("n", "s1", "s2", F.least("least", "label").alias("label"))
-    done = full.join(named, ["n", "s1", "s2"]).select("key", "n", "id", "label")
+    full = sets.where("n > 0").select("id", "key", "n", "node").join(links(rows, sets, size, threshold).select(F.col("id").alias("node"), "label"), "node", "left")
+    full = full.select("key", "n", "id", F.coalesce("label", "node").alias("own"))
+    done = full.join(full.groupBy("own").agg(F.min("id").alias("label")), "own").select("key", "n", "id", "label")
     alone = sets.where("n = 0").select("key", "n", "id", F.col("id").alias("label"))
     number = F.when(F.col("label") < NO_ID, F.col("label"))
     return done.unionByName(alone).select(F.col("key").alias(key), "n", number.alias("component"), "id", "label")
