@@ -322,6 +322,45 @@ def test_passages_behind_an_unlike_lead(spark):
     assert got == {i: (int(i % 3 > 0), i - (i % 3 == 2)) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("part", [30, 40, 45, 49])
+def test_passages_beside_fragments(spark, part):
+    rng, texts = random.Random(part), []
+
+    def fresh(n):
+        return [f"b{rng.random()}" for _ in range(n)]
+
+    for _ in range(100):  # the first document holds a part of the passage that the two others share
+        own, at = fresh(60), rng.randint(0, 60 - part)
+        texts += [fresh(30) + own[at : at + part] + fresh(30), fresh(30) + own + fresh(30), fresh(40) + own + fresh(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in passages.passage_table(docs).collect()}
+    assert sum(got[i + 1] == got[i + 2] for i in range(0, 300, 3)) >= 98
+
+
+def test_passages_of_many_documents(spark):
+    rng = random.Random(8)
+
+    def fresh(n):
+        return [f"c{rng.random()}" for _ in range(n)]
+
+    own = fresh(70)
+    texts = []
+    for i in range(400):  # all share a passage, one word of which each has its own way
+        other = list(own)
+        other[rng.randrange(70)] = f"d{i}"
+        texts.append(fresh(30) + other + fresh(30))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = passages.passage_table(docs).collect()
+    assert sum(r["n_passages"] > 0 for r in rows) >= 392 and collections.Counter(r["class_id"] for r in rows).most_common(1)[0][1] >= 392
+
+
+def test_passages_null_ids_and_extra_columns(spark):
+    text = prose(80)
+    docs = spark.createDataFrame([(None, text, "x"), (1, text, "y"), (2, "z " + text, "z")], "doc_id bigint, text string, id string")
+    got = sorted((tuple(r) for r in passages.passage_table(docs).select("doc_id", "n_passages", "class_id").collect()), key=repr)
+    assert got == sorted([(None, 0, None), (1, 1, 1), (2, 1, 1)], key=repr)
+
+
 def test_passages_odd_rows(odd):
     got = {r["doc_id"]: r["n_passages"] for r in passages.passage_table(odd[0]).collect()}
     assert got[6] and got[7] and got[8] and got[10] and not got[1] and not got[12]
