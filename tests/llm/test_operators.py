@@ -392,6 +392,28 @@ def test_language(spark, odd):
     assert {r["language"]["lang_pred"] for r in language.identify(odd[0], bare).collect()} == {"und"}
 
 
+def test_language_scores_and_odd_tables(spark):
+    rows = [(i, f"the {prose(20)} and of", "en") for i in range(30)] + [(30 + i, f"der {prose(20)} und ist", "de") for i in range(30)]
+    docs = spark.createDataFrame([*rows, (90, None, "en"), (91, "1234 ++", "de"), (92, "the and of " * 20000, None), (93, "the und of ist " * 9, None)], "doc_id bigint, text string, lang string").withColumn("language", F.lit("x"))
+    model = language.fit(docs)
+    found = language.identify(docs, model)
+    name = found.columns[-1]
+    got = {r["doc_id"]: r[name] for r in found.collect()}
+    assert name != "language" and got[90]["lang_pred"] == got[91]["lang_pred"] == "und" and got[90]["score"] == 0.0 and got[92]["lang_pred"] == "en"
+    assert 0.5 <= got[93]["score"] < min(got[i]["score"] for i in range(60)) and all(got[i]["lang_pred"] == ("en" if i < 30 else "de") for i in range(60))
+    twins = spark.createDataFrame([(1, "abc abd", "x"), (2, "abc abd", "a")], "doc_id bigint, text string, lang string")
+    assert {r["language"]["lang_pred"] for r in language.identify(twins, language.fit(twins)).collect()} == {"a"}  # ties: the smaller name
+    assert language.identify(empty(docs), model).count() == 0 and language.fit(empty(docs)).langs == []
+
+
+def test_language_models_of_many_alphabets():
+    rng = np.random.default_rng(9)
+    grams = {f"l{k}": [(np.unique(rng.integers(0, 256 ** (n + 1), 3000)), None) for n in range(4)] for k in range(200)}
+    grams = {k: [(g, np.full(len(g), 2)) for g, _ in v] for k, v in grams.items()}
+    model = language.Model(sorted(grams), grams)
+    assert model.nbytes() < 200 * 4 * 3000 * 24 and model.bits(rng.integers(0, 256, 5000).astype(np.uint8), np.array([0, 5000])).shape == (1, 200)
+
+
 def test_code_lengths_are_exact():
     order, texts = 2, {"a": b"abracadabra abracad", "b": b"banana bandana"}
     grams = {}

@@ -1,15 +1,19 @@
 """Language identification by prediction by partial matching (PPM).
 
-For each language, contexts of 0 to ``order`` bytes hold how often each byte followed them.  A byte
-costs ``-log2 c/(T+q)`` in the longest known context where it was seen (``T`` bytes seen there, ``q``
-different ones); where it wasn't, an escape ``-log2 q/(T+q)`` and what the next shorter context asks;
-below order 0, 8 bits.  Statistics are frozen before scoring, so a text's code length is exact and
-the same wherever it is computed.  The language of the shortest code wins.
+For each language, contexts of 0 to ``order`` bytes hold how often each byte followed them; one of two
+bytes and more counts from its second occurrence.  A byte costs ``-log2 c/(T+q)`` in the longest known
+context where it was seen (``T`` bytes seen there, ``q`` different ones); where it wasn't, an escape
+``-log2 q/(T+q)`` and what the next shorter context asks; below order 0, 8 bits.  Statistics are frozen
+before scoring, so a text's code length is exact and the same wherever it is computed.  The language of
+the shortest code wins.
 
 Fitting reads a bounded sample of the labelled rows (``fit_docs`` documents of each language in
-expectation, chosen by a hash); counts are summed per task, then by Spark.  Each language keeps its
-``contexts`` most frequent contexts at most, which bounds the model that is sent to executors.
-Scoring covers all bytes of all rows.
+expectation, chosen by a hash), each of them whole; counts are summed per task, then by Spark.  Every
+counted byte string is in the model, as sorted arrays: 12 bytes each, which the sample bounds.  Scoring
+covers all bytes of all rows; a task looks up each different byte string of its texts once.
+
+The score is the winner's share of ``2^-bits``, where the bits are those of ``EVIDENCE`` bytes of the text at
+most, at its mean cost: bytes of a text are no independent witnesses, and long texts would all score 1.
 
 Rows: null or letterless texts get ``und`` and score 0, as does everything where no row can be
 learned from.  Languages that tie go to the smaller name.  Repeated rows are scored alike.
@@ -28,10 +32,10 @@ from . import common as C
 ORDER = 3
 #: Documents of each language that the counts are taken from, in expectation.
 FIT_DOCS = 4000
-#: Bytes counted of one document of the sample; scoring has no such bound.
-FIT_BYTES = 20_000
-#: Contexts that a language keeps, and different bytes that the model tells apart.
-CONTEXTS = 60_000
+#: Bytes that a score takes as evidence at most.
+EVIDENCE = 16
+#: The least score of a document that the pipeline keeps.
+CLEAR = 0.4
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -46,7 +50,7 @@ def counts(sample: DataFrame, text: str, lang: str, order: int = ORDER) -> DataF
             for name in sorted(set(langs)):
                 parts = []
                 for i in np.flatnonzero(langs == name):
-                    parts += [np.zeros(order, np.uint8), data[places[i] : places[i + 1]][:FIT_BYTES]]
+                    parts += [np.zeros(order, np.uint8), data[places[i] : places[i + 1]]]
                 own = np.concatenate(parts).astype(np.uint64)
                 fresh = np.concatenate([np.arange(len(p)) < order if not k % 2 else np.zeros(len(p), bool) for k, p in enumerate(parts)])
                 gram = np.zeros(len(own), np.uint64)
@@ -60,95 +64,71 @@ def counts(sample: DataFrame, text: str, lang: str, order: int = ORDER) -> DataF
 
 
 class Model:
-    """Frozen tables: ``row[l][context]`` finds the longest known context, ``cost[l][row, symbol]`` the bits."""
+    """Frozen statistics: for each language and context length, sorted contexts with what an escape costs,
+    and sorted byte strings (context and byte) with their cost."""
 
-    def __init__(self, langs: list[str], grams: dict[str, list[dict[int, int]]], order: int = ORDER, contexts: int = CONTEXTS):
+    def __init__(self, langs: list[str], grams: dict[str, list], order: int = ORDER):
+        """``grams``: by language and context length, {byte string as a big-endian number: count}, or two arrays of these."""
         self.langs, self.order = langs, order
-        used = sorted({b for x in grams.values() for b in x[0]} | {0})
-        while len(used) ** order > 1 << 23:  # wide alphabets: contexts of rare bytes fall to shorter ones
-            total = {b: sum(x[0].get(b, 0) for x in grams.values()) for b in used if b}
-            used = sorted({0, *sorted(total, key=total.get)[len(used) // 8 + 1 :]})
-        self.size = size = len(used) + 1
-        self.symbol = np.full(256, size - 1, np.uint8)  # the last stands for bytes of no known context
-        for k, b in enumerate(used):
-            self.symbol[b] = k
-        self.rows, self.costs = [], []
-        for name in langs:
-            row, cost = self._build(grams[name], contexts)
-            self.rows.append(row)
-            self.costs.append(cost)
-
-    def _build(self, grams, contexts):
-        size, order = self.size, self.order
-        base = np.full((1, 256), 8.0)
-        known: list[dict[int, int]] = []
-        costs = []
-        row = 0
-        for length in range(order + 1):
-            after: dict[int, dict[int, int]] = {}
-            for gram, n in grams[length].items():
-                after.setdefault(gram >> 8, {})[gram & 255] = n
-            if length:
-                room = max(0, contexts - row)
-                if len(after) > room:
-                    after = {c: after[c] for c in sorted(after, key=lambda c: (-sum(after[c].values()), c))[:room]}
-                after = {c: x for c, x in after.items() if length < 2 or sum(x.values()) > 1}
-            else:
-                after = after or {0: {}}
-            own = {}
-            for context, seen in sorted(after.items()):
-                below = base[0] if not length else costs[self._longest(known, context, length - 1)]
-                total, q = sum(seen.values()), len(seen)
-                line = below + (np.log2((total + q) / q) if q else 0.0)
-                for b, n in seen.items():
-                    line[b] = np.log2((total + q) / n)
-                own[context] = row
-                costs.append(line)
-                row += 1
-            known.append(own)
-        full = np.zeros(size**order, np.int32)
-        for length in range(1, order + 1):
-            for context, at in known[length].items():
-                symbols = [int(self.symbol[(context >> (8 * k)) & 255]) for k in range(length)]
-                if size - 1 in symbols and length:
-                    continue  # a byte that no symbol stands for; the shorter context holds
-                tail = sum(s * size**k for k, s in enumerate(symbols))
-                full[tail :: size**length] = at
-        bytes_of = np.zeros((size,), np.int64)
-        for b in range(256):
-            if self.symbol[b] < size - 1:
-                bytes_of[self.symbol[b]] = b
-        table = np.stack([np.append(c[bytes_of[:-1]], max(c[b] for b in range(256) if self.symbol[b] == size - 1) if (self.symbol == size - 1).any() else 8.0) for c in costs]).astype(np.float32)
-        return full, table
+        self.tables = [[self._table(length, grams[name][length]) for length in range(order + 1)] for name in langs]
 
     @staticmethod
-    def _longest(known, context, length):
-        while length:
-            at = known[length].get(context & ((1 << 8 * length) - 1))
-            if at is not None:
-                return at
-            length -= 1
-        return known[0][0]
+    def _table(length: int, counted):
+        gram, n = (np.fromiter(x, np.int64, len(counted)) for x in (counted.keys(), counted.values())) if isinstance(counted, dict) else counted
+        order = np.argsort(gram)
+        gram, n = gram[order], n[order]
+        context, first = np.unique(gram >> 8, return_index=True)
+        if not len(gram):
+            return context, np.zeros(0, np.float32), gram, np.zeros(0, np.float32)
+        total, q = np.add.reduceat(n, first), np.diff(np.append(first, len(gram)))
+        known = (total > 1) | (length < 2)
+        of = np.repeat(np.arange(len(context)), q)
+        cost = np.log2((total + q)[of] / n)
+        keep = known[of]
+        return context[known], np.log2((total + q) / q)[known].astype(np.float32), gram[keep], cost[keep].astype(np.float32)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for tables in self.tables for table in tables for x in table)
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string of ``order`` + 1 bytes, a column for each language."""
+        out = np.zeros((len(gram), len(self.langs)))
+        for k, tables in enumerate(self.tables):
+            open_ = np.arange(len(gram))
+            for length in range(self.order, -1, -1):
+                contexts, escape, strings, cost = tables[length]
+                own = gram[open_] & ((1 << 8 * (length + 1)) - 1)
+                if len(strings):
+                    at = np.minimum(np.searchsorted(strings, own), len(strings) - 1)
+                    seen = strings[at] == own
+                    out[open_[seen], k] += cost[at[seen]]
+                    open_, own = open_[~seen], own[~seen]
+                    at = np.minimum(np.searchsorted(contexts, own >> 8), len(contexts) - 1)
+                    known = contexts[at] == own >> 8
+                    out[open_[known], k] += escape[at[known]]
+            out[open_, k] += 8.0
+        return out
 
     def bits(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Code lengths in bits, one row for each text and a column for each language."""
-        size, order, n = self.size, self.order, len(data)
         out = np.zeros((len(places) - 1, len(self.langs)))
-        if not n:
+        if not len(data):
             return out
-        own = self.symbol[data].astype(np.int32)
-        context = np.zeros(n, np.int32)
-        for back in range(1, order + 1):
-            before = np.zeros(n, np.int32)
-            before[back:] = own[:-back]
+        gram = data.astype(np.int64 if self.order > 2 else np.int32)
+        for back in range(1, self.order + 1):
+            before = np.zeros(len(data), gram.dtype)
+            before[back:] = data[:-back]
             for k in range(back):  # nothing reaches over the start of a text
                 at = places[:-1] + k
-                before[at[at < places[1:]]] = self.symbol[0]
-            context += before * np.int32(size ** (back - 1))
-        for k, (row, cost) in enumerate(zip(self.rows, self.costs, strict=True)):
-            each = cost.ravel()[row[context].astype(np.int64) * size + own].astype(np.float64)
-            total = np.zeros(n + 1)
-            np.cumsum(each, out=total[1:])
+                before[at[at < places[1:]]] = 0
+            gram |= before << (8 * back)
+        if self.order == 3:
+            gram = gram.astype(np.uint32)
+        different, own = np.unique(gram, return_inverse=True)
+        costs = self.costs(different.astype(np.int64))
+        for k in range(len(self.langs)):
+            total = np.zeros(len(data) + 1)
+            np.cumsum(costs[own, k], out=total[1:])
             out[:, k] = total[places[1:]] - total[places[:-1]]
         return out
 
@@ -166,19 +146,18 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     for name, n in share.items():
         want = F.when(F.col(lang) == name, min(1.0, fit_docs / n)).otherwise(want)
     sample = rows.where(draw < want).select(F.col(text).cast("binary").alias("text"), F.col(lang).alias("lang"))
-    found = counts(sample, "text", "lang", order)
-    best = found.withColumn("context", F.shiftright("gram", 8))
-    langs, grams = sorted(share), {}
-    kept = best.where((F.col("size") < 3) | (F.col("n") > 1))
-    # at most CONTEXTS contexts of 256 bytes each reach the model; the sample bounds what is read here
-    for r in kept.select("lang", "size", "gram", "n").toLocalIterator():
-        grams.setdefault(r[0], [{} for _ in range(order + 1)])[r[1] - 1][r[2]] = r[3]
-    langs = [x for x in langs if x in grams]
-    return Model(langs, grams, order)
+    found = C.materialise(counts(sample, "text", "lang", order), "counts")
+    grams = {}
+    for name in sorted(share):  # one language's counts at a time; the sample bounds them
+        own = found.where(F.col("lang") == name).select("size", "gram", "n").toArrow()
+        size, gram, n = (own.column(c).to_numpy() for c in ("size", "gram", "n"))
+        if len(size):
+            grams[name] = [(gram[size == k], n[size == k]) for k in range(1, order + 2)]
+    return Model(sorted(grams), grams, order)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
-    """``docs`` with a struct (lang_pred, score, bits) appended; score: the winner's share of 2^-bits."""
+    """``docs`` with a struct (lang_pred, score, bits) appended; the score is described above."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     raw = C.fresh("raw_text", docs.columns)
     name = C.fresh(out, docs.columns)
@@ -195,7 +174,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
                     bits = model.bits(data, places)
                     win = bits.argmin(axis=1)
                     best = bits[np.arange(n), win]
-                    share = 1 / np.exp2(np.minimum(best[:, None] - bits, 0)).sum(axis=1)
+                    weight = np.minimum(1, EVIDENCE / np.maximum(np.diff(places), 1))
+                    share = 1 / np.exp2(np.minimum(best[:, None] - bits, 0) * weight[:, None]).sum(axis=1)
                     for i in range(n):
                         if LETTER.search(data[places[i] : places[i + 1]].tobytes().decode("utf-8", "replace")):
                             pred[i], score[i] = model.langs[win[i]], share[i]
@@ -219,8 +199,8 @@ def op9_language_ppm(spark, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (``und``) and those where no language takes half of the probability."""
+    """Drops texts without a language (``und``) and those where no language scores ``CLEAR``."""
     model = fit(docs, learn=~held_out())
     found = identify(docs, model)
     name = found.columns[-1]
-    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= 0.5)).select(*docs.columns)
+    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= CLEAR)).select(*docs.columns)
