@@ -103,6 +103,16 @@ def test_quality_odd_rows(odd):
     assert quality.judge(empty(docs).drop("n_words")).count() == 0
 
 
+def test_quality_clashing_columns(odd):
+    docs = odd[0].withColumns({"lines": F.lit(1), "kept": F.lit("k"), "row_number": F.lit(5), "word_chars": F.lit("c"), "base_failed": F.lit(0), "n_removed_words": F.lit(2)})
+    found = quality.judge(docs, max_docs=1)
+    plain = {r["doc_id"]: tuple(r)[-8:] for r in quality.judge(odd[0].select("doc_id", "source", "text"), max_docs=1).collect()}
+    rows = found.collect()
+    assert found.columns[: len(docs.columns) - 1] == [c for c in docs.columns if c != "text"] and len(rows) == len(odd[2])
+    assert all(tuple(r)[-8:] == plain[r["doc_id"]] and r["n_words"] == 7 and r["row_number"] == 5 and r["kept"] == "k" for r in rows)
+    assert quality.clean(odd[0], max_docs=1, least=0.2).columns == odd[0].columns
+
+
 def test_jaccard(odd, small, monkeypatch):
     docs, _, rows, _ = odd
     for d, own in ((docs, rows), (small[0], small[1])):
@@ -394,7 +404,7 @@ def test_language(spark, odd):
 
 def test_language_scores_and_odd_tables(spark):
     rows = [(i, f"the {prose(20)} and of", "en") for i in range(30)] + [(30 + i, f"der {prose(20)} und ist", "de") for i in range(30)]
-    docs = spark.createDataFrame([*rows, (90, None, "en"), (91, "1234 ++", "de"), (92, "the and of " * 20000, None), (93, "the und of ist " * 9, None)], "doc_id bigint, text string, lang string").withColumn("language", F.lit("x"))
+    docs = spark.createDataFrame([*rows, (90, None, "en"), (91, "1234 ++", "de"), (92, "the and of " * 20000, None), (93, "e", None)], "doc_id bigint, text string, lang string").withColumn("language", F.lit("x"))
     model = language.fit(docs)
     found = language.identify(docs, model)
     name = found.columns[-1]

@@ -58,14 +58,20 @@ def line_words(data: np.ndarray, places: np.ndarray):
     return exact, at, begin, end, doc, count, normal
 
 
+NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with the base measures and ``lines``: (hash, words) of each different line."""
+    """``docs`` without the text, with the base measures and ``lines``: (hash, words) of each different line.
+
+    These come last, in this order; one whose name a column has gets underscores appended."""
     raw = C.fresh("raw_text", docs.columns)
     kept = [c for c in docs.columns if c != text]
-    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    numbers = [C.fresh(n, kept) for n in NUMBERS]
+    line_name = C.fresh("lines", kept)
     rows = docs.select(*kept, C.text_of(text).alias(raw))
     kind = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("words", T.LongType())]))
-    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in numbers), T.StructField("lines", kind)])
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in numbers), T.StructField(line_name, kind)])
 
     def work(batches):
         for batch in batches:
@@ -93,7 +99,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
                 struct = pa.StructArray.from_arrays([pa.array(normal[order][first].view(np.int64)), pa.array(words.astype(np.int64))], ["hash", "words"])
                 lines = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[order][first], np.arange(n + 1)).astype(np.int32)), struct)
                 sums = [np.diff(at), C.by_offsets(lead, places), C.by_offsets(SYMBOLS[data], places), np.bincount(doc[dup], minlength=n), C.by_offsets(mark, at)]
-                yield pa.RecordBatch.from_arrays([*piece.drop_columns([raw]).columns, *(pa.array(x.astype(np.int64)) for x in sums), lines], names=[*kept, *numbers, "lines"])
+                yield pa.RecordBatch.from_arrays([*piece.drop_columns([raw]).columns, *(pa.array(x.astype(np.int64)) for x in sums), lines], names=[*kept, *numbers, line_name])
 
     return C.mapped(rows, work, schema)
 
@@ -105,14 +111,21 @@ def frequent_lines(measured: DataFrame, host: str, max_docs: int = MAX_DOCS) ->
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, least: float = LEAST) -> DataFrame:
-    """Base measures, n_removed_words, base_failed and kept for each row, with its other columns but the text."""
-    table = C.materialise(measure(docs, text).withColumn("row_number", F.monotonically_increasing_id()), "lines")
-    lines = table.select("row_number", F.coalesce(host, F.lit("")).alias("host"), F.explode("lines").alias("l")).select("row_number", "host", "l.hash", "l.words")
-    removed = lines.join(frequent_lines(table, host, max_docs).drop("n_docs"), ["host", "hash"]).groupBy("row_number").agg(F.sum("words").alias("n_removed_words"))
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    found = table.drop("lines").join(removed, "row_number", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("bigint")))
-    depleted = F.col("n_words") - F.col("n_removed_words") < F.col("n_words") * least
-    return found.drop("row_number").withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
+    """Base measures, n_removed_words, base_failed and kept for each row, after its other columns but the
+    text; a measure whose name a column has gets underscores appended."""
+    number = C.fresh("row_number", docs.columns)
+    own = measure(docs.withColumn(number, F.monotonically_increasing_id()), text)
+    table = C.materialise(own, "lines")
+    n_words, _, _, _, n_repeat, lines = (F.col(c) for c in table.columns[-6:])
+    each = table.select(number, F.coalesce(host, F.lit("")).alias("host"), F.explode(lines).alias("l")).select(number, "host", "l.hash", "l.words")
+    frequent = each.groupBy("host", "hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
+    gone = C.fresh("n_removed_words", table.columns)
+    removed = each.join(frequent.drop("n_docs"), ["host", "hash"]).groupBy(number).agg(F.sum("words").alias(gone))
+    failed = (n_words < 50) | (n_repeat * 100 > n_words * 50)
+    found = table.join(removed, number, "left").withColumn(gone, F.coalesce(gone, F.lit(0).cast("bigint")))
+    depleted = n_words - F.col(gone) < n_words * least
+    names = [C.fresh(x, table.columns) for x in ("base_failed", "kept")]
+    return found.withColumns(dict(zip(names, (failed, ~failed & ~depleted)))).drop(number, table.columns[-1])
 
 
 def clean(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, least: float = LEAST) -> DataFrame:
