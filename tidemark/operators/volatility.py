@@ -19,6 +19,8 @@ from .stats import ljung_box_p
 LEAST_BARS, LONG, LEAST = 120, 504, 60
 ALPHA = 0.10
 DRAWS = 10_000
+#: Windows that are fitted side by side.
+LANES = 512
 
 
 def exogenous(df: DataFrame) -> DataFrame:
@@ -197,6 +199,82 @@ def given_variance(df: DataFrame, mu: float, omega: float, alpha: float, beta: f
     return out.withColumn("cond_vol_annual", F.col("cond_vol") * math.sqrt(YEAR))
 
 
+def forecasts_of(r: np.ndarray, rounds: int = 120) -> np.ndarray:
+    """Variance a bar ahead of each row of returns, by the same likelihood, starts and simplex steps as
+    ``fit_garch``, with all rows as lanes of one search; a row that cannot be fitted gives NaN."""
+    lanes, n = r.shape
+    x = np.ascontiguousarray(r.T)
+    var = np.maximum(r.var(axis=1), 1e-8)
+    decay = 0.94 ** np.arange(min(75, n))
+
+    def natural(p):
+        a, b = 1 / (1 + np.exp(-p[2])), 1 / (1 + np.exp(-p[3]))
+        return p[0], np.exp(np.minimum(p[1], 50.0)), 0.999 * a * (1 - b), 0.999 * b
+
+    def path(p, own):
+        mu, omega, alpha, beta = natural(p)
+        e2 = (x[:, own] - mu) ** 2
+        s2 = np.empty_like(e2)
+        last = (e2[: len(decay)] * decay[:, None]).sum(axis=0) / decay.sum()
+        push = alpha * last
+        for t in range(n):
+            last = np.maximum(omega + push + beta * last, 1e-12)
+            s2[t] = last
+            push = alpha * e2[t]
+        return e2, s2, omega + push + beta * last
+
+    def loss(p, own):
+        with np.errstate(all="ignore"):
+            e2, s2, _ = path(p, own)
+            v = 0.5 * (np.log(2 * math.pi * s2) + e2 / s2).sum(axis=0)
+        return np.where(np.isfinite(v), v, 1e12)
+
+    def search(start):
+        own = np.arange(lanes)
+        points = np.repeat(start[None], 5, axis=0)  # point, parameter, lane
+        for i in range(4):
+            points[i + 1, i] += np.where(start[i] == 0, 0.25, 0.1 * np.abs(start[i]) + 0.1)
+        values = np.stack([loss(q, own) for q in points])
+        result, least = start.copy(), np.full(lanes, np.inf)
+        for _ in range(rounds):
+            order = np.argsort(values, axis=0, kind="stable")
+            values = np.take_along_axis(values, order, axis=0)
+            points = np.take_along_axis(points, order[:, None, :], axis=0)
+            done = values[-1] - values[0] < 1e-7 * (np.abs(values[0]) + 1e-7)
+            if done.any():
+                result[:, own[done]], least[own[done]] = points[0][:, done], values[0][done]
+                own, points, values = own[~done], points[:, :, ~done], values[:, ~done]
+            if not len(own):
+                return result, least
+            centre, worst = points[:-1].mean(axis=0), points[-1].copy()
+            far = centre + (centre - worst)
+            v = loss(far, own)
+            grow, keep = v < values[0], (v >= values[0]) & (v < values[-2])
+            inner = np.where(v < values[-1], far, worst)
+            other = np.where(grow, centre + 2 * (centre - worst), centre + 0.5 * (inner - centre))
+            u = np.full(len(own), np.inf)
+            ask = np.flatnonzero(~keep)
+            if len(ask):
+                u[ask] = loss(other[:, ask], own[ask])
+            second = (grow & (u < v)) | (~grow & ~keep & (u < np.minimum(v, values[-1])))
+            first = (grow | keep) & ~second
+            points[-1] = np.where(second, other, np.where(first, far, worst))
+            values[-1] = np.where(second, u, np.where(first, v, values[-1]))
+            shrink = np.flatnonzero(~second & ~first)
+            if len(shrink):
+                for i in range(1, 5):
+                    points[i][:, shrink] = points[0][:, shrink] + 0.5 * (points[i][:, shrink] - points[0][:, shrink])
+                    values[i, shrink] = loss(points[i][:, shrink], own[shrink])
+        best = values.argmin(axis=0)
+        result[:, own], least[own] = points[best, :, np.arange(len(own))].T, values[best, np.arange(len(own))]
+        return result, least
+
+    found = [search(np.stack([r.mean(axis=1), np.log(var * 0.1), np.full(lanes, -1.0), np.full(lanes, b)])) for b in (2.2, 0.5)]
+    p = np.where(found[1][1] < found[0][1], found[1][0], found[0][0])
+    with np.errstate(all="ignore"):
+        return path(p, np.arange(lanes))[2]
+
+
 def breadth_ratio(df: DataFrame) -> DataFrame:
     """``ce_ratio``: breadth against its trailing median (252 bars, 60 at least), clipped to [0.8, 1.5]."""
     mid = full(F.percentile("cse", 0.5).over(upto(252)), "cse", upto(252), 60)
@@ -212,20 +290,18 @@ def rolling_forecasts(df: DataFrame, window: int = LONG, every: int = 1, rounds:
 
     frame = Window.partitionBy("ticker").orderBy("ts").rowsBetween(-window, -1)
     own = df.where(F.col("pct").isNotNull()).withColumn("seg", F.collect_list("pct").over(frame)).withColumn("at", F.row_number().over(w()))
-    own = own.where((F.size("seg") == window) & (F.col("at") % every == 0)).select("ticker", "ts", "pct", "seg").repartition("ts")
+    own = own.where((F.size("seg") == window) & (F.col("at") % every == 0)).select("ticker", "ts", "pct", "seg").repartition(df.sparkSession.sparkContext.defaultParallelism, "ts")
 
     @F.pandas_udf("double")
     def ahead(values: pd.Series) -> pd.Series:
-        def one(v):
-            v = np.asarray(v, float)
-            try:
-                m = fit_garch(v, None, rounds)
-            except (ValueError, OverflowError):
-                return None
-            return float(m["omega"] + m["alpha"] * m["resid"][-1] ** 2 + m["beta"] * m["s2"][-1])
-
-        return values.map(one).astype(float)
+        out = np.full(len(values), np.nan)
+        for at in range(0, len(values), LANES):
+            own = np.stack([np.asarray(v, float) for v in values.iloc[at : at + LANES]])
+            fit = np.isfinite(own).all(axis=1)
+            if fit.any():
+                out[at : at + LANES][fit] = forecasts_of(own[fit], rounds)
+        return pd.Series(out).where(np.isfinite(out), None).astype(float)
 
     bench = F.expr("aggregate(slice(seg, -22, 22), struct(0D as n, 0D as s, 0D as q), (a, x) -> struct(a.n + 1 as n, a.s + x as s, a.q + x * x as q), a -> (a.q - a.s * a.s / a.n) / (a.n - 1))")
     out = own.select("ticker", "ts", (F.col("pct") * F.col("pct")).alias("realised"), ahead("seg").alias("garch"), bench.alias("benchmark"))
-    return out.where(F.col("garch").isNotNull())
+    return out.where(F.col("garch").isNotNull() & ~F.isnan("garch"))
