@@ -391,6 +391,26 @@ def test_urls(spark):
     assert bare.where("verdict = 'block' AND rule IS NULL").count() == 0
 
 
+def test_urls_of_a_rare_class(spark):
+    rng = random.Random(11)
+    # a third of the pages of one host are bad, a twentieth of the others: far from a majority, and no chance
+    rows = [(i, f"http://{'spam' if i % 4 == 0 else f'h{i % 13}'}.org/{'a' if rng.random() < 0.5 else 'b'}/x?q=1") for i in range(3000)]
+    bad = {i: rng.random() < (0.4 if i % 4 == 0 else 0.05) for i in range(3000)}
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in bad.items() if i < 2000] + [(1, None, None), (None, 0, 1), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
+    pages = spark.createDataFrame([*rows, (5, rows[5][1]), (None, rows[4][1]), (9999, "http://" + "x" * 50000 + ".org/")], "page_id bigint, url string").withColumn("rule", F.lit("r"))
+    got = urls.judge(pages, labels).collect()
+    blocked = [r["page_id"] for r in got if r["verdict"] == "block" and r["page_id"] is not None and r["page_id"] < 3000]
+    assert len(got) == 3003 and sorted(blocked) == [i for i in range(3000) if i % 4 == 0] and all(r["verdict"] == "block" for r in got if r["page_id"] is None)
+    held = [bad[i] for i in blocked if i >= 2000]
+    assert sum(held) / len(held) > 5 * sum(bad[i] for i in range(2000, 3000) if i % 4) / 750
+    for r in got:  # host and path by plain string work
+        u = dict(rows).get(r["page_id"])
+        if u:
+            rest = u.split("://", 1)[1]
+            host = rest.split("/")[0]
+            assert (r["host"], r["path"]) == (host, rest[len(host) :].split("?")[0])
+
+
 def test_language(spark, odd):
     got = language.op9_language_ppm(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95

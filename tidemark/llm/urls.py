@@ -2,10 +2,11 @@
 
 Written rules are few and become one expression; the longest that fits decides.  Every other url is
 judged by mined rules: FP-growth runs over the tokens of labelled urls plus a class token, and rules
-``tokens -> class`` are pruned by support, confidence and redundancy (a rule goes if a part of its
-tokens is as confident).  Matching goes through an inverted index from each rule's rarest token, so
-a url meets only rules that share that token; the most confident match decides, ties by support,
-then by the tokens in order.  Without a match a url is allowed.
+``tokens -> class`` are pruned by support, by confidence against the class's share (its ``lift``, and by how
+many standard errors it differs, so that a rare class can be blocked and chance makes no rule) and by
+redundancy (a rule goes if a part of its tokens is as confident).  Matching goes through an inverted index
+from each rule's rarest token, so a url meets only rules that share that token; the match of largest lift
+decides, ties by support, then by the tokens in order.  Without a match a url is allowed.
 
 Only DataFrame functions and Spark's own FP-growth run; the labelled rows that are mined are bounded
 by ``fit_rows`` (in expectation, chosen by a hash of the id), everything else covers all rows.
@@ -26,7 +27,10 @@ from . import common as C
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 FIT_ROWS = 200_000
 MIN_ROWS = 10
-MIN_CONFIDENCE = 0.6
+#: What a rule's confidence must be, as a multiple of its class's share, and in standard errors beyond it.
+MIN_LIFT, MIN_ERRORS = 1.2, 4.0
+#: Below this FP-growth makes no rules.
+MIN_CONFIDENCE = 0.05
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,8 +71,8 @@ def tokens_of(host: Column, path: Column, url: str) -> Column:
     return F.array_distinct(F.concat(words(host, "h:"), words(path, "p:"), words(F.array_join(names, " "), "q:")))
 
 
-def mine(pages: DataFrame, labels: DataFrame, page: str = "page_id", tokens: str = "tokens", key: str = "doc_id", fit_rows: int = FIT_ROWS, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, blocks, support, confidence): the rules.  A page labelled toxic or of quality 0 is to be blocked."""
+def mine(pages: DataFrame, labels: DataFrame, page: str = "page_id", tokens: str = "tokens", key: str = "doc_id", fit_rows: int = FIT_ROWS, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_errors: float = MIN_ERRORS) -> DataFrame:
+    """(tokens, blocks, support, confidence, lift): the rules.  A page labelled toxic or of quality 0 is to be blocked."""
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), True).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), False)
     own = labels.select(F.col(key).alias("label_key"), bad.alias("bad")).where("label_key IS NOT NULL AND bad IS NOT NULL")
     n = own.count()
@@ -79,14 +83,14 @@ def mine(pages: DataFrame, labels: DataFrame, page: str = "page_id", tokens: str
     n = rows.count()
     spark = pages.sparkSession
     if not n:
-        return spark.createDataFrame([], "tokens array<string>, blocks boolean, support double, confidence double")
+        return spark.createDataFrame([], "tokens array<string>, blocks boolean, support double, confidence double, lift double")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_rows / n, 0.0005)), minConfidence=min_confidence).fit(rows)
     rules = model.associationRules.where(F.size("consequent") == 1).withColumn("class", F.col("consequent")[0]).where(F.col("class").isin("=block", "=allow"))
-    # the class most rows have needs no rule to be assumed; rules must beat its share
     share = {r["bad"]: r["count"] / n for r in rows.groupBy("bad").count().collect()}
-    beats = F.when(F.col("class") == "=block", share.get(True, 0.0)).otherwise(share.get(False, 0.0))
-    found = rules.where(F.col("confidence") > beats).select(
-        F.array_sort("antecedent").alias("tokens"), (F.col("class") == "=block").alias("blocks"), "support", "confidence",
+    base = F.when(F.col("class") == "=block", share.get(True, 0.0)).otherwise(share.get(False, 0.0))
+    error = F.sqrt(base * (1 - base) / (F.col("support") * n / F.col("confidence")))  # of the share among so many rows
+    found = rules.where((F.col("confidence") >= base * min_lift) & (F.col("confidence") - base >= error * min_errors)).select(
+        F.array_sort("antecedent").alias("tokens"), (F.col("class") == "=block").alias("blocks"), "support", "confidence", (F.col("confidence") / base).alias("lift"),
     ).where(F.size("tokens") > 0)
     found = C.materialise(found, "rules")
     # redundant: a proper part of the tokens says the same with no less confidence.  Parts that lack one
@@ -98,19 +102,19 @@ def mine(pages: DataFrame, labels: DataFrame, page: str = "page_id", tokens: str
 
 
 def matched(urls: DataFrame, rules: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """(key, blocks, confidence, rule_tokens): the best rule of each url that any rule fits."""
+    """(key, blocks, confidence, support, lift, rule_tokens): the best rule of each url that any rule fits."""
     each = rules.withColumn("n", F.size("tokens")).select("*", F.explode("tokens").alias("token"))
     weight = each.groupBy("token").agg(F.max("support").alias("weight"))  # the more a token's rules hold, the commoner it is
-    lead = each.join(weight, "token").groupBy("tokens", "blocks", "support", "confidence").agg(F.min_by("token", F.struct("weight", "token")).alias("token"))
-    index = lead.select("token", F.col("tokens").alias("rule_tokens"), "blocks", "support", "confidence")
+    lead = each.join(weight, "token").groupBy("tokens", "blocks", "support", "confidence", "lift").agg(F.min_by("token", F.struct("weight", "token")).alias("token"))
+    index = lead.select("token", F.col("tokens").alias("rule_tokens"), "blocks", "support", "confidence", "lift")
     seen = urls.select(key, tokens, F.explode(tokens).alias("token"))
     hits = seen.join(index, "token").where(F.size(F.array_except("rule_tokens", tokens)) == 0)
-    order = F.struct("confidence", "support", (-F.size("rule_tokens")).alias("fewer"), F.array_join("rule_tokens", " ").alias("name"))
-    return hits.groupBy(key).agg(F.max_by(F.struct("blocks", "confidence", "rule_tokens"), order).alias("best")).select(key, "best.*")
+    order = F.struct("lift", "support", (-F.size("rule_tokens")).alias("fewer"), F.array_join("rule_tokens", " ").alias("name"))
+    return hits.groupBy(key).agg(F.max_by(F.struct("blocks", "confidence", "support", "lift", "rule_tokens"), order).alias("best")).select(key, "best.*")
 
 
 def judge(pages: DataFrame, labels: DataFrame, page: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
-    """(page, host, path, rule, verdict, confidence, rule_tokens) for each row of ``pages``."""
+    """(page, host, path, rule, verdict, confidence, support, lift, rule_tokens) for each row of ``pages``."""
     host, path = host_of(url), path_of(url)
     table = C.materialise(pages.select(F.col(page), host.alias("host"), path.alias("path"), tokens_of(host, path, url).alias("tokens"), F.monotonically_increasing_id().alias("row_number")), "urls")
     mined = C.materialise(mine(table, labels, page), "mined")
@@ -118,9 +122,10 @@ def judge(pages: DataFrame, labels: DataFrame, page: str = "page_id", url: str =
     ruled = table.withColumns({"rule": rule, "written": verdict})
     best = matched(ruled.where("written IS NULL"), mined, "row_number")
     learned = F.when(F.col("blocks"), "block").otherwise("allow")
-    return ruled.join(best, "row_number", "left").select(page, "host", "path", "rule", F.coalesce("written", learned).alias("verdict"), "confidence", "rule_tokens")
+    return ruled.join(best, "row_number", "left").select(page, "host", "path", "rule", F.coalesce("written", learned).alias("verdict"), "confidence", "support", "lift", "rule_tokens")
 
 
 def op8_association_rules(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("page_id", "host", "path", "rule", "verdict")
+    found = judge(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.array_join("rule_tokens", " ").alias("rule_tokens"), "confidence", "support", "lift")
