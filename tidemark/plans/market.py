@@ -260,7 +260,7 @@ def var_es(spark, d):
 
 
 def market_verdicts(spark, d):
-    """Each segment as a market: rank test of forward volatility over thirds of wpe, and its verdict."""
+    """Each segment as a market: mean forward volatility in the lowest and highest third of wpe, and whether the lowest has more."""
     own = R.forward_volatility(E.permutation_entropy(R.log_returns(B.by_segment(spark, d))), 20).where("wpe IS NOT NULL")
     own = own.withColumn("label", F.ntile(3).over(Window.partitionBy("ticker").orderBy(F.round("wpe", 9), "ts")) - 1).where("fv20 IS NOT NULL")
     means = own.groupBy("ticker").agg(F.count("*").alias("n"), F.avg(F.when(F.col("label") == 0, F.col("fv20"))).alias("low_wpe"), F.avg(F.when(F.col("label") == 2, F.col("fv20"))).alias("high_wpe"))
