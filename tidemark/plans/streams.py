@@ -12,8 +12,12 @@ from . import market as M
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below the shared one; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the shared one; a temporary one only in local mode, where none is set (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
