@@ -5,9 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tidemark.functions import frames as W
-from tidemark.operators import entropy as E, regimes as G, stats as S, volatility as V
+from tidemark.operators import entropy as E, regimes as G, rules as D, stats as S, volatility as V
 from tidemark.sources import bars as B
 
 
@@ -146,3 +147,43 @@ def test_forecasts_side_by_side_equal_single_fits():
     for own, got in zip(rows, V.forecasts_of(rows, 60)):
         m = V.fit_garch(own, None, 60)
         assert np.isclose(got, m["omega"] + m["alpha"] * m["resid"][-1] ** 2 + m["beta"] * m["s2"][-1], rtol=1e-6)
+
+
+def test_chi_square_tails():
+    # closed forms and table values
+    assert S.chi2_tail(2.0, 2) == pytest.approx(math.exp(-1))
+    for q, df in ((3.841, 1), (5.991, 2), (7.815, 3), (9.488, 4), (11.070, 5), (18.307, 10)):
+        assert S.chi2_tail(q, df) == pytest.approx(0.05, abs=2e-4)
+
+
+def brute_kruskal(groups):
+    values = sorted(v for g in groups for v in g)
+    rank = {v: np.mean([i + 1 for i, x in enumerate(values) if x == v]) for v in set(values)}
+    n = len(values)
+    h = 12 / (n * (n + 1)) * sum(sum(rank[v] for v in g) ** 2 / len(g) for g in groups) - 3 * (n + 1)
+    ties = sum(values.count(v) ** 3 - values.count(v) for v in set(values))
+    return h / (1 - ties / (n**3 - n))
+
+
+def test_kruskal_by_group_with_ties_signs_and_zero(spark):
+    rng = np.random.default_rng(4)
+    data = {"a": [[round(float(v), 1) for v in rng.normal(m, 1, 30)] for m in (0, 0.3, 1, 1)], "b": [[round(float(v), 1) for v in rng.normal(m, 5, 20)] for m in (0, 2)]}
+    rows = [(m, str(g), v) for m, gs in data.items() for g, own in enumerate(gs) for v in own]
+    rows += [("c", "0", 1.0), ("c", "0", 2.0), ("d", "0", 3.0), ("d", "1", 3.0), ("a", None, 1.0), ("a", "0", None), ("a", "few", 9.0)]
+    df = spark.createDataFrame(rows, "ticker string, g string, x double")
+    got = {r["ticker"]: r for r in S.kruskal(df.where("g != 'few' OR g IS NULL"), "g", "x", 1, ("ticker",)).collect()}
+    for m, gs in data.items():
+        assert got[m]["k"] == len(gs) and got[m]["h"] == pytest.approx(brute_kruskal(gs)) and got[m]["p"] == pytest.approx(S.chi2_tail(brute_kruskal(gs), len(gs) - 1))
+    assert got["c"]["h"] is None and got["c"]["p"] is None and got["d"]["h"] is None
+    whole = S.kruskal(df.where("ticker = 'a'"), "g", "x", 5).first()
+    assert whole["k"] == 4 and whole["h"] == pytest.approx(brute_kruskal(data["a"]))
+    assert S.kruskal(df.where("false"), "g", "x", 5, ("ticker",)).count() == 0
+
+
+def test_market_and_forecast_verdicts(spark):
+    rows = [(3, 0.01, True), (3, 0.5, True), (3, 0.01, False), (1, None, True), (None, None, None), (3, None, True)]
+    df = spark.createDataFrame(rows, "k long, p double, paradox boolean")
+    assert [r[0] for r in df.select(D.market_verdict(F.col("k"), F.col("p"), F.col("paradox"))).collect()] == ["PASS", "PARTIAL", "FAIL", "SKIP", "SKIP", "PARTIAL"]
+    scores = spark.createDataFrame([(t, f, q, r) for t, q, r in (("x", 0.5, 0.3), ("y", 0.5, 0.1), ("z", 2.0, 0.9)) for f, q, r in (("m", q, r), ("b", 1.0, 0.0))], "ticker string, forecast string, qlike double, r_sigma double")
+    got = {r["ticker"]: (r["verdict"], round(r["improvement_pct"])) for r in S.forecast_verdict(scores, "m", "b").collect()}
+    assert got == {"x": ("PASS", 50), "y": ("PARTIAL", 50), "z": ("FAIL", -100)}

@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables (a sample of them, each family once)."""
+"""Every query with SQL against DuckDB on the smallest tables."""
 
 import datetime
 import math
@@ -11,11 +11,7 @@ from tidemark.plans import catalog
 from .conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-NAMES = [
-    "bars_daily", "bars_by_segment", "bars_hourly", "length_guard", "ffill_locf", "latest_rows", "log_returns", "sma20", "rolling_minmax", "forward_vol", "forward_drawdown", "forward_runup",
-    "price_wpe_mfi", "price_sampen", "spe_z_rolling", "volume_z", "shannon_fixed", "regime_group_stats", "kruskal", "hit_rate_grid", "ljung_box", "qlike_mse", "var_es",
-    "gmm_posterior", "gmm_ellipse", "hysteresis_labels", "hysteresis_golden", "regime_islands", "garch_exog", "garch_variance", "verdicts", "trajectory_class", "conclusion_keys", "stream_bars", "stream_hysteresis",
-]
+NAMES = sorted(catalog.oracle_sql())
 
 
 def plain(v):

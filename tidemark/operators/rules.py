@@ -112,6 +112,6 @@ def conclusion(df: DataFrame, key: str = "conclusion_key", sigma: str = "sigma_a
     return own.withColumn("conclusion", F.replace("text", F.lit("{s}"), F.format_string("%.2f", F.col(sigma)))).drop("text", "text_key")
 
 
-def market_verdict(p: Column, paradox: Column) -> Column:
-    """PASS if the test is significant with the expected order of means, PARTIAL if only significant."""
-    return F.when(p.isNull(), "SKIP").when((p < 0.05) & paradox, "PASS").when(p < 0.05, "PARTIAL").otherwise("FAIL")
+def market_verdict(groups: Column, p: Column, paradox: Column) -> Column:
+    """SKIP below two groups, FAIL without the expected order of means; with it PASS if the test is significant, else PARTIAL."""
+    return F.when(F.coalesce(groups, F.lit(0)) < 2, "SKIP").when(~F.coalesce(paradox, F.lit(False)), "FAIL").when(p < 0.05, "PASS").otherwise("PARTIAL")

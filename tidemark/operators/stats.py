@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.frames import so_far, w
 
@@ -13,8 +14,12 @@ CLIP = 1e-12
 
 
 def chi2_tail(q: float, df: int) -> float:
-    """P(chi-square > q) for an even number of degrees of freedom."""
-    half, term, total = q / 2, 1.0, 1.0
+    """P(chi-square > q) for whole degrees of freedom."""
+    half = max(q, 0.0) / 2
+    if df % 2:
+        total = math.erfc(math.sqrt(half))
+        return min(1.0, total + math.exp(-half) * sum(half ** (j - 0.5) / math.gamma(j + 0.5) for j in range(1, (df + 1) // 2)))
+    term, total = 1.0, 1.0
     for k in range(1, df // 2):
         term *= half / k
         total += term
@@ -63,22 +68,41 @@ def spread(df: DataFrame, label: str, value: str) -> DataFrame:
     return means.agg((F.max("m") - F.min("m")).alias("spread"))
 
 
-def kruskal(df: DataFrame, label: str, value: str, least: int = 1) -> DataFrame:
-    """(n, k, h, p): rank test over the groups with ``least`` values or more, tie-corrected; p for three groups.
-
-    Ranks are global sums over distinct values, so only value counts are windowed."""
-    own = df.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("g"), F.col(value).alias("x"))
-    sizes = own.groupBy("g").agg(F.count("*").alias("n_g")).where(F.col("n_g") >= least)
-    own = own.join(F.broadcast(sizes.select("g")), "g")  # a row for each label
-    counts = own.groupBy("x").agg(F.count("*").alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("x", "t", (below + (F.col("t") + 1) / 2).alias("r"))
-    total = counts.agg(F.sum("t").alias("n"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    groups = own.join(ranks, "x").groupBy("g").agg(F.sum("r").alias("s"), F.count("*").alias("n_g"))
-    out = groups.agg(F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n_g")).alias("q")).join(total)
+def octave_bin(x: Column, parts: int = 256) -> Column:
+    """A number that never falls as ``x`` grows: the ``parts``-th of an octave that x lies in."""
+    return F.when(x == 0, F.lit(0)).otherwise((F.signum(x) * (F.floor(F.log2(F.abs(x)) * parts) + 2048 * parts)).cast("bigint"))
+
+
+def kruskal(df: DataFrame, label: str, value: str, least: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., n, k, h, p): rank test over the groups with ``least`` values or more, tie-corrected, for each ``by``;
+    a single group, or values that are all equal, give a null h and p.
+
+    Ranks count distinct values within a bin and add the bins below, so no window holds the whole column."""
+    by = list(by)
+    own = df.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(*by, F.col(label).alias("g"), F.col(value).cast("double").alias("x"))
+    sizes = own.groupBy(*by, "g").agg(F.count("*").alias("n_g")).where(F.col("n_g") >= least)
+    cells = own.groupBy(*by, "g", "x").agg(F.count("*").alias("c")).join(sizes.select(*by, "g"), [*by, "g"], "left_semi")
+    counts = cells.groupBy(*by, "x").agg(F.sum("c").alias("t")).withColumn("bin", octave_bin(F.col("x")))
+    up = Window.partitionBy(*by, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = counts.groupBy(*by, "bin").agg(F.sum("t").alias("n"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    bins = bins.withColumn("below", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    inside = F.coalesce(F.sum("t").over(up), F.lit(0))
+    ranks = counts.withColumn("inside", inside).join(bins.select(*by, "bin", "below"), [*by, "bin"]).select(*by, "x", (F.col("below") + F.col("inside") + (F.col("t") + 1) / 2).alias("r"))
+    groups = cells.join(ranks, [*by, "x"]).groupBy(*by, "g").agg(F.sum(F.col("r") * F.col("c")).alias("s"), F.sum("c").alias("n_g"))
+    out = groups.groupBy(*by).agg(F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n_g")).alias("q"))
+    total = bins.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("ties").alias("ties"))
+    out = out.join(total, by) if by else out.join(total)  # without ``by`` both are one row
     n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    return out.select("n", "k", h.alias("h")).withColumn("p", F.when(F.col("k") == 3, F.exp(-F.col("h") / 2)))
+    spread = 1 - F.col("ties") / F.nullif(n * n * n - n, F.lit(0.0))
+    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.when(spread > 0, spread)
+    out = out.select(*by, "n", "k", F.when(F.col("k") > 1, h).alias("h"))
+
+    @F.pandas_udf("double")
+    def tail(q: pd.Series, k: pd.Series) -> pd.Series:  # a row for each test
+        return pd.Series([None if v is None or math.isnan(v) else chi2_tail(v, int(d) - 1) for v, d in zip(q, k, strict=True)], dtype=float)
+
+    return out.withColumn("p", F.nanvl(tail("h", "k"), F.lit(None).cast("double")))
 
 
 def hit_rates(df: DataFrame, label: str, values: list[str], thresholds: list[float], below: bool = True) -> DataFrame:
@@ -106,14 +130,27 @@ def lead_lag(df: DataFrame, x: str, y: str, *leads: int) -> DataFrame:
 
 
 def forecast_scores(df: DataFrame, realised: str, *forecasts: str) -> DataFrame:
-    """(ticker, forecast, qlike, mse, r) of variance forecasts."""
-    parts = None
-    for f in forecasts:
-        u = F.greatest(F.col(realised), F.lit(CLIP)) / F.greatest(F.col(f), F.lit(CLIP))
-        own = df.where(F.col(realised).isNotNull() & F.col(f).isNotNull()).groupBy("ticker").agg(
-            F.lit(f).alias("forecast"), F.avg(u - F.ln(u) - 1).alias("qlike"), F.avg((F.col(realised) - F.col(f)) * (F.col(realised) - F.col(f))).alias("mse"), F.corr(realised, f).alias("r"))
-        parts = own if parts is None else parts.unionByName(own)
-    return parts
+    """(ticker, forecast, qlike, mse, r, r_sigma) of variance forecasts, in one pass; r_sigma correlates the roots."""
+    def scores(f):
+        known = F.col(realised).isNotNull() & F.col(f).isNotNull()
+        y, x = F.when(known, F.col(realised)), F.when(known, F.col(f))
+        u = F.when(known, F.greatest(y, F.lit(CLIP)) / F.greatest(x, F.lit(CLIP)))
+        return F.struct(
+            F.lit(f).alias("forecast"), F.avg(u - F.ln(u) - 1).alias("qlike"), F.avg((y - x) * (y - x)).alias("mse"), F.corr(y, x).alias("r"),
+            F.corr(F.sqrt(F.when(y >= 0, y)), F.sqrt(F.when(x >= 0, x))).alias("r_sigma")).alias(f)
+
+    own = df.groupBy("ticker").agg(*(scores(f) for f in forecasts))
+    return own.select("ticker", F.inline(F.array(*forecasts))).where("qlike IS NOT NULL")
+
+
+def forecast_verdict(scores: DataFrame, model: str, bench: str, least: float = 0.2) -> DataFrame:
+    """``scores`` with improvement_pct of the model over the benchmark, and PASS (better, and r_sigma over ``least``),
+    PARTIAL (better only) or FAIL."""
+    of = lambda f, x: F.max(F.when(F.col("forecast") == f, F.col(x))).over(Window.partitionBy("ticker"))
+    own = scores.withColumns({"_m": of(model, "qlike"), "_b": of(bench, "qlike"), "_r": of(model, "r_sigma")})
+    better = F.coalesce(F.col("_m") < F.col("_b"), F.lit(False))
+    own = own.withColumns({"improvement_pct": (1 - F.col("_m") / F.nullif(F.col("_b"), F.lit(0.0))) * 100, "verdict": F.when(better & (F.col("_r") > least), "PASS").when(better, "PARTIAL").otherwise("FAIL")})
+    return own.drop("_m", "_b", "_r")
 
 
 def cumulative_advantage(df: DataFrame, realised: str, model: str, bench: str) -> DataFrame:

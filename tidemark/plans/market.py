@@ -17,6 +17,7 @@ MIXTURE = [
 GARCH = {"mu": 0.0, "omega": 20.0, "alpha": 0.1, "beta": 0.8, "start": 900.0}
 SLICE = ("1994-01-01", "1996-12-31")
 LAMBDA = -0.7
+PIVOT = "1996-01-01"
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -260,11 +261,16 @@ def var_es(spark, d):
 
 
 def market_verdicts(spark, d):
-    """Each segment as a market: mean forward volatility in the lowest and highest third of wpe, and whether the lowest has more."""
-    own = R.forward_volatility(E.permutation_entropy(R.log_returns(B.by_segment(spark, d))), 20).where("wpe IS NOT NULL")
+    """Each segment as a market: rank test of forward volatility over thirds of wpe, mean of the lowest and the highest
+    third (of five values or more), and the verdict; markets with too little data are kept, as SKIP."""
+    bars = B.by_segment(spark, d)
+    own = R.forward_volatility(E.permutation_entropy(R.log_returns(bars)), 20).where("wpe IS NOT NULL")
     own = own.withColumn("label", F.ntile(3).over(Window.partitionBy("ticker").orderBy(F.round("wpe", 9), "ts")) - 1).where("fv20 IS NOT NULL")
-    means = own.groupBy("ticker").agg(F.count("*").alias("n"), F.avg(F.when(F.col("label") == 0, F.col("fv20"))).alias("low_wpe"), F.avg(F.when(F.col("label") == 2, F.col("fv20"))).alias("high_wpe"))
-    return r6(means.withColumn("paradox", F.col("low_wpe") > F.col("high_wpe")))
+    groups = own.groupBy("ticker", "label").agg(F.count("*").alias("n"), F.avg("fv20").alias("mean")).where("n >= 5")
+    means = groups.groupBy("ticker").agg(*(F.max(F.when(F.col("label") == k, F.col("mean"))).alias(c) for k, c in ((0, "low_wpe"), (2, "high_wpe"))))
+    out = bars.select("ticker").distinct().join(means, "ticker", "left").join(S.kruskal(own, "label", "fv20", 5, ("ticker",)), "ticker", "left")
+    paradox = F.coalesce(F.col("low_wpe") > F.col("high_wpe"), F.lit(False))
+    return r6(out.withColumns({"paradox": paradox, "verdict": D.market_verdict(F.col("k"), F.col("p"), paradox)}))
 
 
 # ---- models -----------------------------------------------------------------------------------
@@ -314,6 +320,7 @@ def hysteresis_labels(spark, d):
     return held(spark, d).select("ts", "raw", "held")
 
 
+#: Posteriors by case and the labels that must come out (fixed values).
 GOLDEN = {
     "noise": [[0.80, 0.10, 0.10], [0.40, 0.45, 0.15], [0.75, 0.15, 0.10]],
     "hard": [[0.80, 0.10, 0.10], [0.10, 0.85, 0.05]],
@@ -377,6 +384,17 @@ def garch_variance(spark, d):
     return r6(V.given_variance(own, **GARCH).select("ts", "cond_vol", "cond_vol_annual"))
 
 
+def lookahead_gap(spark, d):
+    """What bars up to a pivot see of a tripled volume after it: median relative change of the rolling score (none) and of
+    the global score (looks ahead by design), over the bars that both series have."""
+    bars = B.daily(spark, d)
+    one = E.volume_base(bars).select("ts", "vol_rolling_z", "vol_global_z")
+    two = E.volume_base(bars.withColumn("volume", F.when(F.col("ts") > F.lit(PIVOT).cast("date"), F.col("volume") * 3).otherwise(F.col("volume")))).select("ts", F.col("vol_rolling_z").alias("z"), F.col("vol_global_z").alias("g"))
+    common = one.where((F.col("ts") <= F.lit(PIVOT).cast("date")) & F.col("vol_rolling_z").isNotNull()).select("ts").intersect(two.where("z IS NOT NULL").select("ts"))
+    gap = lambda x, y: F.median(F.abs(F.col(x) - F.col(y)) / F.nullif(F.abs(x), F.lit(0.0)))
+    return r6(common.join(one, "ts").join(two, "ts").agg(F.count("*").alias("n_common"), gap("vol_rolling_z", "z").alias("rolling_gap"), gap("vol_global_z", "g").alias("global_gap")))
+
+
 def breadth_ratio(spark, d):
     two = S.correlations(B.basket_returns(B.by_segment(spark, d)).where("ret IS NOT NULL"), 22).where("a = 'AUTOMOBILE' AND b = 'BUILDING'")
     own = two.select(F.lit("ALL").alias("ticker"), "ts", E.two_asset_entropy(F.col("r")).alias("cse"))
@@ -394,7 +412,7 @@ def garch_x_fit(spark, d):
 def rolling_forecast_eval(spark, d):
     """A forecast for each bar after the first window."""
     own = lr(spark, d).withColumn("pct", F.col("lr") * 100)
-    return r6(S.forecast_scores(V.rolling_forecasts(own), "realised", "garch", "benchmark"))
+    return r6(S.forecast_verdict(S.forecast_scores(V.rolling_forecasts(own), "realised", "garch", "benchmark"), "garch", "benchmark"))
 
 
 # ---- decisions --------------------------------------------------------------------------------
@@ -484,6 +502,6 @@ QUERIES = {
     ordinal_patterns, price_wpe_mfi, brand_wpe, wpe_order4, wpe_kinematics, price_sampen, spe_z_global, spe_z_rolling, volume_z, volume_sampen, shannon_fixed, shannon_auto, corr_pairs, corr_entropy_two, corr_entropy_basket,
     regime_group_stats, regime_spread, kruskal, hit_rate_grid, lift_table, lead_lag, value_counts, alert_names, ljung_box, qlike_mse, cum_qlike, forecast_winner, var_es, market_verdicts,
     gmm_posterior, semantic_shares, cluster_semantics, gmm_ellipse, ellipse_polyline, yeo_johnson, hysteresis_labels, hysteresis_golden, label_diagnostics, label_flips, regime_islands, calibration_rank, price_regimes, volume_regimes, walk_forward,
-    garch_exog, garch_variance, breadth_ratio, garch_fit, garch_x_fit, rolling_forecast_eval,
+    garch_exog, garch_variance, lookahead_gap, breadth_ratio, garch_fit, garch_x_fit, rolling_forecast_eval,
     regime_multiplier, verdicts, divergence_alerts, trajectory_class, conclusion_keys, breadth_labels, risk_verdict, tool_results_json, analysis_frame,
 )}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .market import GARCH, GOLDEN, GOLDEN_HELD, LAMBDA, MIXTURE, SLICE
+from .market import GARCH, GOLDEN, GOLDEN_HELD, LAMBDA, MIXTURE, PIVOT, SLICE
 
 LINE = "row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
 OHLCV = "arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close, sum(v)::DOUBLE AS volume"
@@ -134,7 +134,7 @@ def q(with_: str, select: str, recursive: bool = False) -> str:
 ALL = "ticker, ts, open, high, low, close, volume"
 fc = f"""{daily}, {lr}, fc AS (SELECT *, lr * lr AS rv, {full(f'var_samp(lr) OVER {before(22)}', 'lr', before(22), 22)} AS f22, {full(f'var_samp(lr) OVER {before(60)}', 'lr', before(60), 60)} AS f60 FROM lr),
 ql AS (SELECT *, greatest(rv, 1e-12) / greatest(f22, 1e-12) AS u22, greatest(rv, 1e-12) / greatest(f60, 1e-12) AS u60 FROM fc)"""
-scores = " UNION ALL ".join(f"SELECT ticker, 'f{n}' AS forecast, avg(u{n} - ln(u{n}) - 1) AS qlike, avg((rv - f{n}) * (rv - f{n})) AS mse, corr(rv, f{n}) AS r FROM ql WHERE rv IS NOT NULL AND f{n} IS NOT NULL GROUP BY ticker" for n in (22, 60))
+scores = " UNION ALL ".join(f"SELECT ticker, 'f{n}' AS forecast, avg(u{n} - ln(u{n}) - 1) AS qlike, avg((rv - f{n}) * (rv - f{n})) AS mse, corr(rv, f{n}) AS r, corr(sqrt(rv), sqrt(f{n})) AS r_sigma FROM ql WHERE rv IS NOT NULL AND f{n} IS NOT NULL GROUP BY ticker" for n in (22, 60))
 stats = " UNION ALL ".join(f"SELECT regime, 'fv{h}' AS measure, count(*) AS n, {r(f'avg(fv{h})', 'mean')}, {r(f'median(fv{h})', 'median')}, {r(f'stddev_samp(fv{h})', 'sd')} FROM reg WHERE fv{h} IS NOT NULL GROUP BY regime" for h in (5, 10, 20))
 hits = " UNION ALL ".join(f"SELECT regime, 'fdd{h}' AS measure, {t}::DOUBLE AS threshold, count(*) AS n, {r(f'avg((fdd{h} < {t})::INT)', 'rate')} FROM reg WHERE fdd{h} IS NOT NULL GROUP BY regime" for h in (5, 10, 20) for t in (-5.0, -10.0, -20.0))
 leads = " UNION ALL ".join(f"SELECT ticker, {k} AS lead, {r(f'corr(wpe, y{k})', 'r')} FROM ll GROUP BY ticker" for k in (0, 5, 10, 20))
@@ -148,6 +148,12 @@ def _box(lags: int) -> str:
     return f"SELECT ticker, {r('q', 'q')}, {r(f'least(1.0, exp(-q / 2) * ({tail}))', 'p')}, {lags} AS lags FROM (SELECT ticker, n * (n + 2) * ({qs}) AS q FROM (SELECT ticker, count(*) AS n, sum(d * d) AS v, {cols} FROM (SELECT *, {lag} FROM dv) GROUP BY ticker))"
 
 
+def _best(states: int) -> float:
+    """Entropy halfway between the uniform distribution and a certain state."""
+    u = 1 / states
+    return -((1 + u) / 2) * math.log((1 + u) / 2) - (states - 1) * (u / 2) * math.log(u / 2)
+
+
 def _ellipse(k: int, c: dict) -> str:
     mid, half = (c["sxx"] + c["syy"]) / 2, math.sqrt(((c["sxx"] - c["syy"]) / 2) ** 2 + c["sxy"] ** 2)
     angle = math.degrees(math.atan2(mid + half - c["sxx"], c["sxy"]))
@@ -225,13 +231,21 @@ SQL = {
     "value_counts": q(labelled, "SELECT regime, count(*) AS n FROM reg GROUP BY regime"),
     "alert_names": q(f"{labelled}, al AS (SELECT CASE regime WHEN 'Deterministic' THEN 'Chaos' WHEN 'Transitional' THEN 'Fragile' ELSE 'Stable' END AS alert FROM reg)", "SELECT alert, count(*) AS n, max((alert = 'Chaos')::INT) AS is_chaos FROM al GROUP BY alert"),
     "ljung_box": q(f"{daily}, {lr}, dv AS (SELECT ticker, ts, lr * lr * 100 - avg(lr * lr * 100) OVER () AS d FROM lr WHERE lr IS NOT NULL)", f"{_box(10)} UNION ALL {_box(20)}"),
-    "qlike_mse": q(fc, f"SELECT ticker, forecast, {', '.join(r(c, c) for c in ('qlike', 'mse', 'r'))} FROM ({scores})"),
+    "qlike_mse": q(fc, f"SELECT ticker, forecast, {', '.join(r(c, c) for c in ('qlike', 'mse', 'r', 'r_sigma'))} FROM ({scores})"),
     "cum_qlike": q(fc, f"SELECT ts, {r(f'sum((u60 - ln(u60) - 1) - (u22 - ln(u22) - 1)) OVER {frame("UNBOUNDED PRECEDING", "CURRENT ROW")}', 'cum_adv')} FROM ql WHERE rv IS NOT NULL AND f22 IS NOT NULL AND f60 IS NOT NULL"),
     "forecast_winner": q(fc, f"SELECT arg_min(forecast, qlike) AS winner, {r('(1 - min(qlike) / max(qlike)) * 100', 'improvement_pct')} FROM ({scores})"),
     "var_es": q(f"{daily}, {lr}, ct AS (SELECT quantile_cont(lr, 0.05) AS v FROM lr)", f"SELECT ticker, {r('v', 'var')}, {r('avg(lr) FILTER (WHERE lr < v)', 'es')} FROM lr, ct GROUP BY ticker, v"),
     "market_verdicts": q(
         f"{segment}, {wpe('lr')}, fw AS (SELECT *, {forward} FROM wpe), lab AS (SELECT *, ntile(3) OVER (PARTITION BY ticker ORDER BY round(wpe, 9), ts) - 1 AS label FROM fw WHERE wpe IS NOT NULL), "
-        "mm AS (SELECT ticker, count(*) AS n, avg(fv20) FILTER (WHERE label = 0) AS lo, avg(fv20) FILTER (WHERE label = 2) AS hi FROM lab WHERE fv20 IS NOT NULL GROUP BY ticker)", f"SELECT ticker, n, {r('lo', 'low_wpe')}, {r('hi', 'high_wpe')}, lo > hi AS paradox FROM mm"),
+        "gm AS (SELECT ticker, label, count(*) AS c, avg(fv20) AS m FROM lab WHERE fv20 IS NOT NULL GROUP BY ALL HAVING count(*) >= 5), "
+        "ok AS (SELECT ticker, label, fv20 FROM lab SEMI JOIN gm USING (ticker, label) WHERE fv20 IS NOT NULL), "
+        "rk AS (SELECT ticker, label, rank() OVER (PARTITION BY ticker ORDER BY fv20) + (count(*) OVER (PARTITION BY ticker, fv20) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY ticker, fv20) AS t FROM ok), "
+        "gr AS (SELECT ticker, sum(r) AS s, count(*) AS n FROM rk GROUP BY ticker, label), tt AS (SELECT ticker, count(*)::DOUBLE AS n, sum(t * t - 1.0) AS ties FROM rk GROUP BY ticker), "
+        "h AS (SELECT ticker, tt.n, count(*) AS k, (12 / (tt.n * (tt.n + 1)) * sum(s * s / gr.n) - 3 * (tt.n + 1)) / (1 - any_value(ties) / (tt.n * tt.n * tt.n - tt.n)) AS h FROM gr JOIN tt USING (ticker) GROUP BY ticker, tt.n), "
+        "mm AS (SELECT ticker, max(m) FILTER (WHERE label = 0) AS lo, max(m) FILTER (WHERE label = 2) AS hi FROM gm GROUP BY ticker), "
+        "al AS (SELECT * FROM (SELECT DISTINCT ticker FROM bars) LEFT JOIN mm USING (ticker) LEFT JOIN h USING (ticker))",
+        f"SELECT ticker, n::BIGINT AS n, k, {r('CASE WHEN k > 1 THEN h END', 'h')}, {r('CASE k WHEN 3 THEN exp(-h / 2) END', 'p')}, {r('lo', 'low_wpe')}, {r('hi', 'high_wpe')}, coalesce(lo > hi, false) AS paradox, "
+        "CASE WHEN coalesce(k, 0) < 2 THEN 'SKIP' WHEN NOT coalesce(lo > hi, false) THEN 'FAIL' WHEN exp(-h / 2) < 0.05 THEN 'PASS' ELSE 'PARTIAL' END AS verdict FROM al"),
     "gmm_posterior": q(posterior, f"SELECT ts, {', '.join(r(f'p{k}', f'p{k}') for k in range(3))}, top AS label FROM lb"),
     "semantic_shares": q(posterior, f"SELECT ts, {r('p1', 'q0')}, {r('p0 + p2', 'q1')} FROM po"),
     "cluster_semantics": "SELECT cluster::INT AS cluster, label::INT AS label, name FROM (VALUES " + ", ".join(f"({k}, {lab}, '{['Deterministic', 'Transitional', 'Stochastic'][lab]}')" for lab, k in enumerate(sorted(range(3), key=lambda k: MIXTURE[k]["mx"] + MIXTURE[k]["my"]))) + ") AS v(cluster, label, name)",
@@ -260,5 +274,41 @@ SQL = {
     "divergence_alerts": q(decisions, "SELECT CASE WHEN regime = 'Deterministic' AND flow <> 'Consensus Flow' THEN 'HOLLOW RALLY' WHEN regime = 'Stochastic' AND vol_global_z < 0 THEN 'CAPITULATION VACUUM' WHEN vol_global_z > 0 AND s >= 1.5 THEN 'CLIMAX DISTRIBUTION' ELSE 'NONE' END AS alert, count(*) AS n FROM de GROUP BY ALL"),
     "trajectory_class": q(decisions, f"SELECT CASE WHEN {_v} > 0 AND {_a} > 0 THEN 'accelerating_up' WHEN {_v} > 0 AND {_a} < 0 THEN 'rising_slower' WHEN {_v} < 0 AND {_a} < 0 THEN 'cooling_fast' WHEN {_v} < 0 AND {_a} > 0 THEN 'falling_slower' ELSE 'stationary' END AS trajectory, {_trend} AS trend, count(*) AS n FROM de GROUP BY ALL"),
     "conclusion_keys": q(decisions, f"SELECT CASE WHEN regime = 'Deterministic' THEN 'Deterministic/' || CASE WHEN above THEN 'above' ELSE 'below' END || '/' || CASE WHEN {_v} > 0.005 THEN 'rising' ELSE 'other' END ELSE regime || '/' || {_trend} END AS conclusion_key, count(*) AS n FROM de GROUP BY ALL"),
+    "wpe_order4": q(
+        f"{daily}, {lr}, x4 AS (SELECT *, lag(lr, 3) OVER {W} AS a, lag(lr, 2) OVER {W} AS b, lag(lr, 1) OVER {W} AS c, lr AS d, row_number() OVER {W} AS rn FROM lr), "
+        "p4 AS (SELECT rn, (a <= b)::INT + 2 * (a <= c)::INT + 4 * (a <= d)::INT + 8 * (b <= c)::INT + 16 * (b <= d)::INT + 32 * (c <= d)::INT AS k, list_var_pop([a, b, c, d]) AS wt FROM x4 WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL), "
+        "w4 AS (SELECT t.rn, k, sum(wt) AS w FROM x4 t JOIN p4 ON p4.rn BETWEEN t.rn - 57 AND t.rn - 1 WHERE t.rn > 60 GROUP BY ALL), s4 AS (SELECT rn, w / sum(w) OVER (PARTITION BY rn) AS p FROM w4 QUALIFY sum(w) OVER (PARTITION BY rn) > 0), "
+        f"e4 AS (SELECT rn, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS sp, sum(-((p + {1 / 24!r}) / 2) * ln((p + {1 / 24!r}) / 2)) + (24 - count(*)) * {-(1 / 48) * math.log(1 / 48)!r} AS sm FROM s4 GROUP BY rn)",
+        f"SELECT ts, {r(f'sp / {math.log(24)!r}', 'wpe')}, {r(f'(sm - sp / 2 - {math.log(24) / 2!r}) / {_best(24) - math.log(24) / 2!r} * sp / {math.log(24)!r}', 'complexity')} FROM x4 LEFT JOIN e4 USING (rn)"),
+    "shannon_auto": q(
+        # bins as numpy's "auto": the narrower of Sturges' width and Freedman-Diaconis', the latter at least half of the square root's
+        f"{daily}, {volume.format(src='bars')}, n AS (SELECT ts, vol_global_z AS x, row_number() OVER {W} AS rn, list(vol_global_z) OVER {before(60)} AS seg FROM vz), "
+        "s1 AS (SELECT rn, ts, seg, list_min(seg) AS lo, list_max(seg) AS hi, list_aggregate(seg, 'quantile_cont', 0.75) - list_aggregate(seg, 'quantile_cont', 0.25) AS iqr FROM n WHERE rn > 60), "
+        "s2 AS (SELECT *, least(greatest(2 * iqr / pow(60, 1 / 3.0), (hi - lo) / sqrt(60.0) / 2), (hi - lo) / (log2(60.0) + 1)) AS width FROM s1), "
+        "s3 AS (SELECT rn, lo, hi, ceil((hi - lo) / width)::INT AS bins, unnest(seg) AS v FROM s2 WHERE hi > lo), "
+        "s4 AS (SELECT rn, bins, least(floor((v - lo) / (hi - lo) * bins)::INT, bins - 1) AS b, count(*) AS c FROM s3 GROUP BY ALL), "
+        "s5 AS (SELECT rn, CASE WHEN bins < 2 THEN 0 ELSE least(1, greatest(0, sum(-(c / 60.0) * ln(c / 60.0)) / ln(bins))) END AS h FROM s4 GROUP BY rn, bins)",
+        f"SELECT ts, {r('CASE WHEN n.rn > 60 THEN coalesce(h, 0) END', 'shannon')} FROM n LEFT JOIN s5 USING (rn)"),
+    "tool_results_json": q(
+        DW, "SELECT 'market_data' AS tool, '{\"status\":\"success\",\"n_bars\":' || count(*) || ',\"first\":\"' || min(ts) || '\",\"last\":\"' || max(ts) || '\"}' AS result FROM bars UNION ALL "
+        "SELECT 'price_metrics', '{\"status\":\"success\",\"date\":\"' || ts || '\",\"wpe\":' || round(wpe, 4) || ',\"mfi\":' || round(wpe * (1 - complexity), 4) || '}' FROM (SELECT * FROM wpe WHERE wpe IS NOT NULL ORDER BY ts DESC LIMIT 1)"),
+    "calibration_rank": q(
+        f"""{posterior}, gd AS (SELECT * FROM (SELECT unnest([0.3, 0.4, 0.5, 0.6])::DOUBLE AS hard), (SELECT unnest([0.15, 0.2, 0.25, 0.3, 0.35])::DOUBLE AS soft), (SELECT unnest([3, 5, 8, 13, 21])::INT AS persist) WHERE hard >= soft),
+cal AS (SELECT hard, soft, persist, n, top AS held, -1 AS pending, 0 AS cnt FROM lb, gd WHERE n = 1
+  UNION ALL
+  SELECT hard, soft, persist, n, CASE WHEN flip THEN top ELSE old END, CASE WHEN NOT flip AND margin >= soft THEN top ELSE -1 END, CASE WHEN NOT flip AND margin >= soft THEN c ELSE 0 END FROM (
+    SELECT *, top = old OR margin >= hard OR (margin >= soft AND c >= persist) AS flip FROM (
+      SELECT cal.hard, cal.soft, cal.persist, lb.n, lb.top, cal.held AS old, CASE WHEN cal.pending = lb.top THEN cal.cnt + 1 ELSE 1 END AS c, lb.pt - CASE cal.held WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS margin
+      FROM cal JOIN lb ON lb.n = cal.n + 1))),
+ch AS (SELECT *, (held <> lag(held) OVER x)::INT AS fh, (top <> lag(top) OVER x)::INT AS fr, (top = held)::INT AS same FROM cal JOIN (SELECT ticker, n, top FROM lb) USING (n) WINDOW x AS (PARTITION BY hard, soft, persist ORDER BY n)),
+fi AS (SELECT ticker, hard, soft, persist, coalesce(sum(fr), 0) * 252.0 / count(*) AS raw_per_year, coalesce(sum(fh), 0) * 252.0 / count(*) AS held_per_year, avg(same) AS agreement FROM ch GROUP BY ALL),
+fo AS (SELECT *, held_per_year BETWEEN 4 AND 10 AS in_band, abs(held_per_year - 7) AS distance, round(hard - soft, 6) AS width FROM fi)""",
+        f"SELECT ticker, hard, soft, persist, {r('raw_per_year', 'raw_per_year')}, {r('held_per_year', 'held_per_year')}, {r('agreement', 'agreement')}, in_band, {r('distance', 'distance')}, width, row_number() OVER (PARTITION BY ticker ORDER BY in_band DESC, round(distance, 6), width, persist, hard)::INT AS place FROM fo", True),
+    "lookahead_gap": q(
+        f"{daily.replace('bars AS', 'bars0 AS')}, bars AS (SELECT * FROM bars0), {volume.format(src='bars')}, "
+        f"lv2 AS (SELECT *, ln(1 + greatest(volume * CASE WHEN ts > '{PIVOT}' THEN 3 ELSE 1 END, 0)) AS lv FROM bars), "
+        f"vz2 AS (SELECT *, (lv - avg(lv) OVER (PARTITION BY ticker)) / stddev_samp(lv) OVER (PARTITION BY ticker) AS g, (lv - avg(lv) OVER {upto(252)}) / nullif(stddev_samp(lv) OVER {upto(252)}, 0) AS z FROM lv2), "
+        f"co AS (SELECT ts FROM vz WHERE ts <= '{PIVOT}' AND vol_rolling_z IS NOT NULL INTERSECT SELECT ts FROM vz2 WHERE z IS NOT NULL)",
+        f"SELECT count(*) AS n_common, {r('median(abs(vol_rolling_z - z) / nullif(abs(vol_rolling_z), 0))', 'rolling_gap')}, {r('median(abs(vol_global_z - g) / nullif(abs(vol_global_z), 0))', 'global_gap')} FROM co JOIN vz USING (ts) JOIN vz2 USING (ts)"),
     "breadth_labels": "SELECT x::DOUBLE AS cse, CASE WHEN x < 40 THEN 'COHESIVE' WHEN x > 70 THEN 'DISLOCATED' ELSE 'FRAGMENTING' END AS label FROM (SELECT unnest(range(0, 101, 5)) AS x)",
 }
