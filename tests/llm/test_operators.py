@@ -62,7 +62,7 @@ def test_decontamination(spark, odd, small, monkeypatch):
     assert not any(r[2] for r in hits(decontaminate.contamination(docs, bench.where("item_id > 99"), out="c")))
     assert decontaminate.contamination(empty(docs), bench, out="c").count() == 0
     monkeypatch.undo()
-    got = [tuple(r) for r in decontaminate.op1_suffix_decontamination(spark, DATA).collect()]
+    got = [tuple(r)[:6] for r in decontaminate.op1_suffix_decontamination(spark, DATA).collect()]
     assert sorted(got) == sorted(brute.contamination(small[1], [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]))
 
 
@@ -73,6 +73,28 @@ def test_longest_matches(odd):
     assert (best["place"], best["length"], best["doc"], best["word"]) == (0, 30, 9, 50) and len(words) == 130
 
 
+@pytest.mark.parametrize("block", [300, 4 << 20])
+def test_longest_match_of_each_document(odd, monkeypatch, block):
+    docs, bench, rows, items = odd
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    words = lambda t: brute.ALNUM.findall((t or "").translate(brute.LOW))
+    want = []
+    for doc, text, *_ in rows:
+        own, best = words(text), None
+        for item, told in items:
+            other = words(told)
+            for a in range(len(own)):
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(own) and b + n < len(other) and own[a + n] == other[b + n]:
+                        n += 1
+                    if n and n >= min(decontaminate.WINDOW, len(other)):
+                        best = decontaminate.longer(best, (n, a, None if item is None else str(item), b))
+        want.append((doc, best))
+    got = [(r["doc_id"], r["longest"] and tuple(r["longest"])) for r in decontaminate.contamination(docs, bench, out="c").select("doc_id", "c.longest").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(b for _, b in want)
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(0)
     for _ in range(20):

@@ -2,8 +2,10 @@
 
 Each task holds a shard of documents as one sequence of word numbers over the benchmark's vocabulary
 (other words and document ends are terminators), sorts the shard's suffixes as deep as the longest
-item, and finds every suffix of every item by binary search: its longest verbatim match, and the
-range of positions where its first ``window`` words occur.  Words in occurrences are hit.
+item, and finds every suffix of every item by binary search: its longest verbatim match is with a
+neighbour of its place.  Where that match has ``window`` words or more, two more searches give the range
+of positions that share the window; the words there are hit, and the match is followed at each position to
+its end, so that every document gets its own longest match.
 
 The benchmark goes to executors in blocks of ``BLOCK_BYTES`` of text, each read, broadcast and
 searched for itself, one pass after the other; what a pass found travels with its row.  Documents
@@ -59,6 +61,8 @@ class Items:
         self.place = self.suffix - start[self.text] if len(self.text) else self.suffix
         size = np.array([min(window, len(t)) for t in self.texts], np.int64)[self.text] if len(self.text) else self.suffix
         self.window = np.where(self.length >= size, size, 0)
+        #: Place of each text in the order of its least id; texts without id come last.
+        self.rank = np.argsort(sorted(range(len(self.names)), key=lambda t: (not self.names[t], self.names[t][:1])))
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -156,9 +160,9 @@ class Shard:
         return np.searchsorted(self.first, positions, "right") - 1
 
     def occurrences(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
-        """(position, suffix) for every place where a whole window of an item occurs."""
-        own = np.flatnonzero(items.window > 0)
-        if not len(own) or not len(self.array):
+        """(position, suffix) for every place where a whole window of an item occurs: of suffixes whose longest match is that long."""
+        own = np.flatnonzero((items.window > 0) & (self.longest(items)[0] >= items.window))
+        if not len(own):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         # equal windows are searched once
         keys = {}
@@ -200,15 +204,18 @@ FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("longest", T.StructType([T.StructField("length", T.LongType()), T.StructField("word", T.LongType()), T.StructField("item", T.StringType()), T.StructField("place", T.LongType())])),
 ])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, out: str = "contamination") -> DataFrame:
-    """``docs`` with a struct appended (last column): n_words, hit word ranges, and the items found."""
+    """``docs`` with a struct appended (last column): n_words, hit word ranges, the items found, and the longest verbatim
+    match of a window or more (its words, where it begins in the document, the item, and where in it; ties go to the first
+    word, then the least item; null: none)."""
     sc = docs.sparkSession.sparkContext
     raw, name = C.fresh("raw_text", docs.columns), C.fresh(out, docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(raw, T.BinaryType()), T.StructField(name, FOUND)])
-    kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.struct([("length", pa.int64()), ("word", pa.int64()), ("item", pa.string()), ("place", pa.int64())]))])
     found = docs.withColumn(raw, C.text_of(text)).withColumn(name, F.lit(None).cast(FOUND))
 
     def one(shared):
@@ -224,8 +231,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 hit = np.append(np.cumsum(edge[:-1]) > 0, False)
                 ends = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0))
                 starts, stops = ends[::2], ends[1::2]
-                of = shard.doc(starts)
-                pair = np.unique(np.stack([shard.doc(position), items.text[suffix]]), axis=1)
+                of, doc = shard.doc(starts), shard.doc(position)
+                far = common_length(shard.words, position, items.words, items.suffix[suffix], items.length[suffix])
+                text = items.text[suffix]
+                order = np.lexsort((items.place[suffix], items.rank[text] if len(text) else text, position, -far, doc))
+                top = order[np.diff(doc[order], prepend=-1) != 0]
+                longest = {int(doc[k]): (int(far[k]), int(position[k] - shard.first[doc[k]]), next(iter(items.names[text[k]]), None), int(items.place[suffix[k]])) for k in top}
+                pair = np.unique(np.stack([doc, text]), axis=1)
                 ranges: dict[int, list] = {}
                 for d, a, b in zip(of.tolist(), starts.tolist(), stops.tolist(), strict=True):
                     ranges.setdefault(d, []).append((a - int(shard.first[d]), b - int(shard.first[d])))
@@ -235,10 +247,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 before = batch.column(name).to_pylist() if batch.column(name).null_count < len(batch) else [None] * len(batch)
                 rows = []
                 for d, old in enumerate(before):
-                    own, who = ranges.get(d, []), names.get(d, set())
+                    own, who, most = ranges.get(d, []), names.get(d, set()), longest.get(d)
                     if old:
                         own, who = merged([(x["start"], x["end"]) for x in old["hits"]] + own), who | set(old["items"])
-                    rows.append({"n_words": int(at[d + 1] - at[d]), "hits": [{"start": a, "end": b} for a, b in own], "items": sorted(who)})
+                        most = longer(most, old["longest"] and tuple(old["longest"].values()))
+                    rows.append({"n_words": int(at[d + 1] - at[d]), "hits": [{"start": a, "end": b} for a, b in own], "items": sorted(who), "longest": most and dict(zip(("length", "word", "item", "place"), most, strict=True))})
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=batch.schema.names)
 
         return work
@@ -261,10 +274,15 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def longer(a: tuple | None, b: tuple | None) -> tuple | None:
+    """Of two matches (length, word, item, place) the longer, then the earlier, then that of the lesser item."""
+    return min((x for x in (a, b) if x), key=lambda x: (-x[0], x[1], x[2] is None, x[2] or "", x[3]), default=None)
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = WINDOW) -> DataFrame:
     """(item_text, place, length, doc, word): for each suffix of each distinct item text (as its list of
     item ids), the longest verbatim match of ``least`` words or more over all shards, and where it is.
-    Ties go to the smallest document key, then the first word."""
+    A shard names one of its longest matches; between shards, ties go to the smallest document key, then the first word."""
     sc = docs.sparkSession.sparkContext
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc"), C.text_of(text).alias("raw"))
@@ -288,8 +306,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
         all_found = found if all_found is None else all_found.unionByName(found)
     if all_found is None:
         return docs.sparkSession.createDataFrame([], f"items array<string>, place bigint, length bigint, doc {kind}, word bigint")
-    best = F.max_by(F.struct("length", "doc", "word"), F.struct("length", F.struct((-F.xxhash64("doc")).alias("h")), (-F.col("word")).alias("w")))
-    return all_found.groupBy("items", "place").agg(best.alias("b")).select("items", "place", "b.length", "b.doc", "b.word")
+    best = F.min(F.struct((-F.col("length")).alias("less"), "doc", "word"))
+    return all_found.groupBy("items", "place").agg(best.alias("b")).select("items", "place", (-F.col("b.less")).alias("length"), "b.doc", "b.word")
 
 
 def hit_words(name: str):
@@ -302,11 +320,13 @@ def contaminated(name: str):
 
 
 def op1_suffix_decontamination(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, then the words of each document's longest verbatim match (0: none) and the word it begins at."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
         "doc_id", F.col("contamination.n_words"), hit_words("contamination").alias("n_hit"), F.size("contamination.items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "contamination.items"), 256).alias("items_sha256"), contaminated("contamination").alias("contaminated"),
+        F.coalesce("contamination.longest.length", F.lit(0).cast("bigint")).alias("longest_match"), F.col("contamination.longest.word").alias("longest_at"),
     )
 
 
@@ -319,13 +339,16 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
-i AS (SELECT item_id, ws, least(13, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
-iw AS (SELECT DISTINCT item_id, k, array_to_string(ws[j : j + k - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS j FROM i)),
+i AS (SELECT row_number() OVER () AS i, item_id, ws, least(13, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+iw AS (SELECT i, item_id, k, ji, array_to_string(ws[ji : ji + k - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS ji FROM i)),
 dw AS (SELECT rid, k, j, array_to_string(ws[j : j + k - 1], ' ') AS w FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM iw))),
-m AS (SELECT rid, j, k, item_id FROM dw JOIN iw USING (k, w)),
+m AS (SELECT rid, j, k, i, ji, item_id FROM dw JOIN iw USING (k, w)),
+run AS (SELECT rid, k, j, j - row_number() OVER (PARTITION BY rid, i, j - ji ORDER BY j) AS part, i, j - ji AS diagonal FROM m),
+far AS (SELECT rid, min(j) - 1 AS word, count(*) + k - 1 AS length FROM run GROUP BY rid, i, diagonal, part, k),
+lm AS (SELECT rid, max(length) AS length, arg_min(word, (-length, word)) AS word FROM far GROUP BY rid),
 h AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(j, j + k)) AS p FROM m) GROUP BY rid),
 t AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM m) GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.s, '')) AS items_sha256,
-  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) AS contaminated, coalesce(lm.length, 0)::BIGINT AS longest_match, lm.word::BIGINT AS longest_at
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN lm USING (rid)
 """
