@@ -10,6 +10,7 @@ from tests.conftest import DATA
 from tidemark.functions import frames as W
 from tidemark.operators import entropy as E, regimes as G, rules as D, stats as S, volatility as V
 from tidemark.sources import bars as B
+from tidemark.streaming import ticks as K
 
 
 def series(spark, x, name="lr"):
@@ -187,3 +188,83 @@ def test_market_and_forecast_verdicts(spark):
     scores = spark.createDataFrame([(t, f, q, r) for t, q, r in (("x", 0.5, 0.3), ("y", 0.5, 0.1), ("z", 2.0, 0.9)) for f, q, r in (("m", q, r), ("b", 1.0, 0.0))], "ticker string, forecast string, qlike double, r_sigma double")
     got = {r["ticker"]: (r["verdict"], round(r["improvement_pct"])) for r in S.forecast_verdict(scores, "m", "b").collect()}
     assert got == {"x": ("PASS", 50), "y": ("PARTIAL", 50), "z": ("FAIL", -100)}
+
+
+def test_clusters_of_any_number_and_features(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(m, 0.05, (40, 3)) for m in (0.0, 1.0, 2.0, 3.0)])
+    day = datetime.date(2020, 1, 1)
+    df = spark.createDataFrame([("X", day + datetime.timedelta(days=i), *map(float, v)) for i, v in enumerate(x)] + [("Y", day, 1.0, 1.0, 1.0), ("X", day, None, 0.0, 0.0)], "ticker string, ts date, a double, b double, c double")
+    got = G.fit_predict(df, ["a", "b", "c"], 4)
+    assert column(got, "label") == [k for k in range(4) for _ in range(40)] and len(got.first()["p"]) == 4  # Y has too few rows
+
+
+def test_walk_forward_refits_by_calendar(spark, monkeypatch):
+    x = np.random.default_rng(1).standard_normal((60, 2))
+    day = datetime.date(2020, 1, 1)
+    df = spark.createDataFrame([("X", day + datetime.timedelta(days=i), float(a), float(b)) for i, (a, b) in enumerate(x)], "ticker string, ts date, a double, b double")
+    got = G.walk_forward_regimes(df, "a", "b", days=20, bars=30, least=12).orderBy("ts").collect()
+    want, model, fitted = [], None, None
+    for i in range(11, 60):
+        if model is None or i - fitted >= 20:
+            model, fitted = G.fit_mixture(x[max(0, i - 29) : i + 1]), i
+        logs = [G.log_density(x[i : i + 1], m, c)[0] + math.log(w) for m, c, w in zip(model["means"], model["covs"], model["weights"])]
+        want.append(int(G.semantic_order(model["means"])[int(np.argmax(logs))]))
+    assert [r["label"] for r in got] == want
+
+
+def test_breadth_in_blocks_equals_each_window(spark):
+    rng = np.random.default_rng(6)
+    day = datetime.date(2020, 1, 1)
+    x = rng.standard_normal((60, 4))
+    x[:25, 3] = np.nan
+    rows = [(day + datetime.timedelta(days=i), f"t{j}", None if math.isnan(v) else float(v)) for i, row in enumerate(x) for j, v in enumerate(row)]
+    df = spark.createDataFrame(rows, "ts date, ticker string, ret double")
+    want = [None if i < 22 else E.eigenvalue_entropy(x[i - 22 : i], 4) for i in range(60)]
+    for block in (7, 22, 256):
+        got = [r["cse"] for r in E.correlation_entropy(df, block=block).orderBy("ts").collect()]
+        assert got[:22] == [None] * 22 and got[22:] == pytest.approx(want[22:])
+
+
+def test_paragraphs(spark):
+    kind = "garch_type string, regime string, above_sma20 boolean, flow string, mult double, sigma double, sigma_annual_pct double, sigma_adjusted double, delta_h_price double, delta_h_volume double, es_5pct double, es_5pct_adjusted double, conclusion_key string"
+    df = spark.createDataFrame([
+        ("GARCH-X", "Deterministic", True, "Consensus Flow", 2.2, 1.0, 15.9, 2.2, 0.5, -0.1, -2.0, -2.5, "Deterministic/above/other"),
+        ("GARCH", "Stochastic", False, "Dispersed Flow", 1.3, 1.0, 15.9, 1.3, 0.0, 0.0, -2.0, None, "Stochastic/falling"),
+        (None, None, None, None, 1.0, None, None, None, None, None, None, None, None),
+    ], kind)
+    for language, word in (("en", "fatter"), ("vi", "dày")):
+        a, b, c = D.paragraphs(df, language).collect()
+        assert "1.000" in a["volatility_text"] and word in a["tail_text"] and "-2.50" in a["tail_text"] and "2.2" in a["multiplier_text"] and "Dispersed Flow" in b["multiplier_text"]
+        assert a["regime_text"] != b["regime_text"] and a["watch_text"] != b["watch_text"] and a["volume_text"] and "{" not in "".join(v for v in (*a, *b) if isinstance(v, str))
+        assert [c[f"{n}_text"] is None for n in ("volatility", "regime", "volume", "multiplier", "tail", "watch")] == [False, True, True, True, True, True]
+    keys = {k for k in D.PARAGRAPHS if k.startswith("watch/")}
+    assert {f"watch/{k.rsplit('/', 1)[-1]}" for k in D.TEXTS} == keys
+
+
+def test_conclusions_in_vietnamese(spark):
+    df = spark.createDataFrame([(k, 1.5) for k in D.TEXTS], "conclusion_key string, sigma_adjusted double")
+    got = {r["conclusion_key"]: r["conclusion"] for r in D.conclusion(df, language="vi").collect()}
+    assert got == {k: v[1].replace("{s}", "1.50") for k, v in D.TEXTS.items()}
+
+
+def test_export_and_refit_of_batches(spark, tmp_path):
+    bars = B.daily(spark, DATA).limit(50)
+    B.export_csv(bars, str(tmp_path / "x.csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "x.csv"))
+    assert back.columns == bars.columns and back.count() == 50
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).withColumn("x", F.col("id").cast("double")).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    seen = {}
+    stream = K.tick_stream(spark, str(tmp_path / "feed"), "id bigint, x double")
+    K.refit_each_batch(stream, lambda batch, n: seen.setdefault(n, batch.agg(F.avg("x")).first()[0]), str(tmp_path / "state")).awaitTermination()
+    assert seen == {0: 4.5, 1: 14.5, 2: 24.5}
+
+
+def test_fallback_is_for_sources_only(spark):
+    other = lambda: spark.range(1)
+    assert B.with_fallback(lambda: spark.read.parquet("/nowhere/at/all"), other).count() == 1 and B.with_fallback(lambda: spark.range(0), other).count() == 1
+    with pytest.raises(ZeroDivisionError):
+        B.with_fallback(lambda: 1 / 0, other)
+    with pytest.raises(ValueError):
+        B.with_fallback(lambda: spark.range(0))

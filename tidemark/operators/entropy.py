@@ -208,30 +208,36 @@ def volume_entropy(bars: DataFrame, window: int = VOLUME_WINDOW) -> DataFrame:
     return rolling_sample_entropy(own, "vol_global_z", "vol_sampen", window, 2, r=0.2, least=10)
 
 
-def correlation_entropy(returns: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(ts, cse): entropy, 0 to 100, of the eigenvalues of the correlations of the ``window`` dates before.
+def eigenvalue_entropy(x: np.ndarray, size: int) -> float:
+    """Entropy, 0 to 100, of the eigenvalues of the columns' correlations, over the logarithm of ``size``."""
+    c = np.nan_to_num(pd.DataFrame(x).corr().to_numpy())
+    e = np.clip(np.linalg.eigvalsh(c), 0, None)
+    if size < 2 or not e.sum() > 0:
+        return math.nan
+    p = e[e > 0] / e.sum()
+    return float(-(p * np.log(p)).sum() / math.log(size) * 100)
 
-    Each date's returns are one array; undefined correlations count as 0."""
-    tickers = [r[0] for r in returns.select("ticker").distinct().orderBy("ticker").collect()]  # listed names
-    wide = returns.groupBy("ts").pivot("ticker", tickers).agg(F.first("ret"))
-    rows = wide.select("ts", F.array(*(F.coalesce(F.col(f"`{t}`"), F.lit(float("nan"))) for t in tickers)).alias("r"))
-    frame = Window.orderBy("ts").rowsBetween(-window, -1)  # one market: a row a date
 
-    @F.pandas_udf("double")
-    def each(values: pd.Series) -> pd.Series:
-        def one(v):
-            x = np.array([np.asarray(u, float) for u in v])
-            c = np.nan_to_num(pd.DataFrame(x).corr().to_numpy())
-            e = np.clip(np.linalg.eigvalsh(c), 0, None)
-            if not e.sum() > 0:
-                return math.nan
-            p = e[e > 0] / e.sum()
-            return float(-(p * np.log(p)).sum() / math.log(len(c)) * 100)
-
-        return values.map(one).astype(float)
+def correlation_entropy(returns: DataFrame, window: int = WINDOW, block: int = 256) -> DataFrame:
+    """(ts, cse): entropy, 0 to 100, of the eigenvalues of the correlations of the ``window`` dates before.
 
-    own = rows.withColumn("seg", F.collect_list("r").over(frame))
-    return own.select("ts", F.nanvl(F.when(F.size("seg") == window, each("seg")), F.lit(None).cast("double")).alias("cse"))
+    The panel stays long: dates are numbered and dealt into blocks, each with the ``window`` dates before it, and a block
+    is solved in one grouped map.  Undefined correlations count as 0."""
+    dates = returns.select("ts").distinct().withColumn("at", F.row_number().over(Window.orderBy("ts")) - 1)  # a number for each date
+    size = returns.agg(F.count_distinct("ticker").cast("int").alias("size"))
+    blocks = F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + window) / block))).alias("block")
+    rows = returns.select("ts", "ticker", "ret").join(dates, "ts").join(size).select("ts", "ticker", "ret", "at", "size", blocks)
+    kind = returns.schema["ts"].dataType.simpleString()
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        wide = frame.pivot_table(index="at", columns="ticker", values="ret", aggfunc="first", dropna=False).sort_index()
+        first, total, x = int(frame["block"].iloc[0]) * block, int(frame["size"].iloc[0]), wide.to_numpy(float)
+        ts = frame.drop_duplicates("at").set_index("at")["ts"]
+        out = [(ts[at], eigenvalue_entropy(x[i - window : i], total) if i >= window else math.nan) for i, at in enumerate(wide.index) if at >= first]
+        return pd.DataFrame(out, columns=["ts", "cse"])
+
+    solved = rows.groupBy("block").applyInPandas(solve, f"ts {kind}, cse double")
+    return solved.select("ts", F.nanvl("cse", F.lit(None).cast("double")).alias("cse"))
 
 
 def two_asset_entropy(rho: Column) -> Column:

@@ -90,43 +90,48 @@ def power_lambda(x: np.ndarray) -> float:
     return (a + b) / 2
 
 
-def mixture_regimes(df: DataFrame, x: str, y: str, transformed: bool = False, restarts: int = 10, rounds: int = 500) -> DataFrame:
-    """(ticker, ts, x, y, label, p): one mixture for each ticker on its complete rows; p by semantic label.
+def fit_predict(df: DataFrame, features: list[str], k: int = 3, transformed: bool = False, restarts: int = 10, rounds: int = 500) -> DataFrame:
+    """(ticker, ts, features, label, p): a mixture of ``k`` clusters for each ticker on its complete rows; p by semantic label.
 
-    With ``transformed`` both features go through Yeo-Johnson and are standardised first, and labels
-    rank the clusters' means of the features as they were.  Fewer than 10 rows give nothing."""
+    With ``transformed`` the features go through Yeo-Johnson and are standardised first, and labels rank the
+    clusters' means of the features as they were.  Fewer than 10 rows, or than ``k``, give nothing."""
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts")
-        raw = frame[[x, y]].to_numpy(float)
-        if len(raw) < 10:
+        raw = frame[features].to_numpy(float)
+        if len(raw) < max(10, k):
             return frame.iloc[:0].assign(label=pd.Series(dtype="int32"), p=pd.Series(dtype=object))
         own = raw
         if transformed:
             own = np.column_stack([power_transform(c, power_lambda(c)) for c in raw.T])
             own = (own - own.mean(axis=0)) / np.where(own.std(axis=0) > 0, own.std(axis=0), 1)
-        model = fit_mixture(own, 3, restarts, rounds)
+        model = fit_mixture(own, k, restarts, rounds)
         hard = model["share"].argmax(axis=1)
-        centre = np.array([raw[hard == j].mean(axis=0) if (hard == j).any() else np.full(2, np.inf) for j in range(3)]) if transformed else model["means"]
+        centre = np.array([raw[hard == j].mean(axis=0) if (hard == j).any() else np.full(len(features), np.inf) for j in range(k)]) if transformed else model["means"]
         rank = semantic_order(centre)
         p = model["share"][:, np.argsort(rank)]
         return frame.assign(label=rank[hard].astype("int32"), p=list(p))
 
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("ticker", "ts", x, y)
+    rows = df.dropna(subset=features).select("ticker", "ts", *features)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     return rows.groupBy("ticker").applyInPandas(fit, f"{fields}, label int, p array<double>")
 
 
-def walk_forward_regimes(df: DataFrame, x: str, y: str, days: int = REFIT_DAYS, bars: int = REFIT_BARS) -> DataFrame:
-    """(ticker, ts, label): each bar by a mixture of the last ``bars`` rows, refitted when ``days`` have passed."""
+def mixture_regimes(df: DataFrame, x: str, y: str, transformed: bool = False, restarts: int = 10, rounds: int = 500) -> DataFrame:
+    """``fit_predict`` of a plane: two features, three clusters."""
+    return fit_predict(df, [x, y], 3, transformed, restarts, rounds)
+
+
+def walk_forward_regimes(df: DataFrame, x: str, y: str, days: int = REFIT_DAYS, bars: int = REFIT_BARS, least: int = 10) -> DataFrame:
+    """(ticker, ts, label): each bar from the ``least``-th on by a mixture of the last ``bars`` rows, or what there is, refitted when ``days`` have passed."""
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts").reset_index(drop=True)
         raw, ts = frame[[x, y]].to_numpy(float), pd.to_datetime(frame["ts"])
         out, model, fitted = [], None, None
-        for i in range(bars - 1, len(frame)):
+        for i in range(min(least, bars) - 1, len(frame)):
             if model is None or (ts[i] - fitted).days >= days:
-                model, fitted = fit_mixture(raw[i + 1 - bars : i + 1], restarts=1, rounds=100), ts[i]
+                model, fitted = fit_mixture(raw[max(0, i + 1 - bars) : i + 1]), ts[i]
                 rank = semantic_order(model["means"])
             logs = [log_density(raw[i : i + 1], model["means"][j], model["covs"][j])[0] + math.log(model["weights"][j]) for j in range(3)]
             out.append((frame["ticker"][i], frame["ts"][i], int(rank[int(np.argmax(logs))])))

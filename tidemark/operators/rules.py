@@ -112,6 +112,65 @@ def conclusion(df: DataFrame, key: str = "conclusion_key", sigma: str = "sigma_a
     return own.withColumn("conclusion", F.replace("text", F.lit("{s}"), F.format_string("%.2f", F.col(sigma)))).drop("text", "text_key")
 
 
+#: The other paragraphs, in own words: English, Vietnamese.  {s}, {a}, {m}, {x}, {e}, {f} are numbers, {flow} a label.
+PARAGRAPHS = {
+    "volatility/entropy": ("Daily volatility is {s} % ({a} % a year); entropy explains part of it: price {p}, volume {v}.", "Biến động ngày {s} % ({a} % năm); entropy giải thích một phần: giá {p}, khối lượng {v}."),
+    "volatility/plain": ("Daily volatility is {s} % ({a} % a year); entropy adds nothing significant to it at present.", "Biến động ngày {s} % ({a} % năm); hiện entropy không bổ sung thông tin có ý nghĩa."),
+    "volatility/none": ("No volatility model: too few complete bars.", "Chưa có mô hình biến động: quá ít dữ liệu đầy đủ."),
+    "regime/Stochastic": ("Price entropy is high: many views, none dominates.", "Entropy giá cao: nhiều quan điểm, không bên nào áp đảo."),
+    "regime/Transitional": ("Price entropy is in the middle: the structure is changing.", "Entropy giá ở mức giữa: cấu trúc đang thay đổi."),
+    "regime/Deterministic/above": ("Price entropy is low while prices rise: buyers move as one.", "Entropy giá thấp khi giá tăng: bên mua hành động đồng loạt."),
+    "regime/Deterministic/below": ("Price entropy is low while prices fall: sellers move as one.", "Entropy giá thấp khi giá giảm: bên bán hành động đồng loạt."),
+    "volume/Consensus Flow": ("Volume is orderly and carries the price.", "Dòng tiền có trật tự và nâng đỡ giá."),
+    "volume/Dispersed Flow": ("Volume is split; a sudden move finds little depth.", "Dòng tiền phân tán; thiếu chiều sâu trước biến động đột ngột."),
+    "volume/Erratic/Noisy Flow": ("Volume is erratic: panic or speculation.", "Dòng tiền thất thường: hoảng loạn hoặc đầu cơ."),
+    "multiplier/volume": ("Prices need no surcharge; {flow} raises {s} % by {m} to {x} %.", "Giá không cần hệ số; {flow} nâng {s} % lên {m} lần thành {x} %."),
+    "multiplier/both": ("Price and volume regimes raise {s} % by {m} to {x} %.", "Chế độ giá và khối lượng nâng {s} % lên {m} lần thành {x} %."),
+    "multiplier/none": ("No regime raises the {s} % ({a} % a year).", "Không chế độ nào nâng mức {s} % ({a} % năm)."),
+    "tail/adjusted": ("On the worst days, one in twenty, the mean loss is {e} %; with today's breadth {f} %, a {w} tail than usual.", "Trong 5 % ngày xấu nhất, lỗ trung bình {e} %; theo độ rộng hôm nay {f} %, đuôi {w} hơn thường lệ."),
+    "tail/plain": ("On the worst days, one in twenty, the mean loss is {e} %.", "Trong 5 % ngày xấu nhất, lỗ trung bình {e} %."),
+    "watch/rising": ("Watch whether entropy keeps rising over the next two weeks.", "Theo dõi entropy có tiếp tục tăng trong hai tuần tới."),
+    "watch/falling": ("Watch for entropy falling further: that leads to coordinated moves.", "Theo dõi entropy giảm thêm: dẫn tới hành động đồng loạt."),
+    "watch/stable": ("Watch for a change of the entropy trend.", "Theo dõi thay đổi xu hướng entropy."),
+    "watch/other": ("Watch the average of 20 bars: a cross ends this phase.", "Theo dõi trung bình 20 phiên: cắt qua sẽ kết thúc pha này."),
+}
+WORDS = {"up": ("raises it", "làm tăng"), "down": ("lowers it", "làm giảm"), "fatter": ("fatter", "dày"), "thinner": ("thinner", "mỏng")}
+
+
+def paragraph_keys() -> dict[str, Column]:
+    """Key of each paragraph, from garch_type, regime, above_sma20, flow, mult, es_5pct(_adjusted) and conclusion_key; null: none."""
+    c = F.col
+    side = F.when(F.coalesce(c("above_sma20"), F.lit(False)), "above").otherwise("below")
+    return {
+        "volatility": F.when(c("garch_type") == "GARCH-X", "volatility/entropy").when(c("garch_type").isNotNull(), "volatility/plain").otherwise("volatility/none"),
+        "regime": F.when(c("regime") == "Deterministic", F.concat(F.lit("regime/Deterministic/"), side)).when(c("regime").isNotNull(), F.concat(F.lit("regime/"), "regime")),
+        "volume": F.concat(F.lit("volume/"), "flow"),
+        "multiplier": F.when(c("sigma").isNull(), None).when(c("mult") <= 1, "multiplier/none").when(c("regime") == "Stochastic", "multiplier/volume").otherwise("multiplier/both"),
+        "tail": F.when(c("es_5pct_adjusted").isNotNull(), "tail/adjusted").when(c("es_5pct").isNotNull(), "tail/plain"),
+        "watch": F.concat(F.lit("watch/"), F.regexp_extract("conclusion_key", "[^/]+$", 0)),
+    }
+
+
+def paragraphs(df: DataFrame, language: str = "en") -> DataFrame:
+    """``<name>_text`` for each paragraph, from a table of a few rows and the row's numbers (sigma_annual_pct, delta_h_price and delta_h_volume too)."""
+    at = 0 if language == "en" else 1
+    texts = F.create_map(*(F.lit(x) for k, v in PARAGRAPHS.items() for x in (k, v[at])))
+    word = lambda test, yes, no: F.when(test, WORDS[yes][at]).otherwise(WORDS[no][at])
+    number = lambda x, digits=2: F.format_string(f"%.{digits}f", F.col(x))
+    marks = {
+        "{s}": number("sigma", 3), "{a}": number("sigma_annual_pct", 1), "{x}": number("sigma_adjusted", 3), "{m}": number("mult", 1), "{e}": number("es_5pct"), "{f}": number("es_5pct_adjusted"), "{flow}": F.col("flow"),
+        "{p}": word(F.col("delta_h_price") > 0, "up", "down"), "{v}": word(F.col("delta_h_volume") > 0, "up", "down"), "{w}": word(F.abs("es_5pct_adjusted") > F.abs("es_5pct"), "fatter", "thinner"),
+    }
+    out = {}
+    for name, key in paragraph_keys().items():
+        used = {m for k, v in PARAGRAPHS.items() if k.startswith(f"{name}/") for m in marks if m in v[at]}
+        text = F.try_element_at(texts, key)
+        for m in sorted(used):
+            text = F.replace(text, F.lit(m), F.coalesce(marks[m], F.lit("?")))
+        out[f"{name}_text"] = text
+    return df.withColumns(out)
+
+
 def market_verdict(groups: Column, p: Column, paradox: Column) -> Column:
     """SKIP below two groups, FAIL without the expected order of means; with it PASS if the test is significant, else PARTIAL."""
     return F.when(F.coalesce(groups, F.lit(0)) < 2, "SKIP").when(~F.coalesce(paradox, F.lit(False)), "FAIL").when(p < 0.05, "PASS").otherwise("PARTIAL")

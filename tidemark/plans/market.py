@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import frames as W
+from ..functions.shared import written
 from ..operators import entropy as E, regimes as G, returns as R, rules as D, stats as S, volatility as V
 from ..sources import bars as B
 
@@ -369,6 +370,28 @@ def volume_regimes(spark, d):
     return r6(G.named(own, "label", "name", G.VOLUME_NAMES).select("ts", "label", "name", F.array_max("p").alias("share")))
 
 
+def dual_regimes(spark, d):
+    """The price plane twice: fitted on the rolling score (used for decisions), and on the global score (a stable frame for charts)."""
+    own = E.price_features(B.daily(spark, d))
+    live = G.named(G.mixture_regimes(own, "wpe", "spe_z"), "label", "name").select("ticker", "ts", "label", "name")
+    chart = G.named(G.mixture_regimes(own, "wpe", "spe_z_global"), "label", "name_global").select("ticker", "ts", F.col("label").alias("label_global"), "name_global")
+    return live.join(chart, ["ticker", "ts"], "full").select("ts", "label", "name", "label_global", "name_global")
+
+
+def plane_diagnostics(spark, d):
+    """Raw against held labels of the fitted price and volume planes."""
+    price = G.mixture_regimes(E.price_features(B.daily(spark, d)), "wpe", "spe_z")
+    volume = G.mixture_regimes(E.volume_entropy(B.daily(spark, d)), "vol_shannon", "vol_sampen", transformed=True, rounds=100)
+    of = lambda name, own: G.diagnostics(G.hysteresis(own.select("ticker", "ts", "p"))).select(F.lit(name).alias("plane"), "*")
+    return r6(of("price", price).unionByName(of("volume", volume)))
+
+
+def simple_regimes(spark, d):
+    """Clusters of features that need no entropy: volatility, five-bar return and log volume; three features, two clusters."""
+    own = R.rolling_volatility(R.log_returns(R.simple_returns(B.daily(spark, d), 5))).withColumn("lv", F.log1p("volume"))
+    return r6(G.fit_predict(own, ["rv22", "ret5", "lv"], 2, transformed=True, restarts=3).select("ts", "label", F.array_max("p").alias("share")))
+
+
 def walk_forward(spark, d):
     return G.walk_forward_regimes(R.rolling_volatility(wpe(spark, d)), "wpe", "complexity")
 
@@ -460,7 +483,7 @@ def breadth_labels(spark, d):
 
 def risk_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: features, both planes' mixtures, hysteresis, GARCH with entropy, tail, verdict and texts of the latest bar."""
-    own = features(spark, d)
+    own = written(features(spark, d), "features")  # read by both mixtures, the volatility model and the latest row
     price = G.mixture_regimes(own, "wpe", "spe_z")
     calm = G.named(G.hysteresis(price.select("ticker", "ts", "p")), "held", "regime").select("ticker", "ts", "regime")
     volume = G.mixture_regimes(own, "vol_shannon", "vol_sampen", transformed=True, rounds=100)
@@ -469,7 +492,7 @@ def risk_verdict(spark: SparkSession, d: str) -> DataFrame:
     full = full.withColumns({"regime": W.filled("regime"), "flow": W.filled("flow")})
     cols = ["close", "above_sma20", "wpe", "v_wpe", "a_wpe", "spe_z", "vol_global_z", "cse", "regime", "flow"]
     last = full.groupBy("ticker").agg(F.max_by(F.struct("ts", *cols), "ts").alias("x")).select("ticker", "x.*")
-    fitted = V.garch(V.exogenous(own), "spec", 300).select("ticker", F.col("sigma_daily_pct").alias("sigma"), "garch_type", "status", "var_5pct", "es_5pct", "es_5pct_adjusted", "model_quality")
+    fitted = V.garch(V.exogenous(own), "spec", 300).select("ticker", F.col("sigma_daily_pct").alias("sigma"), "sigma_annual_pct", "delta_h_price", "delta_h_volume", "garch_type", "status", "var_5pct", "es_5pct", "es_5pct_adjusted", "model_quality")
     out = D.multipliers(last.join(fitted, "ticker", "left"))
     s, g = F.col("sigma_adjusted"), F.col("regime")
     out = out.withColumns({
@@ -477,7 +500,7 @@ def risk_verdict(spark: SparkSession, d: str) -> DataFrame:
         "trajectory": D.trajectory(F.col("v_wpe"), F.col("a_wpe")), "conclusion_key": D.conclusion_key(g, F.col("v_wpe"), F.col("above_sma20")),
         "entropy_role": F.when(F.col("garch_type") == "GARCH-X", "ACTIVE").otherwise("DORMANT"),
     })
-    return D.conclusion(out)
+    return D.paragraphs(D.conclusion(out))
 
 
 def tool_results_json(spark, d):
@@ -501,7 +524,7 @@ QUERIES = {
     date_slice, length_guard, source_fallback, ffill_locf, basket_returns, latest_rows, log_returns, pct_change, sma20, rolling_vol22, rolling_minmax, rolling_median, forward_vol, forward_drawdown, forward_runup, cum_product,
     ordinal_patterns, price_wpe_mfi, brand_wpe, wpe_order4, wpe_kinematics, price_sampen, spe_z_global, spe_z_rolling, volume_z, volume_sampen, shannon_fixed, shannon_auto, corr_pairs, corr_entropy_two, corr_entropy_basket,
     regime_group_stats, regime_spread, kruskal, hit_rate_grid, lift_table, lead_lag, value_counts, alert_names, ljung_box, qlike_mse, cum_qlike, forecast_winner, var_es, market_verdicts,
-    gmm_posterior, semantic_shares, cluster_semantics, gmm_ellipse, ellipse_polyline, yeo_johnson, hysteresis_labels, hysteresis_golden, label_diagnostics, label_flips, regime_islands, calibration_rank, price_regimes, volume_regimes, walk_forward,
+    gmm_posterior, semantic_shares, cluster_semantics, gmm_ellipse, ellipse_polyline, yeo_johnson, hysteresis_labels, hysteresis_golden, label_diagnostics, label_flips, regime_islands, calibration_rank, price_regimes, volume_regimes, dual_regimes, plane_diagnostics, simple_regimes, walk_forward,
     garch_exog, garch_variance, lookahead_gap, breadth_ratio, garch_fit, garch_x_fit, rolling_forecast_eval,
     regime_multiplier, verdicts, divergence_alerts, trajectory_class, conclusion_keys, breadth_labels, risk_verdict, tool_results_json, analysis_frame,
 )}

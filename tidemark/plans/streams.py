@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.shared import folder
 from ..streaming import ticks as K
 from . import market as M
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below the shared one; a temporary one only in local mode, where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly bars of the events as a stream; complete mode shows the open bars too."""
+    """Hourly bars of the events as a stream: each micro-batch writes the bars it changed, the open ones too, and the
+    latest of each bar counts; what the watermark has closed leaves the state."""
     at, path = folder(spark), f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = K.bars(K.tick_stream(spark, path if _is_folder(spark, path) else f"{d}/event[s].parquet", schema))
-    query = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/bars")).option("checkpointLocation", f"{at}/state").outputMode("complete").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/bars/batch={n}")).option("checkpointLocation", f"{at}/state").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/bars").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint").parquet(f"{at}/bars")
+    values = [c for c in stream.columns if c not in ("ticker", "ts")]
+    last = rows.groupBy("ticker", "ts").agg(F.max_by(F.struct(*values), "batch").alias("bar"))
+    return last.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "bar.*")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -40,10 +32,10 @@ def stream_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     """Held labels of the posteriors as a stream of four files, a micro-batch each."""
     at = folder(spark)
     own = M.posteriors(spark, d)
-    own.withColumn("part", F.ntile(4).over(M.Window.partitionBy("ticker").orderBy("ts"))).repartition(1).sortWithinPartitions("ts").write.partitionBy("part").parquet(f"{at}/in")
-    # files are taken in the order of their times: they are written one after the other
+    own.withColumn("part", F.ntile(4).over(M.Window.partitionBy("ticker").orderBy("ts"))).write.partitionBy("part").parquet(f"{at}/in")
+    # files are taken in the order of their times: they are written one after the other, a ticker's rows in one file
     for k in range(1, 5):
-        spark.read.parquet(f"{at}/in/part={k}").coalesce(1).write.mode("append").parquet(f"{at}/feed")
+        spark.read.parquet(f"{at}/in/part={k}").repartition("ticker").sortWithinPartitions("ticker", "ts").write.mode("append").parquet(f"{at}/feed")
     stream = K.stateful_hysteresis(K.tick_stream(spark, f"{at}/feed", own.schema), 0.40, 0.20, 3)
     K.run_to_table(stream, f"{at}/out", f"{at}/state")
     return spark.read.schema(stream.schema).parquet(f"{at}/out").select("ts", "held")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -46,13 +48,13 @@ def load(spark: SparkSession, path: str, ticker: str | None = None) -> DataFrame
 
 
 def with_fallback(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame] | None = None) -> DataFrame:
-    """``primary``'s rows, or ``fallback``'s where it fails or has none."""
+    """``primary``'s rows, or ``fallback``'s where the source cannot be read, has no bars in it, or has no rows."""
     try:
         df = primary()
         if not df.isEmpty():
             return df
         failure: Exception = ValueError("the source has no rows")
-    except Exception as e:  # any source failure leads to the fallback, or is raised below
+    except (PySparkException, Py4JJavaError, OSError, ValueError) as e:  # no file, no permission, no such columns; not errors of the code
         failure = e
     if fallback is None:
         raise failure
