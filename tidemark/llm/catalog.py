@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, licenses, packing, passages, quality, sharding, suffix_dedup, token_counts, urls, whitening
+from . import decontaminate, divergence, jaccard, language, licenses, packing, passages, quality, sharding, suffix_dedup, token_counts, urls, whitening
 
 _MODULES = {
     "op1_suffix_decontamination": decontaminate,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_association_rules": urls,
     "op9_language_ppm": language,
     "op10_column_suffixes": suffix_dedup,
+    "op11_radix_divergence": divergence,
     "op12_block_lanczos": whitening,
     "op13_two_tier_tokens": token_counts,
 }
