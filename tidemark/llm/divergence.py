@@ -41,6 +41,8 @@ BITS = 15
 FEW = 4096
 #: Sources of a term in a block, where pairs of sources meet.
 BLOCK = 256
+#: Bytes of text that are counted together before Spark adds up.
+GATHER = 24 << 20
 #: Bytes of words: letters A-Z, a-z and everything outside ASCII.
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
@@ -52,7 +54,7 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """(lang, source, term, n, docs): occurrences and documents of each term, as a written table."""
 
     def work(batches):
-        for batch in C.gather(batches, "text", 4 << 20):
+        for batch in C.gather(batches, "text", GATHER):
             data, places = C.flat(batch.column("text"))
             starts, ends, at = C.spans(data, places, LETTERS)
             if not len(starts):
