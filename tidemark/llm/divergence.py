@@ -126,6 +126,7 @@ def _split(cand: DataFrame, digit: Column, falling: bool, keys: list[str]) -> Da
     reach = hist.withColumn("above", F.sum("here").over(order) - F.col("here")).where("above + here >= places")
     first = F.max_by if falling else F.min_by
     at = reach.groupBy(*keys).agg(first(F.struct("digit", (F.col("places") - F.col("above")).alias("left"), "here"), "digit").alias("edge"))
+    at = C.materialise(at, "edges")  # a table of its own: small ones are broadcast, and a hot group's join can be split
     edge, beyond = F.col("edge.digit"), F.col("digit") > F.col("edge.digit") if falling else F.col("digit") < F.col("edge.digit")
     state = F.when(edge.isNull() | beyond, 1).when(F.col("digit") != edge, -1).when(F.col("edge.left") == F.col("edge.here"), 1).otherwise(0)
     return own.join(at, keys, "left").withColumn("state", state).withColumn("need", F.coalesce("edge.left", "need")).drop("digit", "edge")
