@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.blocks import SIZE, carried_last, numbered, with_totals, within
 from ..functions.frames import before, full, nonzero, number, upto, w, whole, z_score
 
 WINDOW = 22
@@ -240,11 +241,12 @@ def correlation_entropy(returns: DataFrame, window: int = WINDOW, block: int = 2
     return solved.select("ts", F.nanvl("cse", F.lit(None).cast("double")).alias("cse"))
 
 
-def two_asset_entropy(rho: Column) -> Column:
-    """The same for two series in closed form: eigenvalues 1 + rho and 1 - rho."""
+def two_asset_entropy(rho: Column, flat_a: Column, flat_b: Column) -> Column:
+    """The same for two series in closed form: eigenvalues 1 + rho and 1 - rho.  A series without spread has no
+    correlation, with itself neither: eigenvalues are 0 and 1 where one is flat (entropy 0), and none where both are."""
     p, q = (1 + rho) / 2, (1 - rho) / 2
     term = lambda x: F.when(x > 0, x * F.ln(x)).otherwise(0.0)
-    return F.when(rho.isNotNull(), -(term(p) + term(q)) / math.log(2) * 100)
+    return F.when(flat_a & flat_b, None).when(flat_a | flat_b, 0.0).when(rho.isNotNull(), -(term(p) + term(q)) / math.log(2) * 100)
 
 
 def joined_breadth(bars: DataFrame, cse: DataFrame, align: str = "post_ffill") -> DataFrame:
@@ -262,3 +264,53 @@ def price_features(bars: DataFrame) -> DataFrame:
     own = kinematics(permutation_entropy(log_returns(moving_average(bars))))
     own = rolling_sample_entropy(own, "close", "price_sampen", PRICE_WINDOW)
     return z_rolling(z_global(own, "price_sampen", "spe_z_global"), "price_sampen", "spe_z")
+
+
+# ---- the same for long series: blocks with a halo instead of one task a ticker -----------------
+
+
+def permutation_entropy_in_blocks(bars: DataFrame, size: int = SIZE, window: int = WINDOW) -> DataFrame:
+    """Log returns and ``permutation_entropy`` of bars."""
+    from .returns import log_returns
+
+    return within(bars, lambda x: permutation_entropy(log_returns(x), window=window), window + 2, size=size)
+
+
+def volume_base_in_blocks(bars: DataFrame, size: int = SIZE) -> DataFrame:
+    """``volume_base``: the whole series' mean and deviation are aggregates, the trailing year a frame."""
+    own = with_totals(bars.withColumn("lv", F.log1p(F.greatest(F.col("volume"), F.lit(0.0)))), lv_mean=F.avg("lv"), lv_sd=F.stddev_samp("lv"))
+    score = F.when(F.coalesce("lv_sd", F.lit(0.0)) > 0, (F.col("lv") - F.col("lv_mean")) / nonzero("lv_sd")).otherwise(0.0)
+    own = own.withColumn("vol_global_z", score).drop("lv_mean", "lv_sd")
+    return within(own, lambda x: x.withColumn("vol_rolling_z", z_score("lv", upto(Z_YEAR))), Z_YEAR, size=size)
+
+
+def volume_entropy_in_blocks(bars: DataFrame, size: int = SIZE, window: int = VOLUME_WINDOW) -> DataFrame:
+    """``volume_entropy``: histogram and sample entropy of the score, a block's kernels in a task."""
+
+    def kernels(x: DataFrame) -> DataFrame:
+        return rolling_sample_entropy(rolling_histogram_entropy(x, "vol_global_z", "vol_shannon", window), "vol_global_z", "vol_sampen", window, 2, r=0.2, least=10)
+
+    return within(volume_base_in_blocks(bars, size), kernels, window + 1, size=size)
+
+
+def z_global_in_blocks(df: DataFrame, x: str, out: str) -> DataFrame:
+    """``z_global`` from aggregates."""
+    own = with_totals(df, n_=F.count(x), mean_=F.avg(x), sd_=F.stddev_pop(x))
+    return own.withColumn(out, F.when(F.col("n_") < 2, None).when(F.col("sd_") == 0, 0.0).otherwise((F.col(x) - F.col("mean_")) / nonzero("sd_"))).drop("n_", "mean_", "sd_")
+
+
+def price_features_in_blocks(bars: DataFrame, size: int = SIZE) -> DataFrame:
+    """``price_features``: frames reach back over the score's window and the entropy's window before it."""
+    from .returns import log_returns, moving_average
+
+    def local(x: DataFrame) -> DataFrame:
+        own = kinematics(permutation_entropy(log_returns(moving_average(x))))
+        return z_rolling(rolling_sample_entropy(own, "close", "price_sampen", PRICE_WINDOW), "price_sampen", "spe_z")
+
+    return z_global_in_blocks(within(bars, local, Z_LONG + PRICE_WINDOW + 2, size=size), "price_sampen", "spe_z_global")
+
+
+def joined_breadth_in_blocks(bars: DataFrame, cse: DataFrame) -> DataFrame:
+    """``joined_breadth``, carried forward from block to block."""
+    own = numbered(bars.join(cse.withColumnRenamed("cse", "cse_"), "ts", "left"))
+    return carried_last(own, "cse_", "cse").drop("at", "cse_")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.frames import YEAR, after, full, nonzero, so_far, upto, w
+from ..functions.blocks import numbered, running_sum
+from ..functions.frames import YEAR, after, full, nonzero, upto, w
 
 
 def log_returns(bars: DataFrame, price: str = "close", out: str = "lr") -> DataFrame:
@@ -45,5 +46,6 @@ def forward_runup(df: DataFrame, h: int = 10) -> DataFrame:
 
 
 def rebased(df: DataFrame, base: float = 1000.0, x: str = "lr") -> DataFrame:
-    """A price path of the returns from ``base`` on: a cumulative product as a sum of logarithms."""
-    return df.withColumn("path", F.lit(base) * F.exp(F.sum(F.coalesce(F.col(x), F.lit(0.0))).over(so_far())))
+    """A price path of the returns from ``base`` on: a cumulative product as a sum of logarithms, carried from block to block."""
+    own = running_sum(numbered(df.withColumn("path", F.coalesce(F.col(x), F.lit(0.0)))), "path", "path")
+    return own.withColumn("path", F.lit(base) * F.exp("path")).drop("at")

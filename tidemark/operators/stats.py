@@ -170,13 +170,16 @@ def tail_risk(df: DataFrame, x: str, level: float = 0.05) -> DataFrame:
 
 
 def correlations(returns: DataFrame, window: int) -> DataFrame:
-    """(ts, a, b, r) of every pair of tickers over the ``window`` common dates before each."""
+    """(ts, a, b, r, flat_a, flat_b) of every pair of tickers over the ``window`` common dates before each; flat: the
+    values there are all equal."""
     x, y = returns.select("ts", F.col("ticker").alias("a"), F.col("ret").alias("x")), returns.select("ts", F.col("ticker").alias("b"), F.col("ret").alias("y"))
     both = x.join(y, "ts").where("a < b")  # listed names only: a few dozen
     frame = Window.partitionBy("a", "b").orderBy("ts").rowsBetween(-window, -1)
     spread = F.stddev_pop("x").over(frame) * F.stddev_pop("y").over(frame)
-    own = both.withColumns({"r": F.covar_pop("x", "y").over(frame) / F.nullif(spread, F.lit(0.0)), "seen": F.count("*").over(frame)})
-    return own.where(F.col("seen") == window).select("ts", "a", "b", "r")
+    flat = lambda c: F.min(c).over(frame) == F.max(c).over(frame)
+    own = both.withColumns({"r": F.covar_pop("x", "y").over(frame) / F.nullif(spread, F.lit(0.0)), "seen": F.count("*").over(frame), "flat_a": flat("x"), "flat_b": flat("y")})
+    own = own.withColumn("r", F.when(~F.col("flat_a") & ~F.col("flat_b"), F.col("r")))
+    return own.where(F.col("seen") == window).select("ts", "a", "b", "r", "flat_a", "flat_b")
 
 
 def winner(df: DataFrame, name: str, score: str) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.blocks import affine_scan, numbered
 from ..functions.frames import YEAR, full, min_max, upto, w
 from .stats import ljung_box_p
 
@@ -184,18 +185,12 @@ def garch(df: DataFrame, mode: str = "spec", rounds: int = 500) -> DataFrame:
 
 
 def given_variance(df: DataFrame, mu: float, omega: float, alpha: float, beta: float, start: float) -> DataFrame:
-    """(ticker, ts, cond_vol, cond_vol_annual) of returns ``pct`` under given parameters, the first variance being ``start``."""
+    """(ticker, ts, cond_vol, cond_vol_annual) of returns ``pct`` under given parameters, the first variance being ``start``.
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts")
-        s2, out = float(start), []
-        for x in frame["pct"].tolist():
-            out.append(math.sqrt(s2))
-            s2 = omega + alpha * (x - mu) ** 2 + beta * s2
-        return frame[["ticker", "ts"]].assign(cond_vol=out)
-
-    rows = df.where(F.col("pct").isNotNull()).select("ticker", "ts", "pct")
-    out = rows.groupBy("ticker").applyInPandas(walk, f"ticker string, ts {rows.schema['ts'].dataType.simpleString()}, cond_vol double")
+    The recursion s2[t+1] = beta s2[t] + omega + alpha (pct[t] - mu)^2 is affine in s2: a scan in blocks, as expressions."""
+    rows = numbered(df.where(F.col("pct").isNotNull()).select("ticker", "ts", "pct"))
+    shock = omega + alpha * (F.col("pct") - mu) * (F.col("pct") - mu)
+    out = affine_scan(rows, F.lit(float(beta)), shock, start, "s2").select("ticker", "ts", F.sqrt("s2").alias("cond_vol"))
     return out.withColumn("cond_vol_annual", F.col("cond_vol") * math.sqrt(YEAR))
 
 
@@ -279,7 +274,7 @@ def breadth_ratio(df: DataFrame) -> DataFrame:
     """``ce_ratio``: breadth against its trailing median (252 bars, 60 at least), clipped to [0.8, 1.5]."""
     mid = full(F.percentile("cse", 0.5).over(upto(252)), "cse", upto(252), 60)
     ratio = F.when(mid > 0, F.col("cse") / mid).otherwise(F.when(mid.isNotNull(), 1.0))
-    return df.withColumn("ce_ratio", F.when(ratio.isNotNull(), F.least(F.greatest(ratio, F.lit(0.8)), F.lit(1.5))))
+    return df.withColumn("ce_ratio", F.when(F.col("cse").isNotNull() & ratio.isNotNull(), F.least(F.greatest(ratio, F.lit(0.8)), F.lit(1.5))))
 
 
 def rolling_forecasts(df: DataFrame, window: int = LONG, every: int = 1, rounds: int = 120) -> DataFrame:

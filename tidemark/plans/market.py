@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import frames as W
+from ..functions.blocks import within
 from ..functions.shared import written
 from ..operators import entropy as E, regimes as G, returns as R, rules as D, stats as S, volatility as V
 from ..sources import bars as B
@@ -135,7 +136,7 @@ def ordinal_patterns(spark, d):
 
 
 def price_wpe_mfi(spark, d):
-    return r6(wpe(spark, d).select("ts", "wpe", "complexity", "mfi"))
+    return r6(E.permutation_entropy_in_blocks(B.daily(spark, d)).select("ts", "wpe", "complexity", "mfi"))
 
 
 def brand_wpe(spark, d):
@@ -151,7 +152,7 @@ def wpe_kinematics(spark, d):
 
 
 def sampen(spark, d) -> DataFrame:
-    return E.rolling_sample_entropy(B.daily(spark, d), "close", "price_sampen", 60)
+    return within(B.daily(spark, d), lambda x: E.rolling_sample_entropy(x, "close", "price_sampen", 60), 61)
 
 
 def price_sampen(spark, d):
@@ -159,15 +160,16 @@ def price_sampen(spark, d):
 
 
 def spe_z_global(spark, d):
-    return r6(E.z_global(sampen(spark, d), "price_sampen", "z").select("ts", "z"))
+    return r6(E.z_global_in_blocks(sampen(spark, d), "price_sampen", "z").select("ts", "z"))
 
 
 def spe_z_rolling(spark, d):
-    return r6(E.z_rolling(sampen(spark, d), "price_sampen", "z").select("ts", "z"))
+    own = within(sampen(spark, d).select("ticker", "ts", "price_sampen"), lambda x: E.z_rolling(x, "price_sampen", "z"), E.Z_LONG)
+    return r6(own.select("ts", "z"))
 
 
 def volume_z(spark, d):
-    return r6(E.volume_base(B.daily(spark, d)).select("ts", "lv", "vol_global_z", "vol_rolling_z"))
+    return r6(E.volume_base_in_blocks(B.daily(spark, d)).select("ts", "lv", "vol_global_z", "vol_rolling_z"))
 
 
 def volume_sampen(spark, d):
@@ -183,12 +185,12 @@ def shannon_auto(spark, d):
 
 
 def corr_pairs(spark, d):
-    return r6(S.correlations(B.basket_returns(B.by_segment(spark, d)).where("ret IS NOT NULL"), 22))
+    return r6(S.correlations(B.basket_returns(B.by_segment(spark, d)).where("ret IS NOT NULL"), 22).select("ts", "a", "b", "r"))
 
 
 def corr_entropy_two(spark, d):
     own = S.correlations(B.basket_returns(B.by_segment(spark, d)).where("ret IS NOT NULL"), 22).where("a = 'AUTOMOBILE' AND b = 'BUILDING'")
-    return r6(own.select("ts", E.two_asset_entropy(F.col("r")).alias("cse")))
+    return r6(own.select("ts", E.two_asset_entropy(F.col("r"), F.col("flat_a"), F.col("flat_b")).alias("cse")))
 
 
 def corr_entropy_basket(spark, d):
@@ -354,10 +356,9 @@ def calibration_rank(spark, d):
 
 def features(spark, d) -> DataFrame:
     """The whole feature table of the daily bars."""
-    own = E.price_features(B.daily(spark, d))
-    own = E.volume_entropy(own)
+    own = E.volume_entropy_in_blocks(E.price_features_in_blocks(B.daily(spark, d)))
     cse = E.correlation_entropy(B.basket_returns(B.by_segment(spark, d)))
-    return E.joined_breadth(own, cse)
+    return E.joined_breadth_in_blocks(own, cse)
 
 
 def price_regimes(spark, d):
@@ -420,7 +421,7 @@ def lookahead_gap(spark, d):
 
 def breadth_ratio(spark, d):
     two = S.correlations(B.basket_returns(B.by_segment(spark, d)).where("ret IS NOT NULL"), 22).where("a = 'AUTOMOBILE' AND b = 'BUILDING'")
-    own = two.select(F.lit("ALL").alias("ticker"), "ts", E.two_asset_entropy(F.col("r")).alias("cse"))
+    own = two.select(F.lit("ALL").alias("ticker"), "ts", E.two_asset_entropy(F.col("r"), F.col("flat_a"), F.col("flat_b")).alias("cse"))
     return r6(V.breadth_ratio(own).select("ts", "ce_ratio"))
 
 

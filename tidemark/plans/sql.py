@@ -93,9 +93,10 @@ ret0 AS (SELECT ticker, ts, close / lag(close) OVER {W} - 1 AS ret FROM panel),
 _pair = "(PARTITION BY a, b ORDER BY ts ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING)"
 # from sums, as a window of pairs: Spark's corr adds in another order, so six decimals are compared
 corr = f"""{basket}, pr AS (SELECT x.ts, x.ticker AS a, y.ticker AS b, x.ret AS x, y.ret AS y FROM ret x JOIN ret y ON x.ts = y.ts AND x.ticker < y.ticker WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL),
-cr0 AS (SELECT ts, a, b, corr(x, y) OVER {_pair} AS r, count(*) OVER {_pair} AS n FROM pr), cr AS (SELECT ts, a, b, CASE WHEN isfinite(r) THEN r END AS r, n FROM cr0)"""
-two = f"""{corr}, p2 AS (SELECT ts, (1 + r) / 2 AS p, (1 - r) / 2 AS q FROM cr WHERE n = 22 AND a = 'AUTOMOBILE' AND b = 'BUILDING'),
-cse AS (SELECT 'ALL' AS ticker, ts, CASE WHEN p IS NOT NULL THEN -((CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) + (CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END)) / ln(2.0) * 100 END AS cse FROM p2)"""
+cr0 AS (SELECT ts, a, b, corr(x, y) OVER {_pair} AS r, count(*) OVER {_pair} AS n, min(x) OVER {_pair} = max(x) OVER {_pair} AS fa, min(y) OVER {_pair} = max(y) OVER {_pair} AS fb FROM pr),
+cr AS (SELECT ts, a, b, CASE WHEN isfinite(r) AND NOT fa AND NOT fb THEN r END AS r, n, fa, fb FROM cr0)"""
+two = f"""{corr}, p2 AS (SELECT ts, (1 + r) / 2 AS p, (1 - r) / 2 AS q, fa, fb FROM cr WHERE n = 22 AND a = 'AUTOMOBILE' AND b = 'BUILDING'),
+cse AS (SELECT 'ALL' AS ticker, ts, CASE WHEN fa AND fb THEN NULL WHEN fa OR fb THEN 0 WHEN p IS NOT NULL THEN -((CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) + (CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END)) / ln(2.0) * 100 END AS cse FROM p2)"""
 
 
 def _log(c: dict) -> str:
@@ -217,7 +218,7 @@ SQL = {
         "h AS (SELECT ts, sum(-(c / 60.0) * ln(c / 60.0)) / ln(10.0) AS h FROM b GROUP BY ts)", f"SELECT n.ts, {r('h', 'shannon')} FROM n LEFT JOIN h USING (ts)"),
     "corr_pairs": q(corr, f"SELECT ts, a, b, {r('r', 'r')} FROM cr WHERE n = 22"),
     "corr_entropy_two": q(two, f"SELECT ts, {r('cse', 'cse')} FROM cse"),
-    "breadth_ratio": q(f"{two}, md AS (SELECT *, {full(f'median(cse) OVER {upto(252)}', 'cse', upto(252), 60)} AS m FROM cse)", f"SELECT ts, {r('CASE WHEN m IS NOT NULL THEN least(greatest(CASE WHEN m > 0 THEN cse / m ELSE 1 END, 0.8), 1.5) END', 'ce_ratio')} FROM md"),
+    "breadth_ratio": q(f"{two}, md AS (SELECT *, {full(f'median(cse) OVER {upto(252)}', 'cse', upto(252), 60)} AS m FROM cse)", f"SELECT ts, {r('CASE WHEN m IS NOT NULL AND cse IS NOT NULL THEN least(greatest(CASE WHEN m > 0 THEN cse / m ELSE 1 END, 0.8), 1.5) END', 'ce_ratio')} FROM md"),
     "regime_group_stats": q(labelled, stats),
     "regime_spread": q(labelled, f"SELECT {r('max(m) - min(m)', 'spread')} FROM (SELECT avg(fv20) AS m FROM reg WHERE fv20 IS NOT NULL GROUP BY regime)"),
     "kruskal": q(
