@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.frames import YEAR, w
+from . import trigger
 
 #: Names by semantic label (fixed values).
 PRICE_NAMES = {0: "Deterministic", 1: "Transitional", 2: "Stochastic"}
@@ -216,16 +217,9 @@ def held_labels(p: list, hard: float, soft: float, persist: int) -> list[int]:
 
 
 def hysteresis(df: DataFrame, hard: float = HARD, soft: float = SOFT, persist: int = PERSIST) -> DataFrame:
-    """(ticker, ts, raw, held) from posteriors (ticker, ts, p).  The state is sequential: a pass over each ticker's bars."""
+    """(ticker, ts, raw, held) from posteriors (ticker, ts, p): maps of blocks of bars, composed along each ticker."""
     check(hard, soft, persist)
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts")
-        p = [list(x) for x in frame["p"]]
-        out = pd.DataFrame({"ticker": frame["ticker"], "ts": frame["ts"], "raw": [x.index(max(x)) for x in p], "held": held_labels(p, hard, soft, persist)})
-        return out.astype({"raw": "int32", "held": "int32"})
-
-    return df.select("ticker", "ts", "p").groupBy("ticker").applyInPandas(walk, f"ticker string, ts {df.schema['ts'].dataType.simpleString()}, raw int, held int")
+    return trigger.scan(df, hard, soft, persist)
 
 
 def flips(df: DataFrame, label: str) -> DataFrame:
@@ -244,18 +238,10 @@ def diagnostics(df: DataFrame) -> DataFrame:
 def calibration(df: DataFrame) -> DataFrame:
     """Every setting of the grid on each ticker's posteriors, with its fitness columns and rank."""
     grid = [(h, s, t) for h in HARD_GRID for s in SOFT_GRID for t in PERSIST_GRID if h >= s]
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        p = [list(x) for x in frame.sort_values("ts")["p"]]
-        raw, n = [x.index(max(x)) for x in p], len(p)
-        flips = lambda v: sum(x != y for x, y in zip(v, v[1:])) * float(YEAR) / n
-        rows = []
-        for hard, soft, persist in grid:
-            held = held_labels(p, hard, soft, persist)
-            rows.append((frame["ticker"].iloc[0], hard, soft, persist, flips(raw), flips(held), sum(x == y for x, y in zip(raw, held)) / n))
-        return pd.DataFrame(rows, columns=["ticker", "hard", "soft", "persist", "raw_per_year", "held_per_year", "agreement"]).astype({"persist": "int32"})
-
-    out = df.select("ticker", "ts", "p").groupBy("ticker").applyInPandas(search, "ticker string, hard double, soft double, persist int, raw_per_year double, held_per_year double, agreement double")
+    settings = F.array(*(F.struct(F.lit(h).alias("hard"), F.lit(s).alias("soft"), F.lit(t).cast("int").alias("persist")) for h, s, t in grid))
+    found = trigger.flip_counts(df, grid).withColumn("set", F.get(settings, F.col("setting")))
+    yearly = lambda c: F.col(c) * float(YEAR) / F.col("n")
+    out = found.select("ticker", "set.*", yearly("raw_flips").alias("raw_per_year"), yearly("held_flips").alias("held_per_year"), (F.col("same") / F.col("n")).alias("agreement"))
     out = out.withColumns({"in_band": F.col("held_per_year").between(FLIPS_LOW, FLIPS_HIGH), "distance": F.abs(F.col("held_per_year") - (FLIPS_LOW + FLIPS_HIGH) / 2), "width": F.round(F.col("hard") - F.col("soft"), 6)})
     order = Window.partitionBy("ticker").orderBy(F.desc("in_band"), F.round("distance", 6), "width", "persist", "hard")
     return out.withColumn("place", F.row_number().over(order))
