@@ -485,7 +485,7 @@ def test_code_lengths_are_exact():
             for size in range(order, -1, -1):
                 context = int.from_bytes(padded[i - size : i], "big")
                 seen = {g & 255: n for g, n in grams[name][size].items() if g >> 8 == context}
-                if not seen or (size >= 2 and sum(seen.values()) < 2):
+                if not seen:
                     continue
                 t, q = sum(seen.values()), len(seen)
                 if padded[i] in seen:

@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching (PPM).
 
-For each language, contexts of 0 to ``order`` bytes hold how often each byte followed them; one of two
-bytes and more counts from its second occurrence.  A byte costs ``-log2 c/(T+q)`` in the longest known
+For each language, contexts of 0 to ``order`` bytes hold how often each byte followed them, from the first
+time on.  A byte costs ``-log2 c/(T+q)`` in the longest known
 context where it was seen (``T`` bytes seen there, ``q`` different ones); where it wasn't, an escape
 ``-log2 q/(T+q)`` and what the next shorter context asks; below order 0, 8 bits.  Statistics are frozen
 before scoring, so a text's code length is exact and the same wherever it is computed.  The language of
@@ -12,10 +12,11 @@ expectation, chosen by a hash), each of them whole; counts are summed per task,
 counted byte string is in the model, as sorted arrays: 12 bytes each, which the sample bounds.  Scoring
 covers all bytes of all rows; a task looks up each different byte string of its texts once.
 
-The score is the winner's share of ``2^-bits``, where the bits are those of ``EVIDENCE`` bytes of the text at
-most, at its mean cost: bytes of a text are no independent witnesses, and long texts would all score 1.
+The posterior is the winner's share of ``2^-bits`` over the whole text, as its exact code lengths give it; of all
+but short texts it is 1, as bytes of a text are no independent witnesses.  The score is the same share with the bits
+of ``EVIDENCE`` bytes of the text at most, at its mean cost; the pipeline's threshold takes this one.
 
-Rows: null or letterless texts get ``und`` and score 0, as does everything where no row can be
+Rows: null or letterless texts get ``und`` and score and posterior 0, as does everything where no row can be
 learned from.  Languages that tie go to the smaller name.  Repeated rows are scored alike.
 """
 
@@ -81,11 +82,8 @@ class Model:
         if not len(gram):
             return context, np.zeros(0, np.float32), gram, np.zeros(0, np.float32)
         total, q = np.add.reduceat(n, first), np.diff(np.append(first, len(gram)))
-        known = (total > 1) | (length < 2)
-        of = np.repeat(np.arange(len(context)), q)
-        cost = np.log2((total + q)[of] / n)
-        keep = known[of]
-        return context[known], np.log2((total + q) / q)[known].astype(np.float32), gram[keep], cost[keep].astype(np.float32)
+        cost = np.log2(np.repeat(total + q, q) / n)
+        return context, np.log2((total + q) / q).astype(np.float32), gram, cost.astype(np.float32)
 
     def nbytes(self) -> int:
         return sum(x.nbytes for tables in self.tables for table in tables for x in table)
@@ -157,11 +155,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
-    """``docs`` with a struct (lang_pred, score, bits) appended; the score is described above."""
+    """``docs`` with a struct (lang_pred, score, posterior, bits) appended, which the module describes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     raw = C.fresh("raw_text", docs.columns)
     name = C.fresh(out, docs.columns)
-    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("posterior", T.DoubleType()), T.StructField("bits", T.DoubleType())])
 
     def work(batches):
         model = shared.value
@@ -169,17 +167,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
             for piece in C.pieces(batch, raw, 2 << 20):
                 data, places = C.flat(piece.column(raw))
                 n = len(piece)
-                pred, score, best = np.array(["und"] * n, object), np.zeros(n), np.zeros(n)
+                pred, score, whole, best = np.array(["und"] * n, object), np.zeros(n), np.zeros(n), np.zeros(n)
                 if model.langs:
                     bits = model.bits(data, places)
                     win = bits.argmin(axis=1)
                     best = bits[np.arange(n), win]
                     weight = np.minimum(1, EVIDENCE / np.maximum(np.diff(places), 1))
-                    share = 1 / np.exp2(np.minimum(best[:, None] - bits, 0) * weight[:, None]).sum(axis=1)
+                    behind = np.minimum(best[:, None] - bits, 0)
+                    share, posterior = (1 / np.exp2(x).sum(axis=1) for x in (behind * weight[:, None], behind))
                     for i in range(n):
                         if LETTER.search(data[places[i] : places[i + 1]].tobytes().decode("utf-8", "replace")):
-                            pred[i], score[i] = model.langs[win[i]], share[i]
-                struct = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score), pa.array(best)], ["lang_pred", "score", "bits"])
+                            pred[i], score[i], whole[i] = model.langs[win[i]], share[i], posterior[i]
+                struct = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score), pa.array(whole), pa.array(best)], ["lang_pred", "score", "posterior", "bits"])
                 yield C.with_column(piece.drop_columns([raw]), name, struct)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
@@ -195,7 +194,7 @@ def op9_language_ppm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, learn=~held_out())
     found = identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score")
+    return found.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score", "language.posterior")
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
