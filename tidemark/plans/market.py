@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import frames as W
 from ..functions.blocks import within
 from ..functions.shared import written
-from ..operators import entropy as E, regimes as G, returns as R, rules as D, stats as S, volatility as V
+from ..operators import entropy as E, mixtures as X, regimes as G, returns as R, rules as D, stats as S, volatility as V
 from ..sources import bars as B
 
 #: Parameters of a fixed mixture over (wpe, rv22 / 100), and of a fixed GARCH recursion.
@@ -394,7 +394,18 @@ def simple_regimes(spark, d):
 
 
 def walk_forward(spark, d):
-    return G.walk_forward_regimes(R.rolling_volatility(wpe(spark, d)), "wpe", "complexity")
+    """Refits side by side; each bar by the model in force."""
+    return X.walk_forward(E.permutation_entropy_in_blocks(B.daily(spark, d)), "wpe", "complexity")
+
+
+def pooled_regimes(spark, d):
+    """One mixture of the bars of all brands, fitted by rounds of aggregates."""
+    own = within(B.by_brand(spark, d), lambda x: R.rolling_volatility(E.permutation_entropy(R.log_returns(x))), 24)
+    own = written(own.select("ticker", "ts", "wpe", (F.col("rv22") / 100).alias("rv")).where("wpe IS NOT NULL AND rv IS NOT NULL"), "brands")
+    model = X.pooled_mixture(own, ["wpe", "rv"], 3)
+    if model is None:
+        return spark.createDataFrame([], "ticker string, ts date, label int, name string, share double")
+    return r6(G.named(X.assigned(own, ["wpe", "rv"], model), "label", "name").select("ticker", "ts", "label", "name", F.array_max("p").alias("share")))
 
 
 def garch_exog(spark, d):
@@ -525,7 +536,7 @@ QUERIES = {
     date_slice, length_guard, source_fallback, ffill_locf, basket_returns, latest_rows, log_returns, pct_change, sma20, rolling_vol22, rolling_minmax, rolling_median, forward_vol, forward_drawdown, forward_runup, cum_product,
     ordinal_patterns, price_wpe_mfi, brand_wpe, wpe_order4, wpe_kinematics, price_sampen, spe_z_global, spe_z_rolling, volume_z, volume_sampen, shannon_fixed, shannon_auto, corr_pairs, corr_entropy_two, corr_entropy_basket,
     regime_group_stats, regime_spread, kruskal, hit_rate_grid, lift_table, lead_lag, value_counts, alert_names, ljung_box, qlike_mse, cum_qlike, forecast_winner, var_es, market_verdicts,
-    gmm_posterior, semantic_shares, cluster_semantics, gmm_ellipse, ellipse_polyline, yeo_johnson, hysteresis_labels, hysteresis_golden, label_diagnostics, label_flips, regime_islands, calibration_rank, price_regimes, volume_regimes, dual_regimes, plane_diagnostics, simple_regimes, walk_forward,
+    gmm_posterior, semantic_shares, cluster_semantics, gmm_ellipse, ellipse_polyline, yeo_johnson, hysteresis_labels, hysteresis_golden, label_diagnostics, label_flips, regime_islands, calibration_rank, price_regimes, volume_regimes, dual_regimes, plane_diagnostics, simple_regimes, walk_forward, pooled_regimes,
     garch_exog, garch_variance, lookahead_gap, breadth_ratio, garch_fit, garch_x_fit, rolling_forecast_eval,
     regime_multiplier, verdicts, divergence_alerts, trajectory_class, conclusion_keys, breadth_labels, risk_verdict, tool_results_json, analysis_frame,
 )}
