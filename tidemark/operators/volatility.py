@@ -20,8 +20,8 @@ from .stats import ljung_box_p
 LEAST_BARS, LONG, LEAST = 120, 504, 60
 ALPHA = 0.10
 DRAWS = 10_000
-#: Windows that are fitted side by side.
-LANES = 512
+#: Windows that are fitted side by side, and the rounds after which a search that hasn't settled is ended.
+LANES, ROUNDS = 256, 2000
 
 
 def exogenous(df: DataFrame) -> DataFrame:
@@ -77,8 +77,36 @@ def nelder_mead(f, start: np.ndarray, rounds: int = 500, tolerance: float = 1e-7
     return points[best], float(values[best])
 
 
-def fit_garch(r: np.ndarray, exog: np.ndarray | None = None, rounds: int = 500) -> dict:
-    """Normal maximum likelihood; parameters mu, omega, alpha, beta and one delta for each column of ``exog``."""
+def robust_errors(each, theta: np.ndarray) -> np.ndarray:
+    """Standard errors of estimates by quasi maximum likelihood, whatever the shocks' distribution: the sandwich
+    H^-1 G H^-1 of the Hessian of the summed losses and the outer products of each bar's score.
+
+    ``each`` gives the loss of every bar at parameters; derivatives are central differences.  NaN where the
+    Hessian does not determine a parameter (one on the edge of its range)."""
+    k = len(theta)
+    h = 1e-4 * np.maximum(np.abs(theta), 1e-2)
+    at = lambda *moves: each(theta + sum((s * h[i] * np.eye(k)[i] for i, s in moves), np.zeros(k)))
+    up, down, mid = [at((i, 1)) for i in range(k)], [at((i, -1)) for i in range(k)], float(at().sum())
+    scores = np.stack([(u - d) / (2 * g) for u, d, g in zip(up, down, h)], axis=1)
+    hess = np.empty((k, k))
+    for i in range(k):
+        hess[i, i] = (up[i].sum() - 2 * mid + down[i].sum()) / h[i] ** 2
+        for j in range(i):
+            hess[i, j] = hess[j, i] = (at((i, 1), (j, 1)).sum() - at((i, 1), (j, -1)).sum() - at((i, -1), (j, 1)).sum() + at((i, -1), (j, -1)).sum()) / (4 * h[i] * h[j])
+    if not np.isfinite(hess).all() or not np.isfinite(scores).all():
+        return np.full(k, np.nan)
+    bread = np.linalg.pinv(hess, rcond=1e-12, hermitian=True)
+    with np.errstate(invalid="ignore"):
+        return np.sqrt(np.diag(bread @ (scores.T @ scores) @ bread))
+
+
+def fit_garch(r: np.ndarray, exog: np.ndarray | None = None, rounds: int = 500, test: str = "robust") -> dict:
+    """Normal maximum likelihood; parameters mu, omega, alpha, beta and one delta for each column of ``exog``.
+
+    p-values of the deltas come from robust standard errors, or with ``test="ratio"`` from likelihood ratios; an
+    error that cannot be told gives a p-value of 1."""
+    if test not in ("robust", "ratio"):
+        raise ValueError(f"no such test: {test}")
     k = 0 if exog is None else exog.shape[1]
     var = max(float(r.var()), 1e-8)
 
@@ -105,15 +133,23 @@ def fit_garch(r: np.ndarray, exog: np.ndarray | None = None, rounds: int = 500)
     p, v = best
     mu, omega, alpha, beta, delta = natural(p)
     e, s2 = path(p)
-    pvalues = []
-    for j in range(k):  # likelihood ratio against the model without the column
-        q = np.delete(p, 4 + j)
-        rest = np.delete(exog, j, axis=1)
-        less = fit_garch(r, rest if rest.shape[1] else None, rounds // 2)["loss"] if k > 1 else fit_garch(r, None, rounds // 2)["loss"]
-        del q
-        pvalues.append(math.erfc(math.sqrt(max(0.0, less - v))))
+    pvalues, errors = [], np.full(4 + k, np.nan)
+    if k and test == "robust":
+        def each(theta):
+            gap = r - theta[0]
+            v = variance_path(gap * gap, *theta[1:4], exog @ theta[4:])
+            return 0.5 * (np.log(2 * math.pi * v) + gap * gap / v)
+
+        with np.errstate(all="ignore"):
+            errors = robust_errors(each, np.array([mu, omega, alpha, beta, *delta]))
+        pvalues = [math.erfc(abs(d) / se / math.sqrt(2)) if se > 0 else 1.0 for d, se in zip(delta, errors[4:])]
+    elif k:
+        for j in range(k):  # against the model without the column
+            rest = np.delete(exog, j, axis=1)
+            less = fit_garch(r, rest if k > 1 else None, rounds // 2, "ratio")["loss"]
+            pvalues.append(math.erfc(math.sqrt(max(0.0, less - v))))
     n = 4 + k
-    return {"mu": mu, "omega": omega, "alpha": alpha, "beta": beta, "delta": delta, "pvalues": pvalues, "resid": e, "s2": s2, "loss": v, "aic": 2 * n + 2 * v, "bic": n * math.log(len(r)) + 2 * v}
+    return {"mu": mu, "omega": omega, "alpha": alpha, "beta": beta, "delta": delta, "pvalues": pvalues, "errors": errors, "resid": e, "s2": s2, "loss": v, "aic": 2 * n + 2 * v, "bic": n * math.log(len(r)) + 2 * v}
 
 
 def tail(z: np.ndarray, sigma_next: float, draws: int = DRAWS, seed: int = 42) -> tuple[float, float]:
@@ -132,7 +168,7 @@ RESULT = (
 )
 
 
-def garch(df: DataFrame, mode: str = "spec", rounds: int = 500) -> DataFrame:
+def garch(df: DataFrame, mode: str = "spec", rounds: int = 500, test: str = "robust") -> DataFrame:
     """A row for each ticker from ``exogenous`` rows (``cse`` is used where there): the fitted model and its tail.
 
     Columns with a p-value above 0.10 are dropped and the rest refitted; failures give a row with their status."""
@@ -147,12 +183,12 @@ def garch(df: DataFrame, mode: str = "spec", rounds: int = 500) -> DataFrame:
             return pd.DataFrame([out | {"status": "too few complete rows"}])
         try:
             exog = own[["h_price", "h_volume"]].to_numpy(float) if mode == "spec" else None
-            used, m = names, fit_garch(r, exog, rounds)
+            used, m = names, fit_garch(r, exog, rounds, test)
             if exog is not None:
                 kept = [j for j, p in enumerate(m["pvalues"]) if p <= ALPHA]
                 if len(kept) < 2:
                     used = [names[j] for j in kept]
-                    m = fit_garch(r, exog[:, kept] if kept else None, rounds)
+                    m = fit_garch(r, exog[:, kept] if kept else None, rounds, test)
             else:
                 used = []
         except (ValueError, np.linalg.LinAlgError, OverflowError) as e:
@@ -194,9 +230,10 @@ def given_variance(df: DataFrame, mu: float, omega: float, alpha: float, beta: f
     return out.withColumn("cond_vol_annual", F.col("cond_vol") * math.sqrt(YEAR))
 
 
-def forecasts_of(r: np.ndarray, rounds: int = 120) -> np.ndarray:
+def forecasts_of(r: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Variance a bar ahead of each row of returns, by the same likelihood, starts and simplex steps as
-    ``fit_garch``, with all rows as lanes of one search; a row that cannot be fitted gives NaN."""
+    ``fit_garch``, with all rows as lanes of one search, each until its simplex has settled; a row that cannot be
+    fitted gives NaN.  And whether the better of its two searches settled within ``rounds``."""
     lanes, n = r.shape
     x = np.ascontiguousarray(r.T)
     var = np.maximum(r.var(axis=1), 1e-8)
@@ -230,7 +267,7 @@ def forecasts_of(r: np.ndarray, rounds: int = 120) -> np.ndarray:
         for i in range(4):
             points[i + 1, i] += np.where(start[i] == 0, 0.25, 0.1 * np.abs(start[i]) + 0.1)
         values = np.stack([loss(q, own) for q in points])
-        result, least = start.copy(), np.full(lanes, np.inf)
+        result, least, settled = start.copy(), np.full(lanes, np.inf), np.ones(lanes, bool)
         for _ in range(rounds):
             order = np.argsort(values, axis=0, kind="stable")
             values = np.take_along_axis(values, order, axis=0)
@@ -240,7 +277,7 @@ def forecasts_of(r: np.ndarray, rounds: int = 120) -> np.ndarray:
                 result[:, own[done]], least[own[done]] = points[0][:, done], values[0][done]
                 own, points, values = own[~done], points[:, :, ~done], values[:, ~done]
             if not len(own):
-                return result, least
+                return result, least, settled
             centre, worst = points[:-1].mean(axis=0), points[-1].copy()
             far = centre + (centre - worst)
             v = loss(far, own)
@@ -261,13 +298,14 @@ def forecasts_of(r: np.ndarray, rounds: int = 120) -> np.ndarray:
                     points[i][:, shrink] = points[0][:, shrink] + 0.5 * (points[i][:, shrink] - points[0][:, shrink])
                     values[i, shrink] = loss(points[i][:, shrink], own[shrink])
         best = values.argmin(axis=0)
-        result[:, own], least[own] = points[best, :, np.arange(len(own))].T, values[best, np.arange(len(own))]
-        return result, least
+        result[:, own], least[own], settled[own] = points[best, :, np.arange(len(own))].T, values[best, np.arange(len(own))], False
+        return result, least, settled
 
     found = [search(np.stack([r.mean(axis=1), np.log(var * 0.1), np.full(lanes, -1.0), np.full(lanes, b)])) for b in (2.2, 0.5)]
-    p = np.where(found[1][1] < found[0][1], found[1][0], found[0][0])
+    second = found[1][1] < found[0][1]
+    p = np.where(second, found[1][0], found[0][0])
     with np.errstate(all="ignore"):
-        return path(p, np.arange(lanes))[2]
+        return path(p, np.arange(lanes))[2], np.where(second, found[1][2], found[0][2])
 
 
 def breadth_ratio(df: DataFrame) -> DataFrame:
@@ -277,26 +315,28 @@ def breadth_ratio(df: DataFrame) -> DataFrame:
     return df.withColumn("ce_ratio", F.when(F.col("cse").isNotNull() & ratio.isNotNull(), F.least(F.greatest(ratio, F.lit(0.8)), F.lit(1.5))))
 
 
-def rolling_forecasts(df: DataFrame, window: int = LONG, every: int = 1, rounds: int = 120) -> DataFrame:
-    """(ticker, ts, realised, garch, benchmark): variance a bar ahead from the ``window`` returns before, against the squared return.
-
-    Windows are arrays on rows, spread over all tasks; a fit that fails gives no row."""
-    from pyspark.sql import Window
+def rolling_forecasts(df: DataFrame, window: int = LONG, every: int = 1, rounds: int = ROUNDS, size: int = LANES) -> DataFrame:
+    """(ticker, ts, realised, garch, benchmark, settled): variance a bar ahead from the ``window`` returns before, against
+    the squared return; ``settled`` is false where the search was ended by ``rounds``.
 
-    frame = Window.partitionBy("ticker").orderBy("ts").rowsBetween(-window, -1)
-    own = df.where(F.col("pct").isNotNull()).withColumn("seg", F.collect_list("pct").over(frame)).withColumn("at", F.row_number().over(w()))
-    own = own.where((F.size("seg") == window) & (F.col("at") % every == 0)).select("ticker", "ts", "pct", "seg").repartition(df.sparkSession.sparkContext.defaultParallelism, "ts")
-
-    @F.pandas_udf("double")
-    def ahead(values: pd.Series) -> pd.Series:
-        out = np.full(len(values), np.nan)
-        for at in range(0, len(values), LANES):
-            own = np.stack([np.asarray(v, float) for v in values.iloc[at : at + LANES]])
-            fit = np.isfinite(own).all(axis=1)
-            if fit.any():
-                out[at : at + LANES][fit] = forecasts_of(own[fit], rounds)
-        return pd.Series(out).where(np.isfinite(out), None).astype(float)
-
-    bench = F.expr("aggregate(slice(seg, -22, 22), struct(0D as n, 0D as s, 0D as q), (a, x) -> struct(a.n + 1 as n, a.s + x as s, a.q + x * x as q), a -> (a.q - a.s * a.s / a.n) / (a.n - 1))")
-    out = own.select("ticker", "ts", (F.col("pct") * F.col("pct")).alias("realised"), ahead("seg").alias("garch"), bench.alias("benchmark"))
-    return out.where(F.col("garch").isNotNull() & ~F.isnan("garch"))
+    Bars are dealt into blocks of ``size`` with the ``window`` bars before them; windows slide inside a block, whose
+    fits are lanes of one search.  A fit that fails gives no row."""
+    rows = numbered(df.where(F.col("pct").isNotNull()).select("ticker", "ts", "pct"))
+    block = F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + window) / size)))
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at")
+        at, x = frame["at"].to_numpy(), frame["pct"].to_numpy(float)
+        last = np.flatnonzero((at // size == frame["block"].to_numpy()) & (at >= window) & ((at + 1) % every == 0))
+        if not len(last):
+            return frame.iloc[:0].assign(realised=0.0, garch=0.0, benchmark=0.0, settled=True)[NAMES]
+        own = np.lib.stride_tricks.sliding_window_view(x, window)[last - window]
+        ahead, settled, fit = np.full(len(last), np.nan), np.zeros(len(last), bool), np.isfinite(own).all(axis=1)
+        if fit.any():
+            ahead[fit], settled[fit] = forecasts_of(own[fit], rounds)
+        out = frame.iloc[last].assign(realised=x[last] ** 2, garch=ahead, benchmark=own[:, -22:].var(axis=1, ddof=1), settled=settled)
+        return out[np.isfinite(ahead)][NAMES]
+
+    NAMES = ["ticker", "ts", "realised", "garch", "benchmark", "settled"]
+    kind = df.schema["ts"].dataType.simpleString()
+    return rows.withColumn("block", block).groupBy("ticker", "block").applyInPandas(solve, f"ticker string, ts {kind}, realised double, garch double, benchmark double, settled boolean")

@@ -445,9 +445,11 @@ def garch_x_fit(spark, d):
 
 
 def rolling_forecast_eval(spark, d):
-    """A forecast for each bar after the first window."""
+    """A forecast for each bar after the first window; ``unsettled`` counts the fits that the limit of rounds ended."""
     own = lr(spark, d).withColumn("pct", F.col("lr") * 100)
-    return r6(S.forecast_verdict(S.forecast_scores(V.rolling_forecasts(own), "realised", "garch", "benchmark"), "garch", "benchmark"))
+    found = written(V.rolling_forecasts(own), "forecasts")
+    scores = S.forecast_verdict(S.forecast_scores(found, "realised", "garch", "benchmark"), "garch", "benchmark")
+    return r6(scores.join(found.groupBy("ticker").agg(F.count_if(~F.col("settled")).alias("unsettled")), "ticker"))
 
 
 # ---- decisions --------------------------------------------------------------------------------
