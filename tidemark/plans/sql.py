@@ -117,6 +117,9 @@ held = f"""{posterior}, hy AS (
       SELECT lb.n, lb.top, hy.held AS old, CASE WHEN hy.pending = lb.top THEN hy.cnt + 1 ELSE 1 END AS c, lb.pt - CASE hy.held WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS margin
       FROM hy JOIN lb ON lb.n = hy.n + 1))
 ), hl AS (SELECT lb.ticker, lb.ts, lb.top AS raw, hy.held FROM lb JOIN hy USING (n))"""
+split = held.replace("row_number() OVER " + W + " AS n FROM po)", f"row_number() OVER {W} AS n, ts >= '{PIVOT}' AND coalesce(lag(ts) OVER {W} < '{PIVOT}', true) AS begins FROM po)").replace(
+    "SELECT *, top = old OR margin", "SELECT *, begins OR top = old OR margin").replace("SELECT lb.n, lb.top,", "SELECT lb.n, lb.top, lb.begins,")
+assert split.count("begins") == 3
 decisions = f"""{brand}, {lr}, sm AS (SELECT *, {full(f'avg(close) OVER {upto(20)}', 'close', upto(20), 20)} AS sma20 FROM lr), {volume.format(src='sm')},
 rv AS (SELECT *, {full(f'stddev_samp(lr) OVER {upto(22)} * sqrt(252.0) * 100', 'lr', upto(22), 22)} AS rv22 FROM vz), {pat.format(src='rv')}, {_wpe},
 ki0 AS (SELECT *, wpe - lag(wpe) OVER {W} AS v_wpe FROM wpe), ki AS (SELECT *, v_wpe - lag(v_wpe) OVER {W} AS a_wpe FROM ki0),
@@ -257,6 +260,7 @@ SQL = {
     "yeo_johnson": q(f"{daily}, {lr}, yj AS (SELECT ts, {_yj} AS y FROM lr)", f"SELECT ts, {r('y', 'yj')}, {r('(y - avg(y) OVER ()) / stddev_pop(y) OVER ()', 'yj_z')} FROM yj"),
     "hysteresis_labels": q(held, "SELECT ts, raw, held FROM hl", True),
     "stream_hysteresis": q(held, "SELECT ts, held FROM hl", True),
+    "stream_hysteresis_reset": q(split, "SELECT ts, held FROM hl", True),
     "hysteresis_golden": f"SELECT ticker, ts::INT AS ts, held::INT AS held FROM (VALUES {_golden}) AS v(ticker, ts, held)",
     "label_flips": q(f"{held}, fl AS (SELECT *, (held <> lag(held) OVER {W})::INT AS f FROM hl)", f"SELECT ticker, count(*) AS n_bars, coalesce(sum(f), 0)::BIGINT AS flips, {r('sum(f) * 252.0 / count(*)', 'flips_per_year')} FROM fl GROUP BY ticker", True),
     "label_diagnostics": q(

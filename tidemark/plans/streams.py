@@ -41,4 +41,21 @@ def stream_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out").select("ts", "held")
 
 
-QUERIES = {"stream_bars": stream_bars, "stream_hysteresis": stream_hysteresis}
+def stream_hysteresis_reset(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a control row that starts a new series at a pivot, and state that expires."""
+    at = folder(spark)
+    own = M.posteriors(spark, d)
+    own.withColumn("part", F.ntile(3).over(M.Window.partitionBy("ticker").orderBy("ts"))).write.partitionBy("part").parquet(f"{at}/in")
+    reset = own.select("ticker").distinct().select("ticker", F.lit(M.PIVOT).cast("date").alias("ts"), F.lit(None).cast("array<double>").alias("p"))
+    bounds = spark.read.parquet(f"{at}/in").groupBy("part").agg(F.max("ts").alias("last")).orderBy("part").collect()  # three rows
+    home = next((r["part"] for r in bounds if str(r["last"]) >= M.PIVOT), 3)
+    for k in range(1, 4):  # files are taken in the order of their times
+        rows = spark.read.parquet(f"{at}/in/part={k}").select(own.columns)
+        (rows.unionByName(reset) if k == home else rows).repartition(1, "ticker").write.mode("append").parquet(f"{at}/feed")
+    with K.rocks(spark):
+        stream = K.trigger_stream(K.tick_stream(spark, f"{at}/feed", own.schema), 0.40, 0.20, 3, keep=86_400_000, idle=86_400_000)
+        K.run_to_table(stream, f"{at}/out", f"{at}/state")
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").select("ts", "held")
+
+
+QUERIES = {"stream_bars": stream_bars, "stream_hysteresis": stream_hysteresis, "stream_hysteresis_reset": stream_hysteresis_reset}
