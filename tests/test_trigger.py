@@ -63,3 +63,19 @@ def test_a_long_series_is_many_tasks(spark):
     df, _ = posteriors(spark)
     blocks, labels, longest = trigger.cut(df.where("ticker = 'long'"), 64)
     assert (labels, longest, blocks.count()) == (3, 11, 11) and blocks.agg(F.max(F.size("p"))).first()[0] == 64
+
+
+#: Posteriors by case and the labels that must come out at (0.40, 0.20, 3) (fixed values).
+GOLDEN = {
+    "noise": ([[0.80, 0.10, 0.10], [0.40, 0.45, 0.15], [0.75, 0.15, 0.10]], [0, 0, 0]),
+    "hard": ([[0.80, 0.10, 0.10], [0.10, 0.85, 0.05]], [0, 1]),
+    "drift": ([[0.80, 0.10, 0.10], [0.30, 0.60, 0.10], [0.30, 0.60, 0.10], [0.30, 0.60, 0.10], [0.10, 0.65, 0.25]], [0, 0, 0, 1, 1]),
+    "switch": ([[0.80, 0.10, 0.10], [0.30, 0.60, 0.10], [0.30, 0.10, 0.60], [0.30, 0.60, 0.10]], [0, 0, 0, 0]),
+}
+
+
+@pytest.mark.parametrize("size", [2, 256])
+def test_golden_cases(spark, size):
+    rows = [(c, i, p) for c, (ps, _) in GOLDEN.items() for i, p in enumerate(ps)]
+    got = {(r["ticker"], r["ts"]): r["held"] for r in trigger.scan(spark.createDataFrame(rows, "ticker string, ts int, p array<double>"), 0.40, 0.20, 3, size=size, fan=2).collect()}
+    assert got == {(c, i): h for c, (_, hs) in GOLDEN.items() for i, h in enumerate(hs)}

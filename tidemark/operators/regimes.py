@@ -142,6 +142,13 @@ def walk_forward_regimes(df: DataFrame, x: str, y: str, days: int = REFIT_DAYS,
     return rows.groupBy("ticker").applyInPandas(walk, f"ticker string, ts {rows.schema['ts'].dataType.simpleString()}, label int")
 
 
+def moments(df: DataFrame, cluster: str, x: str, y: str) -> DataFrame:
+    """(cluster, w, mx, my, sxx, sxy, syy): share, centre and covariance of each cluster of a plane, by given labels."""
+    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cluster).agg(
+        F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("sxx"), F.covar_pop(x, y).alias("sxy"), F.var_pop(y).alias("syy"))
+    return own.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy())).select(cluster, "w", "mx", "my", "sxx", "sxy", "syy")
+
+
 def posterior(x: Column, y: Column, params: list[dict]) -> Column:
     """array<double> of the components' shares, from given weights, means and covariances (sxx, sxy, syy)."""
     logs = []

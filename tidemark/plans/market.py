@@ -290,22 +290,24 @@ def semantic_shares(spark, d):
     return r6(own.select("ts", F.get("q", F.lit(0)).alias("q0"), F.get("q", F.lit(1)).alias("q1")))
 
 
-def _params(spark) -> DataFrame:
-    return spark.createDataFrame([(k, *(float(c[n]) for n in ("w", "mx", "my", "sxx", "sxy", "syy"))) for k, c in enumerate(MIXTURE)], "cluster int, w double, mx double, my double, sxx double, sxy double, syy double")
+def _params(spark, d) -> DataFrame:
+    """(cluster, w, mx, my, sxx, sxy, syy) of the plane (wpe, rv22 / 100), the clusters being thirds of wpe, turned by one."""
+    own = labelled(spark, d).where("rv22 IS NOT NULL").select(((F.col("label") + 1) % 3).cast("int").alias("cluster"), F.col("wpe").alias("x"), (F.col("rv22") / 100).alias("y"))
+    return G.moments(own, "cluster", "x", "y")
 
 
 def cluster_semantics(spark, d):
-    own = _params(spark).withColumn("label", (F.row_number().over(Window.orderBy(F.col("mx") + F.col("my"))) - 1).cast("int"))
+    own = _params(spark, d).withColumn("label", (F.row_number().over(Window.orderBy(F.round(F.col("mx") + F.col("my"), 9))) - 1).cast("int"))
     return G.named(own, "label", "name").select("cluster", "label", "name")
 
 
 def gmm_ellipse(spark, d):
-    own = _params(spark)
+    own = _params(spark, d)
     return r6(own.select("cluster", *(c.alias(n) for n, c in G.ellipse(*(F.col(n) for n in ("mx", "my", "sxx", "sxy", "syy"))).items())))
 
 
 def ellipse_polyline(spark, d):
-    own = _params(spark)
+    own = _params(spark, d)
     own = own.select("cluster", *(c.alias(n) for n, c in G.ellipse(*(F.col(n) for n in ("mx", "my", "sxx", "sxy", "syy"))).items()))
     return r6(G.polyline(own).select("cluster", "i", "x", "y"))
 
@@ -323,19 +325,14 @@ def hysteresis_labels(spark, d):
     return held(spark, d).select("ts", "raw", "held")
 
 
-#: Posteriors by case and the labels that must come out (fixed values).
-GOLDEN = {
-    "noise": [[0.80, 0.10, 0.10], [0.40, 0.45, 0.15], [0.75, 0.15, 0.10]],
-    "hard": [[0.80, 0.10, 0.10], [0.10, 0.85, 0.05]],
-    "drift": [[0.80, 0.10, 0.10], [0.30, 0.60, 0.10], [0.30, 0.60, 0.10], [0.30, 0.60, 0.10], [0.10, 0.65, 0.25]],
-    "switch": [[0.80, 0.10, 0.10], [0.30, 0.60, 0.10], [0.30, 0.10, 0.60], [0.30, 0.60, 0.10]],
-}
-GOLDEN_HELD = {"noise": [0, 0, 0], "hard": [0, 1], "drift": [0, 0, 0, 1, 1], "switch": [0, 0, 0, 0]}
+def brand_posteriors(spark, d) -> DataFrame:
+    own = within(B.by_brand(spark, d), lambda x: E.permutation_entropy(R.rolling_volatility(R.log_returns(x))), 24).where("wpe IS NOT NULL AND rv22 IS NOT NULL")
+    return own.select("ticker", "ts", G.posterior(F.col("wpe"), F.col("rv22") / 100, MIXTURE).alias("p"))
 
 
 def hysteresis_golden(spark, d):
-    rows = [(c, i, p) for c, ps in GOLDEN.items() for i, p in enumerate(ps)]
-    return G.hysteresis(spark.createDataFrame(rows, "ticker string, ts int, p array<double>"), 0.40, 0.20, 3).select("ticker", "ts", "held")
+    """The setting of the golden cases (tests) on every brand's posteriors."""
+    return G.hysteresis(brand_posteriors(spark, d), 0.40, 0.20, 3).select("ticker", "ts", "held")
 
 
 def label_diagnostics(spark, d):
@@ -491,8 +488,8 @@ def conclusion_keys(spark, d):
 
 
 def breadth_labels(spark, d):
-    own = spark.createDataFrame([(float(x),) for x in range(0, 101, 5)], "cse double")
-    return own.withColumn("label", D.breadth(F.col("cse")))
+    """The breadth of two segments by name."""
+    return corr_entropy_two(spark, d).withColumn("label", D.breadth(F.col("cse")))
 
 
 def risk_verdict(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .market import GARCH, GOLDEN, GOLDEN_HELD, LAMBDA, MIXTURE, PIVOT, SLICE
+from .market import GARCH, LAMBDA, MIXTURE, PIVOT, SLICE
 
 LINE = "row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
 OHLCV = "arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close, sum(v)::DOUBLE AS volume"
@@ -158,13 +158,9 @@ def _best(states: int) -> float:
     return -((1 + u) / 2) * math.log((1 + u) / 2) - (states - 1) * (u / 2) * math.log(u / 2)
 
 
-def _ellipse(k: int, c: dict) -> str:
-    mid, half = (c["sxx"] + c["syy"]) / 2, math.sqrt(((c["sxx"] - c["syy"]) / 2) ** 2 + c["sxy"] ** 2)
-    angle = math.degrees(math.atan2(mid + half - c["sxx"], c["sxy"]))
-    return f"({k}, {c['mx']!r}::DOUBLE, {c['my']!r}::DOUBLE, {4 * math.sqrt(mid + half)!r}::DOUBLE, {4 * math.sqrt(max(mid - half, 0))!r}::DOUBLE, {angle!r}::DOUBLE)"
-
-
-ell = "el(cluster, cx, cy, width, height, angle) AS (VALUES " + ", ".join(_ellipse(k, c) for k, c in enumerate(MIXTURE)) + ")"
+moments = f"""{labelled}, mo AS (SELECT ((label + 1) % 3)::INT AS cluster, avg(wpe) AS mx, avg(rv22 / 100) AS my, var_pop(wpe) AS sxx, covar_pop(wpe, rv22 / 100) AS sxy, var_pop(rv22 / 100) AS syy FROM reg WHERE rv22 IS NOT NULL GROUP BY 1)"""
+ell = f"""{moments}, ax AS (SELECT *, (sxx + syy) / 2 AS mid, sqrt(pow((sxx - syy) / 2, 2) + sxy * sxy) AS half FROM mo),
+el AS (SELECT cluster, mx AS cx, my AS cy, 4 * sqrt(mid + half) AS width, 4 * sqrt(greatest(mid - half, 0)) AS height, CASE WHEN sxy = 0 THEN CASE WHEN sxx >= syy THEN 0 ELSE 90 END ELSE degrees(atan2(mid + half - sxx, sxy)) END AS angle FROM ax)"""
 _levels = "CASE WHEN s >= 2.5 THEN 3 WHEN s >= 1.5 THEN 2 WHEN s >= 0.8 THEN 1 ELSE 0 END"
 _code = f"CASE regime WHEN 'Deterministic' THEN ['CALM MARKET', 'STRUCTURAL WARNING', 'HIGH RISK', 'EXTREME RISK'][1 + {_levels}] ELSE ['CALM MARKET', 'MODERATE RISK', 'MODERATE RISK', 'ELEVATED VOLATILITY'][1 + {_levels}] END"
 _spec = f"CASE regime WHEN 'Stochastic' THEN ['LOW RISK', 'LOW-MODERATE', 'ELEVATED VOLATILITY', 'ELEVATED VOLATILITY'][1 + {_levels}] WHEN 'Transitional' THEN ['STRUCTURAL BUILD-UP', 'MODERATE RISK', 'HIGH RISK', 'HIGH RISK'][1 + {_levels}] ELSE ['STRUCTURAL WARNING', 'STRUCTURAL WARNING', 'HIGH RISK', 'EXTREME RISK'][1 + {_levels}] END"
@@ -181,8 +177,8 @@ def _scaled(x: str) -> str:
 
 
 _exo += f", sc AS (SELECT *, {_scaled('hp')} AS sp, {_scaled('hv')} AS sv FROM ok), lg2 AS (SELECT *, lag(sp) OVER {W} AS h_price, lag(sv) OVER {W} AS h_volume FROM sc), ex2 AS (SELECT * FROM lg2 WHERE h_price IS NOT NULL AND h_volume IS NOT NULL)"
-_golden = ", ".join(f"('{c}', {i}, {h})" for c, hs in GOLDEN_HELD.items() for i, h in enumerate(hs))
-assert {c: len(p) for c, p in GOLDEN.items()} == {c: len(h) for c, h in GOLDEN_HELD.items()}
+#: Held labels of every brand: the recursion of ``held`` with a row for each ticker.
+brands_held = f"{brand}, {held.split(daily + ', ', 1)[1]}".replace("SELECT n, top AS held", "SELECT ticker, n, top AS held").replace("SELECT n, CASE WHEN flip", "SELECT ticker, n, CASE WHEN flip").replace("SELECT lb.n, lb.top,", "SELECT lb.ticker, lb.n, lb.top,").replace("ON lb.n = hy.n + 1", "ON lb.ticker = hy.ticker AND lb.n = hy.n + 1").replace("JOIN hy USING (n)", "JOIN hy USING (ticker, n)")
 
 SQL = {
     "bars_daily": q(daily, f"SELECT {ALL} FROM bars"),
@@ -252,7 +248,7 @@ SQL = {
         "CASE WHEN coalesce(k, 0) < 2 THEN 'SKIP' WHEN NOT coalesce(lo > hi, false) THEN 'FAIL' WHEN exp(-h / 2) < 0.05 THEN 'PASS' ELSE 'PARTIAL' END AS verdict FROM al"),
     "gmm_posterior": q(posterior, f"SELECT ts, {', '.join(r(f'p{k}', f'p{k}') for k in range(3))}, top AS label FROM lb"),
     "semantic_shares": q(posterior, f"SELECT ts, {r('p1', 'q0')}, {r('p0 + p2', 'q1')} FROM po"),
-    "cluster_semantics": "SELECT cluster::INT AS cluster, label::INT AS label, name FROM (VALUES " + ", ".join(f"({k}, {lab}, '{['Deterministic', 'Transitional', 'Stochastic'][lab]}')" for lab, k in enumerate(sorted(range(3), key=lambda k: MIXTURE[k]["mx"] + MIXTURE[k]["my"]))) + ") AS v(cluster, label, name)",
+    "cluster_semantics": q(f"{moments}, ra AS (SELECT cluster, (row_number() OVER (ORDER BY round(mx + my, 9)) - 1)::INT AS label FROM mo)", "SELECT cluster, label, ['Deterministic', 'Transitional', 'Stochastic'][1 + label] AS name FROM ra"),
     "gmm_ellipse": q(ell, f"SELECT cluster::INT AS cluster, {', '.join(r(c, c) for c in ('cx', 'cy', 'width', 'height', 'angle'))} FROM el"),
     "ellipse_polyline": q(
         f"{ell}, pp AS (SELECT *, i * {2 * math.pi / 99!r} AS t, radians(angle) AS a FROM el, (SELECT unnest(range(100))::INT AS i))",
@@ -261,7 +257,7 @@ SQL = {
     "hysteresis_labels": q(held, "SELECT ts, raw, held FROM hl", True),
     "stream_hysteresis": q(held, "SELECT ts, held FROM hl", True),
     "stream_hysteresis_reset": q(split, "SELECT ts, held FROM hl", True),
-    "hysteresis_golden": f"SELECT ticker, ts::INT AS ts, held::INT AS held FROM (VALUES {_golden}) AS v(ticker, ts, held)",
+    "hysteresis_golden": q(brands_held, "SELECT ticker, ts, held FROM hl", True),
     "label_flips": q(f"{held}, fl AS (SELECT *, (held <> lag(held) OVER {W})::INT AS f FROM hl)", f"SELECT ticker, count(*) AS n_bars, coalesce(sum(f), 0)::BIGINT AS flips, {r('sum(f) * 252.0 / count(*)', 'flips_per_year')} FROM fl GROUP BY ticker", True),
     "label_diagnostics": q(
         f"{held}, fl AS (SELECT *, (held <> lag(held) OVER {W})::INT AS fh, (raw <> lag(raw) OVER {W})::INT AS fr FROM hl)",
@@ -315,5 +311,5 @@ fo AS (SELECT *, held_per_year BETWEEN 4 AND 10 AS in_band, abs(held_per_year -
         f"vz2 AS (SELECT *, (lv - avg(lv) OVER (PARTITION BY ticker)) / stddev_samp(lv) OVER (PARTITION BY ticker) AS g, (lv - avg(lv) OVER {upto(252)}) / nullif(stddev_samp(lv) OVER {upto(252)}, 0) AS z FROM lv2), "
         f"co AS (SELECT ts FROM vz WHERE ts <= '{PIVOT}' AND vol_rolling_z IS NOT NULL INTERSECT SELECT ts FROM vz2 WHERE z IS NOT NULL)",
         f"SELECT count(*) AS n_common, {r('median(abs(vol_rolling_z - z) / nullif(abs(vol_rolling_z), 0))', 'rolling_gap')}, {r('median(abs(vol_global_z - g) / nullif(abs(vol_global_z), 0))', 'global_gap')} FROM co JOIN vz USING (ts) JOIN vz2 USING (ts)"),
-    "breadth_labels": "SELECT x::DOUBLE AS cse, CASE WHEN x < 40 THEN 'COHESIVE' WHEN x > 70 THEN 'DISLOCATED' ELSE 'FRAGMENTING' END AS label FROM (SELECT unnest(range(0, 101, 5)) AS x)",
+    "breadth_labels": q(two, f"SELECT ts, {r('cse', 'cse')}, CASE WHEN round(cse, 6) < 40 THEN 'COHESIVE' WHEN round(cse, 6) > 70 THEN 'DISLOCATED' ELSE 'FRAGMENTING' END AS label FROM cse"),
 }
