@@ -4,8 +4,10 @@ Each task holds a shard of documents as one sequence of word numbers over the be
 (other words and document ends are terminators), sorts the shard's suffixes as deep as the longest
 item, and finds every suffix of every item by binary search: its longest verbatim match is with a
 neighbour of its place.  Where that match has ``window`` words or more, two more searches give the range
-of positions that share the window; the words there are hit, and the match is followed at each position to
-its end, so that every document gets its own longest match.
+of positions that share the window, once for all suffixes that begin with it; the words there are hit.  A
+position's own longest match is again with a neighbour of its place, in the suffix array of the items, so
+that every document gets its longest match.  Nothing is made for pairs of positions and suffixes: items that
+share a header cost their documents one list of texts, which documents with the same windows share.
 
 The benchmark goes to executors in blocks of ``BLOCK_BYTES`` of text, each read, broadcast and
 searched for itself, one pass after the other; what a pass found travels with its row.  Documents
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import common as C
 
 WINDOW = 13
+#: Names in a batch of results.
+NAMES = 1 << 19
 #: Text of a benchmark block, and of documents in a shard.
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 6 << 20
@@ -51,6 +55,7 @@ class Items:
                 owners.setdefault(number[at[i] : at[i + 1]].tobytes(), set()).update([] if item is None else [str(item)])
         self.names = [sorted(x) for x in owners.values()]
         self.texts = [np.frombuffer(k, np.int32) for k in owners]
+        self.size = window
         self.longest = max((len(t) for t in self.texts), default=0)
         self.words = np.concatenate([x for t in self.texts for x in (t, np.zeros(1, np.int32))] or [np.zeros(0, np.int32)])
         start = np.cumsum([0, *[len(t) + 1 for t in self.texts]]).astype(np.int64)
@@ -63,6 +68,38 @@ class Items:
         self.window = np.where(self.length >= size, size, 0)
         #: Place of each text in the order of its least id; texts without id come last.
         self.rank = np.argsort(sorted(range(len(self.names)), key=lambda t: (not self.names[t], self.names[t][:1])))
+        self.by_rank = np.argsort(self.rank)
+        #: Suffixes in order, and what they are chosen by among equals.
+        self.array = suffix_array(self.words, max(1, self.longest))
+        suffix_at = np.zeros(len(self.words) + 1, np.int64)
+        suffix_at[self.suffix] = np.arange(len(self.suffix))
+        own = suffix_at[self.array]
+        self.choice = np.stack([self.rank[self.text[own]], self.place[own]], axis=1) if len(own) else np.zeros((0, 2), np.int64)
+        self._group(own)
+
+    def _group(self, own: np.ndarray) -> None:
+        """Suffixes by the window they begin with: ``group`` of each (-1: none), a ``lead`` for each group, and the class of
+        texts that have it; ``texts_of`` lists a class's texts, which groups with the same texts share."""
+        self.group = np.full(len(self.suffix), -1)
+        own = own[self.window[own] > 0]
+        same = np.zeros(len(own), bool)
+        if len(own) > 1:
+            a, b = own[:-1], own[1:]
+            same[1:] = (self.window[a] == self.window[b]) & (common_length(self.words, self.suffix[a], self.words, self.suffix[b], self.window[a]) >= self.window[a])
+        self.group[own] = np.cumsum(~same) - 1
+        self.lead = own[~same]
+        pairs = np.unique(np.stack([self.group[own], self.text[own]]), axis=1)
+        edges = np.searchsorted(pairs[0], np.arange(len(self.lead) + 1))
+        classes: dict[bytes, int] = {}
+        self.owners = np.array([classes.setdefault(pairs[1, a:b].tobytes(), len(classes)) for a, b in zip(edges, edges[1:])], np.int64)
+        self.texts_of = [np.frombuffer(k, np.int64) for k in classes]
+
+    def names_of(self, owners: list[int]) -> list[str]:
+        """Ids, in order, of the items whose texts are in any of the classes."""
+        mark = np.zeros(len(self.texts), bool)
+        for k in owners:
+            mark[self.texts_of[k]] = True
+        return sorted({n for t in np.flatnonzero(mark) for n in self.names[t]})
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -160,21 +197,53 @@ class Shard:
         return np.searchsorted(self.first, positions, "right") - 1
 
     def occurrences(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
-        """(position, suffix) for every place where a whole window of an item occurs: of suffixes whose longest match is that long."""
+        """(position, group) for every place where a whole window of an item occurs: of suffixes whose longest match is that long."""
         own = np.flatnonzero((items.window > 0) & (self.longest(items)[0] >= items.window))
-        if not len(own):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # equal windows are searched once
-        keys = {}
-        for i in own:
-            keys.setdefault(items.words[items.suffix[i] : items.suffix[i] + items.window[i]].tobytes(), []).append(i)
-        lead = np.array([v[0] for v in keys.values()])
-        lo = search(self.words, self.array, items.words, items.suffix[lead], items.window[lead])
-        hi = search(self.words, self.array, items.words, items.suffix[lead], items.window[lead], upper=True)
-        found = [(self.array[a:b], v) for a, b, v in zip(lo, hi, keys.values(), strict=True) if b > a]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([np.tile(p, len(v)) for p, v in found]), np.concatenate([np.repeat(v, len(p)) for p, v in found])
+        groups = np.unique(items.group[own])
+        lead = items.lead[groups]
+        lo, hi = (search(self.words, self.array, items.words, items.suffix[lead], items.window[lead], upper) for upper in (False, True))
+        each = hi - lo
+        at = np.repeat(lo, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        return self.array[at], np.repeat(groups, each)
+
+    def reach(self, items: Items, position: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Words of the longest match at each position with the suffixes of its group, which are neighbours in the items' order."""
+        size = items.window[items.lead[group]]
+        depth = np.minimum(self.left(position), items.longest)
+        at, best = search(items.words, items.array, self.words, position, depth), np.zeros(len(position), np.int64)
+        for near in (at - 1, at):
+            ok = (near >= 0) & (near < len(items.array))
+            best = np.maximum(best, np.where(ok, common_length(items.words, items.array[np.clip(near, 0, len(items.array) - 1)], self.words, position, depth), 0))
+        return np.where(size == items.size, best, size)  # a shorter window is a whole item
+
+    def left(self, position: np.ndarray) -> np.ndarray:
+        """Known words from each position to the next unknown one or the document's end."""
+        ends = np.flatnonzero(self.words == 0)
+        return ends[np.searchsorted(ends, position)] - position
+
+    def longest_of_documents(self, items: Items, position: np.ndarray, group: np.ndarray) -> dict[int, tuple]:
+        """By document: words, first word, item and place in it of its longest match; of equals the first, then the least item."""
+        if not len(position):
+            return {}
+        far, doc = self.reach(items, position, group), self.doc(position)
+        order = np.lexsort((position, -far, doc))
+        top = order[np.diff(doc[order], prepend=-1) != 0]
+        position, far, doc, group = position[top], far[top], doc[top], group[top]
+        lo, hi = (search(items.words, items.array, self.words, position, far, upper) for upper in (False, True))
+        chosen: dict[tuple, tuple] = {}
+        out = {}
+        for d, p, f, a, b, g in zip(doc.tolist(), position.tolist(), far.tolist(), lo.tolist(), hi.tolist(), group.tolist()):
+            if f < items.size:  # a whole short item
+                i = items.lead[g]
+                text, place = items.text[i], items.place[i]
+            else:
+                if (a, b) not in chosen:
+                    own = items.choice[a:b]
+                    chosen[a, b] = tuple(own[np.lexsort((own[:, 1], own[:, 0]))[0]].tolist())
+                rank, place = chosen[a, b]
+                text = items.by_rank[rank]
+            out[d] = (f, p - int(self.first[d]), next(iter(items.names[text]), None), int(place))
+        return out
 
     def longest(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
         """For every suffix of every item: its longest match in the shard, and where (-1: none)."""
@@ -224,35 +293,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             for batch in C.gather(batches, raw, SHARD_BYTES):
                 hashes, at = word_hashes(*C.flat(batch.column(raw)))
                 shard = Shard(hashes, at, items)
-                position, suffix = shard.occurrences(items)
+                position, group = shard.occurrences(items)
                 edge = np.zeros(len(shard.words) + 1, np.int64)
                 np.add.at(edge, position, 1)
-                np.add.at(edge, position + items.window[suffix], -1)
+                np.add.at(edge, position + items.window[items.lead[group]], -1)
                 hit = np.append(np.cumsum(edge[:-1]) > 0, False)
                 ends = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0))
                 starts, stops = ends[::2], ends[1::2]
-                of, doc = shard.doc(starts), shard.doc(position)
-                far = common_length(shard.words, position, items.words, items.suffix[suffix], items.length[suffix])
-                text = items.text[suffix]
-                order = np.lexsort((items.place[suffix], items.rank[text] if len(text) else text, position, -far, doc))
-                top = order[np.diff(doc[order], prepend=-1) != 0]
-                longest = {int(doc[k]): (int(far[k]), int(position[k] - shard.first[doc[k]]), next(iter(items.names[text[k]]), None), int(items.place[suffix[k]])) for k in top}
-                pair = np.unique(np.stack([doc, text]), axis=1)
+                of = shard.doc(starts)
+                longest = shard.longest_of_documents(items, position, group)
                 ranges: dict[int, list] = {}
                 for d, a, b in zip(of.tolist(), starts.tolist(), stops.tolist(), strict=True):
                     ranges.setdefault(d, []).append((a - int(shard.first[d]), b - int(shard.first[d])))
-                names: dict[int, set] = {}
-                for d, t in pair.T.tolist():
-                    names.setdefault(d, set()).update(items.names[t])
-                before = batch.column(name).to_pylist() if batch.column(name).null_count < len(batch) else [None] * len(batch)
-                rows = []
-                for d, old in enumerate(before):
-                    own, who, most = ranges.get(d, []), names.get(d, set()), longest.get(d)
+                classes: dict[int, list] = {}
+                for d, k in np.unique(np.stack([shard.doc(position), items.owners[group]]), axis=1).T.tolist():
+                    classes.setdefault(d, []).append(k)
+                lists: dict[tuple, list] = {}  # documents with the same windows share a list of names
+                rows, first, many = [], 0, 0
+                for d in range(len(batch)):
+                    old = batch.column(name)[d].as_py()
+                    own, kinds, most = ranges.get(d, []), tuple(classes.get(d, ())), longest.get(d)
+                    if kinds not in lists:
+                        lists[kinds] = items.names_of(list(kinds))
+                    who = lists[kinds]
                     if old:
-                        own, who = merged([(x["start"], x["end"]) for x in old["hits"]] + own), who | set(old["items"])
+                        own = merged([(x["start"], x["end"]) for x in old["hits"]] + own)
+                        who = sorted({*who, *old["items"]}) if who and old["items"] else who or old["items"]
                         most = longer(most, old["longest"] and tuple(old["longest"].values()))
-                    rows.append({"n_words": int(at[d + 1] - at[d]), "hits": [{"start": a, "end": b} for a, b in own], "items": sorted(who), "longest": most and dict(zip(("length", "word", "item", "place"), most, strict=True))})
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=batch.schema.names)
+                    rows.append({"n_words": int(at[d + 1] - at[d]), "hits": [{"start": a, "end": b} for a, b in own], "items": who, "longest": most and dict(zip(("length", "word", "item", "place"), most, strict=True))})
+                    many += len(who)
+                    if many >= NAMES or d == len(batch) - 1:
+                        part = batch.slice(first, len(rows))
+                        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, kind)], names=batch.schema.names)
+                        rows, first, many = [], d + 1, 0
 
         return work
 
