@@ -118,3 +118,22 @@ def test_flat_series_have_no_correlation(spark):
     assert sum(v[0] is None for v in both.values()) > 0 and sum(v[0] == 0.0 for v in both.values()) > 5
     ratio = V.breadth_ratio(two.select(F.lit("x").alias("ticker"), "ts", F.when(F.col("two").isNull(), None).otherwise(0.0).alias("cse")))
     assert {r["ce_ratio"] for r in ratio.where("cse IS NULL").collect()} == {None}
+
+
+@pytest.mark.parametrize("window, m, r, share", [(60, 2, None, 0.2), (60, 2, 0.2, 0.2), (12, 3, None, 0.5), (20, 1, 0.4, 0.2), (4, 2, 1.0, 0.2)])
+def test_sample_entropy_of_all_windows_at_once(window, m, r, share):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.round(rng.standard_normal(150), 1), np.full(70, 0.5), rng.standard_normal(30)])
+    got = E.sample_entropy_along(x, window, m, r, share)
+    for i in range(len(x)):
+        own = x[max(0, i - window) : i]
+        want = math.nan if i < window or (r is None and not own.std() > 0) else E.sample_entropy(own, m, r if r is not None else share * own.std())
+        assert (math.isnan(got[i]) and math.isnan(want)) or math.isclose(got[i], want, abs_tol=1e-12), (i, got[i], want)
+    assert np.isnan(E.sample_entropy_along(x[:window], window, m, r, share)).all()
+
+
+@pytest.mark.parametrize("size", [40, 4096])
+def test_sample_entropy_with_gaps(brands, size):
+    own = brands.where("ticker IN ('gaps', 'hot') AND ts < '2002-06-01'")  # volumes have gaps
+    equal(E.rolling_sample_entropy_in_blocks(own, "volume", "se", 30, r=3.0, least=10, size=size), E.rolling_sample_entropy(own, "volume", "se", 30, r=3.0, least=10))
+    equal(E.rolling_sample_entropy_in_blocks(own, "volume", "se", 30, size=size), E.rolling_sample_entropy(own, "volume", "se", 30))

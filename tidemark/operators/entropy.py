@@ -266,6 +266,70 @@ def price_features(bars: DataFrame) -> DataFrame:
     return z_rolling(z_global(own, "price_sampen", "spe_z_global"), "price_sampen", "spe_z")
 
 
+def sample_entropy_along(x: np.ndarray, window: int, m: int = 2, r: float | None = None, share: float = 0.2) -> np.ndarray:
+    """Sample entropy of the ``window`` values before each place (NaN before the first full one, or where there is none).
+
+    Pairs of runs are told apart by their lag.  With a fixed r, whether the run at a place is near the one ``lag``
+    before it doesn't depend on the window, so that a window's count is a difference of running counts: ``window`` steps
+    a place.  With r a share of each window's deviation, the distances of a lag are shared by all windows that hold them,
+    and each is compared with the window's own r."""
+    n, k = len(x), window - m
+    out = np.full(n, math.nan)
+    if n <= window or k < 2:
+        return out
+    last = np.arange(window, n)  # windows end before these places
+    if r is None:
+        own = np.lib.stride_tricks.sliding_window_view(x, window)[: n - window]
+        limit = share * own.std(axis=1)
+    near, longer = np.zeros(n - window, np.int64), np.zeros(n - window, np.int64)
+    for lag in range(1, k):
+        gap = np.abs(x[lag:] - x[:-lag])  # at place i: of x[i + lag] and x[i]
+        runs = gap[: len(gap) - m + 1]
+        for step in range(1, m):
+            runs = np.maximum(runs, gap[step : len(gap) - m + 1 + step])
+        more = np.maximum(runs[: len(gap) - m], gap[m:])
+        pairs = k - lag  # earlier runs of a window with this lag
+        for distance, total in ((runs, near), (more, longer)):
+            if r is not None:
+                count = np.concatenate([[0], np.cumsum(distance <= r)])
+                total += count[last - window + pairs] - count[last - window]
+            else:
+                total += (np.lib.stride_tricks.sliding_window_view(distance, pairs)[: n - window] <= limit[:, None]).sum(axis=1)
+    ok = (near > 0) & (longer > 0)
+    if r is None:
+        ok &= limit > 0
+    out[window:][ok] = -np.log(longer[ok] / near[ok])
+    return out
+
+
+def rolling_sample_entropy_in_blocks(df: DataFrame, x: str, out: str, window: int, m: int = 2, r: float | None = None, share: float = 0.2, least: int | None = None, size: int = SIZE) -> DataFrame:
+    """``rolling_sample_entropy`` in blocks with a halo, all windows of a block side by side.  Windows with missing values
+    are taken one by one: their neighbours join."""
+
+    def kernel(values: pd.Series) -> pd.Series:
+        own = values.to_numpy(float)
+        gaps = np.isnan(own)
+        found = sample_entropy_along(np.where(gaps, 0.0, own), window, m, r, share)
+        holes = np.concatenate([[0], np.cumsum(gaps)])
+        for i in range(window, len(own)):
+            if holes[i] > holes[i - window]:
+                v = own[i - window : i][~gaps[i - window : i]]
+                radius = r if r is not None else share * v.std() if len(v) else 0.0
+                found[i] = sample_entropy(v, m, radius) if len(v) >= (least or m + 2) and radius > 0 else math.nan
+        return pd.Series(found)
+
+    rows = numbered(df, "at_")
+    reach = F.explode(F.sequence(F.floor(F.col("at_") / size), F.floor((F.col("at_") + window) / size)))
+    keyed = rows.select("ticker", "ts", "at_", F.col(x).cast("double").alias("x_"), reach.alias("block_"))
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at_").reset_index(drop=True)
+        return frame.assign(value_=kernel(frame["x_"]))[frame["at_"] // size == frame["block_"]][["ticker", "at_", "value_"]]
+
+    found = keyed.groupBy("ticker", "block_").applyInPandas(solve, "ticker string, at_ bigint, value_ double")
+    return rows.join(found, ["ticker", "at_"]).withColumn(out, F.nanvl("value_", F.lit(None).cast("double"))).drop("at_", "value_")
+
+
 # ---- the same for long series: blocks with a halo instead of one task a ticker -----------------
 
 
@@ -287,10 +351,8 @@ def volume_base_in_blocks(bars: DataFrame, size: int = SIZE) -> DataFrame:
 def volume_entropy_in_blocks(bars: DataFrame, size: int = SIZE, window: int = VOLUME_WINDOW) -> DataFrame:
     """``volume_entropy``: histogram and sample entropy of the score, a block's kernels in a task."""
 
-    def kernels(x: DataFrame) -> DataFrame:
-        return rolling_sample_entropy(rolling_histogram_entropy(x, "vol_global_z", "vol_shannon", window), "vol_global_z", "vol_sampen", window, 2, r=0.2, least=10)
-
-    return within(volume_base_in_blocks(bars, size), kernels, window + 1, size=size)
+    own = within(volume_base_in_blocks(bars, size), lambda x: rolling_histogram_entropy(x, "vol_global_z", "vol_shannon", window), window + 1, size=size)
+    return rolling_sample_entropy_in_blocks(own, "vol_global_z", "vol_sampen", window, 2, r=0.2, least=10, size=size)
 
 
 def z_global_in_blocks(df: DataFrame, x: str, out: str) -> DataFrame:
@@ -304,10 +366,10 @@ def price_features_in_blocks(bars: DataFrame, size: int = SIZE) -> DataFrame:
     from .returns import log_returns, moving_average
 
     def local(x: DataFrame) -> DataFrame:
-        own = kinematics(permutation_entropy(log_returns(moving_average(x))))
-        return z_rolling(rolling_sample_entropy(own, "close", "price_sampen", PRICE_WINDOW), "price_sampen", "spe_z")
+        return z_rolling(kinematics(permutation_entropy(log_returns(moving_average(x)))), "price_sampen", "spe_z")
 
-    return z_global_in_blocks(within(bars, local, Z_LONG + PRICE_WINDOW + 2, size=size), "price_sampen", "spe_z_global")
+    own = rolling_sample_entropy_in_blocks(bars, "close", "price_sampen", PRICE_WINDOW, size=size)
+    return z_global_in_blocks(within(own, local, Z_LONG, size=size), "price_sampen", "spe_z_global")
 
 
 def joined_breadth_in_blocks(bars: DataFrame, cse: DataFrame) -> DataFrame:

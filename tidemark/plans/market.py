@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import frames as W
 from ..functions.blocks import within
-from ..functions.shared import written
+from ..functions.shared import kept, version, written
 from ..operators import entropy as E, mixtures as X, regimes as G, returns as R, rules as D, stats as S, volatility as V
 from ..sources import bars as B
 
@@ -152,7 +152,7 @@ def wpe_kinematics(spark, d):
 
 
 def sampen(spark, d) -> DataFrame:
-    return within(B.daily(spark, d), lambda x: E.rolling_sample_entropy(x, "close", "price_sampen", 60), 61)
+    return E.rolling_sample_entropy_in_blocks(B.daily(spark, d), "close", "price_sampen", 60)
 
 
 def price_sampen(spark, d):
@@ -173,7 +173,7 @@ def volume_z(spark, d):
 
 
 def volume_sampen(spark, d):
-    return r6(E.rolling_sample_entropy(E.volume_base(B.daily(spark, d)), "vol_global_z", "vol_sampen", 60, 2, r=0.2, least=10).select("ts", "vol_sampen"))
+    return r6(E.rolling_sample_entropy_in_blocks(E.volume_base_in_blocks(B.daily(spark, d)), "vol_global_z", "vol_sampen", 60, 2, r=0.2, least=10).select("ts", "vol_sampen"))
 
 
 def shannon_fixed(spark, d):
@@ -358,6 +358,12 @@ def features(spark, d) -> DataFrame:
     return E.joined_breadth_in_blocks(own, cse)
 
 
+def kept_features(spark, d) -> DataFrame:
+    """``features`` under the version of the tables that they come from: made once while these stay the same."""
+    sources = {t: version(spark, f"{d}/{t}.parquet") for t in ("lineitem", "orders", "customer")}
+    return kept(spark, "features", {"folder": d, "sources": sources, "windows": [E.WINDOW, E.PRICE_WINDOW, E.VOLUME_WINDOW, E.Z_LONG, E.Z_YEAR]}, lambda: features(spark, d))
+
+
 def price_regimes(spark, d):
     own = G.mixture_regimes(E.price_features(B.daily(spark, d)), "wpe", "spe_z")
     return r6(G.named(own, "label", "name").select("ts", "label", "name", F.array_max("p").alias("share")))
@@ -434,11 +440,11 @@ def breadth_ratio(spark, d):
 
 
 def garch_fit(spark, d):
-    return V.garch(V.exogenous(features(spark, d)), "compat", 300)
+    return V.garch(V.exogenous(kept_features(spark, d)), "compat", 300)
 
 
 def garch_x_fit(spark, d):
-    return V.garch(V.exogenous(features(spark, d)), "spec", 300)
+    return V.garch(V.exogenous(kept_features(spark, d)), "spec", 300)
 
 
 def rolling_forecast_eval(spark, d):
@@ -494,7 +500,7 @@ def breadth_labels(spark, d):
 
 def risk_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: features, both planes' mixtures, hysteresis, GARCH with entropy, tail, verdict and texts of the latest bar."""
-    own = written(features(spark, d), "features")  # read by both mixtures, the volatility model and the latest row
+    own = kept_features(spark, d)  # read by both mixtures, the volatility model and the latest row
     price = G.mixture_regimes(own, "wpe", "spe_z")
     calm = G.named(G.hysteresis(price.select("ticker", "ts", "p")), "held", "regime").select("ticker", "ts", "regime")
     volume = G.mixture_regimes(own, "vol_shannon", "vol_sampen", transformed=True, rounds=100)
