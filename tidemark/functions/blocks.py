@@ -45,18 +45,18 @@ def numbered(df: DataFrame, out: str = "at") -> DataFrame:
     return inside.join(sizes, ["ticker", bucket]).withColumn(out, F.col(before) + F.col(k) - 1).drop(bucket, before, k)
 
 
-def within(df: DataFrame, compute: Callable[[DataFrame], DataFrame], back: int, ahead: int = 0, size: int = SIZE) -> DataFrame:
-    """``compute(df)``, block by block.
+def within(df: DataFrame, compute: Callable[[DataFrame], DataFrame], back: int, ahead: int = 0, size: int = SIZE, number: str | None = None) -> DataFrame:
+    """``compute(df)``, block by block; ``number``: the column of the bars' numbers, where ``df`` is ``numbered``.
 
     ``compute`` may use any operator whose windows are partitioned by ticker and whose results for a bar depend on
     no more than the ``back`` bars before it and the ``ahead`` bars after it; it keeps rows and the columns ticker
     and ts.  Inside, ``ticker`` is the ticker with its block."""
     at, block, own = (_free(n, df) for n in ("at", "block", "own"))
-    rows = numbered(df, at)
+    rows, at = (df, number) if number else (numbered(df, at), at)
     here = F.floor(F.col(at) / size)
     reach = F.sequence(F.floor((F.col(at) - ahead) / size), F.floor((F.col(at) + back) / size))
     dealt = rows.withColumn(block, F.explode(reach)).where(F.col(block) >= 0)
-    dealt = dealt.withColumn(own, F.col(block) == here).withColumn("ticker", F.struct("ticker", block)).drop(at, block)
+    dealt = dealt.withColumn(own, F.col(block) == here).withColumn("ticker", F.struct("ticker", block)).drop(block, *([] if number else [at]))
     return compute(dealt).where(own).withColumn("ticker", F.col("ticker.ticker")).drop(own)
 
 

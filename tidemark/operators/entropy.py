@@ -11,7 +11,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.blocks import SIZE, carried_last, numbered, with_totals, within
 from ..functions.frames import before, full, nonzero, number, upto, w, whole, z_score
@@ -302,12 +303,11 @@ def sample_entropy_along(x: np.ndarray, window: int, m: int = 2, r: float | None
     return out
 
 
-def rolling_sample_entropy_in_blocks(df: DataFrame, x: str, out: str, window: int, m: int = 2, r: float | None = None, share: float = 0.2, least: int | None = None, size: int = SIZE) -> DataFrame:
+def rolling_sample_entropy_in_blocks(df: DataFrame, x: str, out: str, window: int, m: int = 2, r: float | None = None, share: float = 0.2, least: int | None = None, size: int = SIZE, number: str | None = None) -> DataFrame:
     """``rolling_sample_entropy`` in blocks with a halo, all windows of a block side by side.  Windows with missing values
-    are taken one by one: their neighbours join."""
+    are taken one by one: their neighbours join.  ``number``: the bars' numbers, where ``df`` is ``numbered``."""
 
-    def kernel(values: pd.Series) -> pd.Series:
-        own = values.to_numpy(float)
+    def kernel(own: np.ndarray) -> np.ndarray:
         gaps = np.isnan(own)
         found = sample_entropy_along(np.where(gaps, 0.0, own), window, m, r, share)
         holes = np.concatenate([[0], np.cumsum(gaps)])
@@ -316,18 +316,20 @@ def rolling_sample_entropy_in_blocks(df: DataFrame, x: str, out: str, window: in
                 v = own[i - window : i][~gaps[i - window : i]]
                 radius = r if r is not None else share * v.std() if len(v) else 0.0
                 found[i] = sample_entropy(v, m, radius) if len(v) >= (least or m + 2) and radius > 0 else math.nan
-        return pd.Series(found)
+        return found
 
-    rows = numbered(df, "at_")
-    reach = F.explode(F.sequence(F.floor(F.col("at_") / size), F.floor((F.col("at_") + window) / size)))
-    keyed = rows.select("ticker", "ts", "at_", F.col(x).cast("double").alias("x_"), reach.alias("block_"))
+    at = number or "at_"
+    rows = (df if number else numbered(df, at)).drop(out)
+    dealt = rows.withColumn("block_", F.explode(F.sequence(F.floor(F.col(at) / size), F.floor((F.col(at) + window) / size))))
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at_").reset_index(drop=True)
-        return frame.assign(value_=kernel(frame["x_"]))[frame["at_"] // size == frame["block_"]][["ticker", "at_", "value_"]]
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by(at)
+        value = kernel(table.column(x).to_numpy().astype(float))
+        here = table.column(at).to_numpy() // size == table.column("block_").to_numpy()
+        return table.append_column(out, pa.array(value, mask=np.isnan(value))).filter(pa.array(here))
 
-    found = keyed.groupBy("ticker", "block_").applyInPandas(solve, "ticker string, at_ bigint, value_ double")
-    return rows.join(found, ["ticker", "at_"]).withColumn(out, F.nanvl("value_", F.lit(None).cast("double"))).drop("at_", "value_")
+    found = dealt.groupBy("ticker", "block_").applyInArrow(solve, T.StructType([*dealt.schema.fields, T.StructField(out, T.DoubleType())]))
+    return found.drop("block_", *([] if number else [at]))
 
 
 # ---- the same for long series: blocks with a halo instead of one task a ticker -----------------
@@ -340,19 +342,21 @@ def permutation_entropy_in_blocks(bars: DataFrame, size: int = SIZE, window: int
     return within(bars, lambda x: permutation_entropy(log_returns(x), window=window), window + 2, size=size)
 
 
-def volume_base_in_blocks(bars: DataFrame, size: int = SIZE) -> DataFrame:
+def volume_base_in_blocks(bars: DataFrame, size: int = SIZE, number: str | None = None) -> DataFrame:
     """``volume_base``: the whole series' mean and deviation are aggregates, the trailing year a frame."""
     own = with_totals(bars.withColumn("lv", F.log1p(F.greatest(F.col("volume"), F.lit(0.0)))), lv_mean=F.avg("lv"), lv_sd=F.stddev_samp("lv"))
     score = F.when(F.coalesce("lv_sd", F.lit(0.0)) > 0, (F.col("lv") - F.col("lv_mean")) / nonzero("lv_sd")).otherwise(0.0)
     own = own.withColumn("vol_global_z", score).drop("lv_mean", "lv_sd")
-    return within(own, lambda x: x.withColumn("vol_rolling_z", z_score("lv", upto(Z_YEAR))), Z_YEAR, size=size)
+    return within(own, lambda x: x.withColumn("vol_rolling_z", z_score("lv", upto(Z_YEAR))), Z_YEAR, size=size, number=number)
 
 
-def volume_entropy_in_blocks(bars: DataFrame, size: int = SIZE, window: int = VOLUME_WINDOW) -> DataFrame:
+def volume_entropy_in_blocks(bars: DataFrame, size: int = SIZE, window: int = VOLUME_WINDOW, number: str | None = None) -> DataFrame:
     """``volume_entropy``: histogram and sample entropy of the score, a block's kernels in a task."""
-
-    own = within(volume_base_in_blocks(bars, size), lambda x: rolling_histogram_entropy(x, "vol_global_z", "vol_shannon", window), window + 1, size=size)
-    return rolling_sample_entropy_in_blocks(own, "vol_global_z", "vol_sampen", window, 2, r=0.2, least=10, size=size)
+    at = number or "number_"
+    own = volume_base_in_blocks(bars if number else numbered(bars, at), size, at)
+    own = within(own, lambda x: rolling_histogram_entropy(x, "vol_global_z", "vol_shannon", window), window + 1, size=size, number=at)
+    own = rolling_sample_entropy_in_blocks(own, "vol_global_z", "vol_sampen", window, 2, r=0.2, least=10, size=size, number=at)
+    return own if number else own.drop(at)
 
 
 def z_global_in_blocks(df: DataFrame, x: str, out: str) -> DataFrame:
@@ -361,18 +365,21 @@ def z_global_in_blocks(df: DataFrame, x: str, out: str) -> DataFrame:
     return own.withColumn(out, F.when(F.col("n_") < 2, None).when(F.col("sd_") == 0, 0.0).otherwise((F.col(x) - F.col("mean_")) / nonzero("sd_"))).drop("n_", "mean_", "sd_")
 
 
-def price_features_in_blocks(bars: DataFrame, size: int = SIZE) -> DataFrame:
-    """``price_features``: frames reach back over the score's window and the entropy's window before it."""
+def price_features_in_blocks(bars: DataFrame, size: int = SIZE, number: str | None = None) -> DataFrame:
+    """``price_features``: frames reach back over the rolling score's window."""
     from .returns import log_returns, moving_average
 
     def local(x: DataFrame) -> DataFrame:
         return z_rolling(kinematics(permutation_entropy(log_returns(moving_average(x)))), "price_sampen", "spe_z")
 
-    own = rolling_sample_entropy_in_blocks(bars, "close", "price_sampen", PRICE_WINDOW, size=size)
-    return z_global_in_blocks(within(own, local, Z_LONG, size=size), "price_sampen", "spe_z_global")
+    at = number or "number_"
+    own = rolling_sample_entropy_in_blocks(bars if number else numbered(bars, at), "close", "price_sampen", PRICE_WINDOW, size=size, number=at)
+    own = z_global_in_blocks(within(own, local, Z_LONG, size=size, number=at), "price_sampen", "spe_z_global")
+    return own if number else own.drop(at)
 
 
-def joined_breadth_in_blocks(bars: DataFrame, cse: DataFrame) -> DataFrame:
+def joined_breadth_in_blocks(bars: DataFrame, cse: DataFrame, number: str | None = None) -> DataFrame:
     """``joined_breadth``, carried forward from block to block."""
-    own = numbered(bars.join(cse.withColumnRenamed("cse", "cse_"), "ts", "left"))
-    return carried_last(own, "cse_", "cse").drop("at", "cse_")
+    at = number or "number_"
+    own = (bars if number else numbered(bars, at)).join(cse.withColumnRenamed("cse", "cse_"), "ts", "left")
+    return carried_last(own, "cse_", "cse", at).drop("cse_", *([] if number else [at]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import frames as W
-from ..functions.blocks import within
+from ..functions.blocks import numbered, within
 from ..functions.shared import kept, version, written
 from ..operators import entropy as E, mixtures as X, regimes as G, returns as R, rules as D, stats as S, volatility as V
 from ..sources import bars as B
@@ -352,10 +352,13 @@ def calibration_rank(spark, d):
 
 
 def features(spark, d) -> DataFrame:
-    """The whole feature table of the daily bars."""
-    own = E.volume_entropy_in_blocks(E.price_features_in_blocks(B.daily(spark, d)))
+    """The whole feature table of the daily bars.  Bars are numbered once; each part is written, since the next reads it
+    for its totals and for its rows."""
+    bars = written(numbered(B.daily(spark, d), "number"), "bars")
+    own = written(E.price_features_in_blocks(bars, number="number"), "price")
+    own = written(E.volume_entropy_in_blocks(own, number="number"), "volume")
     cse = E.correlation_entropy(B.basket_returns(B.by_segment(spark, d)))
-    return E.joined_breadth_in_blocks(own, cse)
+    return E.joined_breadth_in_blocks(own, cse, "number").drop("number")
 
 
 def kept_features(spark, d) -> DataFrame:
