@@ -357,7 +357,8 @@ def features(spark, d) -> DataFrame:
     bars = written(numbered(B.daily(spark, d), "number"), "bars")
     own = written(E.price_features_in_blocks(bars, number="number"), "price")
     own = written(E.volume_entropy_in_blocks(own, number="number"), "volume")
-    cse = E.correlation_entropy(B.basket_returns(B.by_segment(spark, d)))
+    returns = written(B.basket_returns(B.by_segment(spark, d)), "returns")
+    cse = written(E.correlation_entropy(returns), "breadth")
     return E.joined_breadth_in_blocks(own, cse, "number").drop("number")
 
 
