@@ -409,7 +409,7 @@ def pooled_regimes(spark, d):
     """One mixture of the bars of all brands, fitted by rounds of aggregates."""
     own = within(B.by_brand(spark, d), lambda x: R.rolling_volatility(E.permutation_entropy(R.log_returns(x))), 24)
     own = written(own.select("ticker", "ts", "wpe", (F.col("rv22") / 100).alias("rv")).where("wpe IS NOT NULL AND rv IS NOT NULL"), "brands")
-    model = X.pooled_mixture(own, ["wpe", "rv"], 3)
+    model = X.pooled_mixture(own, ["wpe", "rv"], 3, restarts=1)
     if model is None:
         return spark.createDataFrame([], "ticker string, ts date, label int, name string, share double")
     return r6(G.named(X.assigned(own, ["wpe", "rv"], model), "label", "name").select("ticker", "ts", "label", "name", F.array_max("p").alias("share")))
