@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import frames as W
 from ..functions.blocks import numbered, within
-from ..functions.shared import kept, version, written
+from ..functions.shared import folder, kept, version, written
 from ..operators import entropy as E, mixtures as X, regimes as G, returns as R, rules as D, stats as S, volatility as V
-from ..sources import bars as B
+from ..sources import bars as B, connector as C
 
 #: Parameters of a fixed mixture over (wpe, rv22 / 100), and of a fixed GARCH recursion.
 MIXTURE = [
@@ -20,6 +20,7 @@ GARCH = {"mu": 0.0, "omega": 20.0, "alpha": 0.1, "beta": 0.8, "start": 900.0}
 SLICE = ("1994-01-01", "1996-12-31")
 LAMBDA = -0.7
 PIVOT = "1996-01-01"
+BRANDS = ["Brand#13", "Brand#22"]
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -67,6 +68,24 @@ def source_fallback(spark, d):
     return r6(B.canonical(B.with_fallback(lambda: B.load(spark, f"{d}/no_such_bars.parquet"), lambda: B.daily(spark, d).withColumnsRenamed({"close": " Close", "ts": "Date"}))).select("ticker", "ts", "close", "volume"))
 
 
+def store(spark, d) -> str:
+    """A store of the brands' bars, for the bar source."""
+    at = folder(spark, "store")
+    C.export_store(B.by_brand(spark, d), at)
+    return at
+
+
+def connector_bars(spark, d):
+    """All bars through the bar source; its first root doesn't exist."""
+    at = store(spark, d)
+    return r6(C.connect(spark, f"{at}/no_such_store", at))
+
+
+def connector_slice(spark, d):
+    """Two brands between dates through the bar source: filters reach it, returns start with the slice."""
+    return r6(R.log_returns(C.connect(spark, store(spark, d), tickers=BRANDS, first=SLICE[0], last=SLICE[1])).select("ticker", "ts", "close", "lr"))
+
+
 def ffill_locf(spark, d):
     own = B.by_segment(spark, d)
     grid = own.select("ticker").distinct().join(own.agg(F.collect_set("ts").alias("days"))).select("ticker", F.explode("days").alias("ts"))
@@ -542,7 +561,7 @@ def analysis_frame(spark, d):
 QUERIES = {
     "bars_daily": B.daily, "bars_by_brand": B.by_brand, "bars_by_segment": B.by_segment, "bars_hourly": B.hourly,
 } | {f.__name__: f for f in (
-    date_slice, length_guard, source_fallback, ffill_locf, basket_returns, latest_rows, log_returns, pct_change, sma20, rolling_vol22, rolling_minmax, rolling_median, forward_vol, forward_drawdown, forward_runup, cum_product,
+    date_slice, length_guard, source_fallback, connector_bars, connector_slice, ffill_locf, basket_returns, latest_rows, log_returns, pct_change, sma20, rolling_vol22, rolling_minmax, rolling_median, forward_vol, forward_drawdown, forward_runup, cum_product,
     ordinal_patterns, price_wpe_mfi, brand_wpe, wpe_order4, wpe_kinematics, price_sampen, spe_z_global, spe_z_rolling, volume_z, volume_sampen, shannon_fixed, shannon_auto, corr_pairs, corr_entropy_two, corr_entropy_basket,
     regime_group_stats, regime_spread, kruskal, hit_rate_grid, lift_table, lead_lag, value_counts, alert_names, ljung_box, qlike_mse, cum_qlike, forecast_winner, var_es, market_verdicts,
     gmm_posterior, semantic_shares, cluster_semantics, gmm_ellipse, ellipse_polyline, yeo_johnson, hysteresis_labels, hysteresis_golden, label_diagnostics, label_flips, regime_islands, calibration_rank, price_regimes, volume_regimes, dual_regimes, plane_diagnostics, simple_regimes, walk_forward, pooled_regimes,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.shared import folder
+from ..sources import bars as B, connector as C
 from ..streaming import ticks as K
 from . import market as M
 
@@ -58,4 +59,14 @@ def stream_hysteresis_reset(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out").select("ts", "held")
 
 
-QUERIES = {"stream_bars": stream_bars, "stream_hysteresis": stream_hysteresis, "stream_hysteresis_reset": stream_hysteresis_reset}
+def stream_connector(spark: SparkSession, d: str) -> DataFrame:
+    """A store of bars as a stream: what it holds before a pivot, then, from the same checkpoint, what is added after it."""
+    at, own = folder(spark), B.by_brand(spark, d)
+    C.register(spark)
+    for part in (F.col("ts") < M.PIVOT, F.col("ts") >= M.PIVOT):
+        C.export_store(own.where(part), f"{at}/store", "append")
+        K.run_to_table(spark.readStream.format(C.FORMAT).option("settle", "0").load(f"{at}/store"), f"{at}/out", f"{at}/state")
+    return M.r6(spark.read.schema(B.SCHEMA).parquet(f"{at}/out"))
+
+
+QUERIES = {"stream_connector": stream_connector, "stream_bars": stream_bars, "stream_hysteresis": stream_hysteresis, "stream_hysteresis_reset": stream_hysteresis_reset}
