@@ -246,9 +246,13 @@ def calibration(df: DataFrame) -> DataFrame:
     """Every setting of the grid on each ticker's posteriors, with its fitness columns and rank."""
     grid = [(h, s, t) for h in HARD_GRID for s in SOFT_GRID for t in PERSIST_GRID if h >= s]
     settings = F.array(*(F.struct(F.lit(h).alias("hard"), F.lit(s).alias("soft"), F.lit(t).cast("int").alias("persist")) for h, s, t in grid))
-    found = trigger.flip_counts(df, grid).withColumn("set", F.get(settings, F.col("setting")))
+    return ranked(trigger.flip_counts(df, grid).withColumn("set", F.get(settings, F.col("setting"))).select("*", "set.*"))
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """Fitness columns and rank of counted settings (ticker, hard, soft, persist, n, raw_flips, held_flips, same)."""
     yearly = lambda c: F.col(c) * float(YEAR) / F.col("n")
-    out = found.select("ticker", "set.*", yearly("raw_flips").alias("raw_per_year"), yearly("held_flips").alias("held_per_year"), (F.col("same") / F.col("n")).alias("agreement"))
+    out = found.select("ticker", "hard", "soft", "persist", yearly("raw_flips").alias("raw_per_year"), yearly("held_flips").alias("held_per_year"), (F.col("same") / F.col("n")).alias("agreement"))
     out = out.withColumns({"in_band": F.col("held_per_year").between(FLIPS_LOW, FLIPS_HIGH), "distance": F.abs(F.col("held_per_year") - (FLIPS_LOW + FLIPS_HIGH) / 2), "width": F.round(F.col("hard") - F.col("soft"), 6)})
     order = Window.partitionBy("ticker").orderBy(F.desc("in_band"), F.round("distance", 6), "width", "persist", "hard")
     return out.withColumn("place", F.row_number().over(order))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import frames as W
 from ..functions.blocks import numbered, within
 from ..functions.shared import folder, kept, version, written
-from ..operators import entropy as E, mixtures as X, regimes as G, returns as R, rules as D, stats as S, volatility as V
+from ..operators import entropy as E, mixtures as X, regimes as G, returns as R, rules as D, stats as S, table_functions as TF, volatility as V
 from ..sources import bars as B, connector as C
 
 #: Parameters of a fixed mixture over (wpe, rv22 / 100), and of a fixed GARCH recursion.
@@ -370,6 +370,13 @@ def calibration_rank(spark, d):
     return r6(G.calibration(posteriors(spark, d)))
 
 
+def calibration_sql(spark, d):
+    """The calibration as SQL over the table function: a lot of settings of a series is a task's work."""
+    TF.register(spark)
+    own = TF.dealt(posteriors(spark, d), G.HARD_GRID, G.SOFT_GRID, G.PERSIST_GRID)
+    return r6(G.ranked(spark.sql(f"SELECT * FROM {TF.NAME}(TABLE({{own}}) PARTITION BY (ticker, hard) ORDER BY (ts))", own=own)))
+
+
 def features(spark, d) -> DataFrame:
     """The whole feature table of the daily bars.  Bars are numbered once; each part is written, since the next reads it
     for its totals and for its rows."""
@@ -564,7 +571,7 @@ QUERIES = {
     date_slice, length_guard, source_fallback, connector_bars, connector_slice, ffill_locf, basket_returns, latest_rows, log_returns, pct_change, sma20, rolling_vol22, rolling_minmax, rolling_median, forward_vol, forward_drawdown, forward_runup, cum_product,
     ordinal_patterns, price_wpe_mfi, brand_wpe, wpe_order4, wpe_kinematics, price_sampen, spe_z_global, spe_z_rolling, volume_z, volume_sampen, shannon_fixed, shannon_auto, corr_pairs, corr_entropy_two, corr_entropy_basket,
     regime_group_stats, regime_spread, kruskal, hit_rate_grid, lift_table, lead_lag, value_counts, alert_names, ljung_box, qlike_mse, cum_qlike, forecast_winner, var_es, market_verdicts,
-    gmm_posterior, semantic_shares, cluster_semantics, gmm_ellipse, ellipse_polyline, yeo_johnson, hysteresis_labels, hysteresis_golden, label_diagnostics, label_flips, regime_islands, calibration_rank, price_regimes, volume_regimes, dual_regimes, plane_diagnostics, simple_regimes, walk_forward, pooled_regimes,
+    gmm_posterior, semantic_shares, cluster_semantics, gmm_ellipse, ellipse_polyline, yeo_johnson, hysteresis_labels, hysteresis_golden, label_diagnostics, label_flips, regime_islands, calibration_rank, calibration_sql, price_regimes, volume_regimes, dual_regimes, plane_diagnostics, simple_regimes, walk_forward, pooled_regimes,
     garch_exog, garch_variance, lookahead_gap, breadth_ratio, garch_fit, garch_x_fit, rolling_forecast_eval,
     regime_multiplier, verdicts, divergence_alerts, trajectory_class, conclusion_keys, breadth_labels, risk_verdict, tool_results_json, analysis_frame,
 )}

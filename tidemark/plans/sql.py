@@ -316,3 +316,4 @@ fo AS (SELECT *, held_per_year BETWEEN 4 AND 10 AS in_band, abs(held_per_year -
         f"SELECT count(*) AS n_common, {r('median(abs(vol_rolling_z - z) / nullif(abs(vol_rolling_z), 0))', 'rolling_gap')}, {r('median(abs(vol_global_z - g) / nullif(abs(vol_global_z), 0))', 'global_gap')} FROM co JOIN vz USING (ts) JOIN vz2 USING (ts)"),
     "breadth_labels": q(two, f"SELECT ts, {r('cse', 'cse')}, CASE WHEN round(cse, 6) < 40 THEN 'COHESIVE' WHEN round(cse, 6) > 70 THEN 'DISLOCATED' ELSE 'FRAGMENTING' END AS label FROM cse"),
 }
+SQL["calibration_sql"] = SQL["calibration_rank"]
