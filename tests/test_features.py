@@ -268,3 +268,16 @@ def test_fallback_is_for_sources_only(spark):
         B.with_fallback(lambda: 1 / 0, other)
     with pytest.raises(ValueError):
         B.with_fallback(lambda: spark.range(0))
+
+
+def test_lifts_without_rows_or_hits(spark):
+    from tidemark.operators import stats as S
+
+    df = spark.createDataFrame([("M", "a", -6.0), ("M", "a", -1.0), ("M", "b", -1.0), ("M", None, -9.0), ("M", "a", None), ("N", "b", 0.0)], "market string, g string, x double")
+    rows = {(r["threshold"]): tuple(r)[2:] for r in S.lift_between(df, "g", "a", "b", ["x"], [-5.0, -0.5]).collect()}
+    assert rows == {-5.0: (2, 2, 0.5, 0.0, 0.0), -0.5: (2, 2, 1.0, 0.5, 2.0)}
+    none = S.lift_between(df.where("false"), "g", "a", "b", ["x"], [-5.0]).collect()
+    assert [tuple(r)[2:] for r in none] == [(0, 0, 0.0, 0.0, 0.0)]
+    by = {(r["market"], r["g"]): (r["n"], r["rate"], r["base_rate"], r["lift"]) for r in S.lift_by(df, "market", "g", "x", [-2.0, ]).collect()}
+    assert by == {("M", "a"): (2, 0.5, 0.5, 1.0), ("M", "b"): (1, 1.0, 0.5, 2.0), ("N", "b"): (1, 1.0, 1.0, 1.0)}
+    assert S.lift_by(df, "market", "g", "x", [5.0]).where("lift IS NOT NULL").isEmpty()

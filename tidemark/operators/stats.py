@@ -122,6 +122,32 @@ def lift(df: DataFrame, label: str, value: str, threshold: float) -> DataFrame:
     return out.withColumn("lift", F.try_divide("rate", "base_rate"))
 
 
+def lift_between(df: DataFrame, label: str, high: str, low: str, values: list[str], thresholds: list[float], below: bool = True) -> DataFrame:
+    """(measure, threshold, n_high, n_low, rate_high, rate_low, lift): how much more often values of one group lie beyond a
+    threshold than those of another.  Only rows with all values count; a rate without rows, and a lift over a rate of 0, are 0."""
+    complete = df.where(F.col(label).isin(high, low)).dropna(subset=values).select((F.col(label) == high).alias("own"), *values)
+    beyond = lambda v, t: F.col(v) < t if below else F.col(v) > t
+    count = lambda mine, v, t: F.count_if((F.col("own") == mine) & beyond(v, float(t)))
+    cells = [F.struct(F.lit(v).alias("measure"), F.lit(float(t)).alias("threshold"), count(True, v, t).alias("a"), count(False, v, t).alias("b")) for v in values for t in thresholds]
+    one = complete.agg(F.count_if("own").alias("n_high"), F.count_if(~F.col("own")).alias("n_low"), F.array(*cells).alias("cells"))  # one row
+    rate = lambda x, n: F.coalesce(F.try_divide(x, F.col(n)), F.lit(0.0))
+    out = one.select("n_high", "n_low", F.inline("cells"))
+    out = out.select("measure", "threshold", "n_high", "n_low", rate("a", "n_high").alias("rate_high"), rate("b", "n_low").alias("rate_low"))
+    return out.withColumn("lift", F.coalesce(F.try_divide("rate_high", "rate_low"), F.lit(0.0)))
+
+
+def lift_by(df: DataFrame, by: str, label: str, value: str, thresholds: list[float]) -> DataFrame:
+    """(by, label, threshold, n, rate, base_rate, lift): within each ``by``, a group's rate of values above a threshold
+    against that of all its rows, those without a label too; null where the base is 0.  Groups are counted once, the base
+    is summed from their counts."""
+    at = [float(t) for t in thresholds]
+    hits = F.array(*(F.struct(F.lit(t).alias("threshold"), F.count_if(F.col(value) > t).alias("hits")) for t in at))
+    each = df.where(F.col(value).isNotNull()).groupBy(by, label).agg(F.count("*").alias("n"), hits.alias("h")).select(by, label, "n", F.inline("h"))
+    all_ = Window.partitionBy(by, "threshold")
+    out = each.select(by, label, "threshold", "n", (F.col("hits") / F.col("n")).alias("rate"), (F.sum("hits").over(all_) / F.sum("n").over(all_)).alias("base_rate"))
+    return out.withColumn("lift", F.try_divide("rate", "base_rate")).where(F.col(label).isNotNull())
+
+
 def lead_lag(df: DataFrame, x: str, y: str, *leads: int) -> DataFrame:
     """(ticker, lead, r): correlation of x with y some bars later."""
     own = df.withColumns({f"y{k}": F.lead(y, k).over(w()) if k else F.col(y) for k in leads})

@@ -235,6 +235,18 @@ def hit_rate_grid(spark, d):
     return r6(S.hit_rates(labelled(spark, d), "regime", ["fdd5", "fdd10", "fdd20"], [-5.0, -10.0, -20.0]))
 
 
+def lift_contrast(spark, d):
+    """Drawdowns in the one extreme regime against those in the other."""
+    return r6(S.lift_between(labelled(spark, d), "regime", "Deterministic", "Stochastic", ["fdd5", "fdd10", "fdd20"], [-5.0, -10.0, -20.0]))
+
+
+def market_lift(spark, d):
+    """Each segment as a market: how often a run-up follows in each third of wpe, against the market's own base."""
+    own = R.forward_runup(E.permutation_entropy(R.log_returns(B.by_segment(spark, d))), 10)
+    third = F.when(F.col("wpe").isNotNull(), F.ntile(3).over(Window.partitionBy("ticker", F.col("wpe").isNull()).orderBy(F.round("wpe", 9), "ts")) - 1)
+    return r6(S.lift_by(G.named(own.withColumn("label", third), "label", "regime"), "ticker", "regime", "runup10", [5.0, 20.0, 60.0]))
+
+
 def lift_table(spark, d):
     return r6(S.lift(labelled(spark, d), "regime", "runup10", 20.0))
 
@@ -570,7 +582,7 @@ QUERIES = {
 } | {f.__name__: f for f in (
     date_slice, length_guard, source_fallback, connector_bars, connector_slice, ffill_locf, basket_returns, latest_rows, log_returns, pct_change, sma20, rolling_vol22, rolling_minmax, rolling_median, forward_vol, forward_drawdown, forward_runup, cum_product,
     ordinal_patterns, price_wpe_mfi, brand_wpe, wpe_order4, wpe_kinematics, price_sampen, spe_z_global, spe_z_rolling, volume_z, volume_sampen, shannon_fixed, shannon_auto, corr_pairs, corr_entropy_two, corr_entropy_basket,
-    regime_group_stats, regime_spread, kruskal, hit_rate_grid, lift_table, lead_lag, value_counts, alert_names, ljung_box, qlike_mse, cum_qlike, forecast_winner, var_es, market_verdicts,
+    regime_group_stats, regime_spread, kruskal, hit_rate_grid, lift_table, lift_contrast, market_lift, lead_lag, value_counts, alert_names, ljung_box, qlike_mse, cum_qlike, forecast_winner, var_es, market_verdicts,
     gmm_posterior, semantic_shares, cluster_semantics, gmm_ellipse, ellipse_polyline, yeo_johnson, hysteresis_labels, hysteresis_golden, label_diagnostics, label_flips, regime_islands, calibration_rank, calibration_sql, price_regimes, volume_regimes, dual_regimes, plane_diagnostics, simple_regimes, walk_forward, pooled_regimes,
     garch_exog, garch_variance, lookahead_gap, breadth_ratio, garch_fit, garch_x_fit, rolling_forecast_eval,
     regime_multiplier, verdicts, divergence_alerts, trajectory_class, conclusion_keys, breadth_labels, risk_verdict, tool_results_json, analysis_frame,

@@ -141,6 +141,10 @@ ql AS (SELECT *, greatest(rv, 1e-12) / greatest(f22, 1e-12) AS u22, greatest(rv,
 scores = " UNION ALL ".join(f"SELECT ticker, 'f{n}' AS forecast, avg(u{n} - ln(u{n}) - 1) AS qlike, avg((rv - f{n}) * (rv - f{n})) AS mse, corr(rv, f{n}) AS r, corr(sqrt(rv), sqrt(f{n})) AS r_sigma FROM ql WHERE rv IS NOT NULL AND f{n} IS NOT NULL GROUP BY ticker" for n in (22, 60))
 stats = " UNION ALL ".join(f"SELECT regime, 'fv{h}' AS measure, count(*) AS n, {r(f'avg(fv{h})', 'mean')}, {r(f'median(fv{h})', 'median')}, {r(f'stddev_samp(fv{h})', 'sd')} FROM reg WHERE fv{h} IS NOT NULL GROUP BY regime" for h in (5, 10, 20))
 hits = " UNION ALL ".join(f"SELECT regime, 'fdd{h}' AS measure, {t}::DOUBLE AS threshold, count(*) AS n, {r(f'avg((fdd{h} < {t})::INT)', 'rate')} FROM reg WHERE fdd{h} IS NOT NULL GROUP BY regime" for h in (5, 10, 20) for t in (-5.0, -10.0, -20.0))
+_share = lambda h, t, g: f"coalesce(avg((fdd{h} < {t})::INT) FILTER (WHERE regime = '{g}'), 0)"
+contrast = " UNION ALL ".join(
+    f"SELECT 'fdd{h}' AS measure, {t}::DOUBLE AS threshold, count(*) FILTER (WHERE regime = 'Deterministic') AS n_high, count(*) FILTER (WHERE regime = 'Stochastic') AS n_low, {r(_share(h, t, 'Deterministic'), 'rate_high')}, "
+    f"{r(_share(h, t, 'Stochastic'), 'rate_low')}, {r(_share(h, t, 'Deterministic') + ' / nullif(' + _share(h, t, 'Stochastic') + ', 0)', 'lift').replace('round(', 'coalesce(round(', 1).replace(' AS lift', ', 0) AS lift')} FROM whole" for h in (5, 10, 20) for t in (-5.0, -10.0, -20.0))
 leads = " UNION ALL ".join(f"SELECT ticker, {k} AS lead, {r(f'corr(wpe, y{k})', 'r')} FROM ll GROUP BY ticker" for k in (0, 5, 10, 20))
 
 
@@ -229,6 +233,13 @@ SQL = {
         "h AS (SELECT tt.n, count(*) AS k, (12 / (tt.n * (tt.n + 1)) * sum(s * s / gr.n) - 3 * (tt.n + 1)) / (1 - any_value(ties) / (tt.n * tt.n * tt.n - tt.n)) AS h FROM gr, tt GROUP BY tt.n)",
         f"SELECT n::BIGINT AS n, k, {r('h', 'h')}, {r('exp(-h / 2)', 'p')} FROM h"),
     "hit_rate_grid": q(labelled, hits),
+    "lift_contrast": q(f"{labelled}, whole AS (SELECT * FROM reg WHERE fdd5 IS NOT NULL AND fdd10 IS NOT NULL AND fdd20 IS NOT NULL)", contrast),
+    "market_lift": q(
+        f"{segment}, {wpe('lr')}, fw AS (SELECT *, {forward} FROM wpe), lab AS (SELECT *, ntile(3) OVER (PARTITION BY ticker ORDER BY round(wpe, 9), ts) - 1 AS label FROM fw WHERE wpe IS NOT NULL), "
+        "reg AS (SELECT *, CASE label WHEN 0 THEN 'Deterministic' WHEN 1 THEN 'Transitional' ELSE 'Stochastic' END AS regime FROM lab), th AS (SELECT unnest([5.0, 20.0, 60.0])::DOUBLE AS threshold), "
+        "ba AS (SELECT ticker, threshold, avg((runup10 > threshold)::INT) AS base FROM fw, th WHERE runup10 IS NOT NULL GROUP BY ALL), "
+        "gr AS (SELECT ticker, regime, threshold, count(*) AS n, avg((runup10 > threshold)::INT) AS rate FROM reg, th WHERE runup10 IS NOT NULL GROUP BY ALL)",
+        f"SELECT ticker, regime, threshold, n, {r('rate', 'rate')}, {r('base', 'base_rate')}, {r('rate / nullif(base, 0)', 'lift')} FROM gr JOIN ba USING (ticker, threshold)"),
     "lift_table": q(f"{labelled}, hh AS (SELECT regime, (runup10 > 20)::INT::DOUBLE AS hit FROM reg WHERE runup10 IS NOT NULL), ba AS (SELECT avg(hit) AS base FROM hh)", f"SELECT regime, {r('avg(hit)', 'rate')}, {r('any_value(base)', 'base_rate')}, {r('avg(hit) / nullif(any_value(base), 0)', 'lift')} FROM hh, ba GROUP BY regime"),
     "lead_lag": q(f"{DW}, ll AS (SELECT ticker, wpe, {', '.join(f'lead(rv22, {k}) OVER {W} AS y{k}' for k in (0, 5, 10, 20))} FROM wpe)", leads),
     "value_counts": q(labelled, "SELECT regime, count(*) AS n FROM reg GROUP BY regime"),
