@@ -193,9 +193,9 @@ SQL = {
     "date_slice": q(f"{daily.replace('bars AS', 'bars0 AS')}, bars AS (SELECT * FROM bars0 WHERE ts BETWEEN '{SLICE[0]}' AND '{SLICE[1]}'), {lr}", f"SELECT ts, {r('close', 'close')}, {r('lr', 'lr')} FROM lr"),
     "length_guard": q(brand, "SELECT ticker, count(*) AS n_bars, CASE WHEN count(*) >= 504 THEN 'ok' ELSE 'too_short' END AS status FROM bars GROUP BY ticker"),
     "source_fallback": q(daily, f"SELECT ticker, ts, {r('close', 'close')}, {r('volume', 'volume')} FROM bars"),
-    "connector_bars": q(brand, f"SELECT ticker, ts, {', '.join(r(x, x) for x in ('open', 'high', 'low', 'close', 'volume'))} FROM bars"),
+    "connector_bars": q(brand, f"SELECT {ALL} FROM bars"),
     "connector_slice": q(f"{brand.replace('bars AS', 'bars0 AS')}, bars AS (SELECT * FROM bars0 WHERE ticker IN {tuple(BRANDS)} AND ts BETWEEN '{SLICE[0]}' AND '{SLICE[1]}'), {lr}", f"SELECT ticker, ts, {r('close', 'close')}, {r('lr', 'lr')} FROM lr"),
-    "stream_connector": q(brand, f"SELECT ticker, ts, {', '.join(r(x, x) for x in ('open', 'high', 'low', 'close', 'volume'))} FROM bars"),
+    "stream_connector": q(brand, f"SELECT {ALL} FROM bars"),
     "ffill_locf": q(basket, f"SELECT ticker, ts, {r('close', 'close')} FROM panel"),
     "basket_returns": q(basket, f"SELECT ts, ticker, {r('ret', 'ret')} FROM ret"),
     "latest_rows": q(f"{brand}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS k FROM bars)", f"SELECT ticker, {r('max(CASE WHEN k = 1 THEN close END)', 'last_close')}, {r('max(CASE WHEN k = 2 THEN close END)', 'previous_close')}, {r('arg_min(close, ts)', 'first_close')} FROM k GROUP BY ticker"),

@@ -66,7 +66,7 @@ def stream_connector(spark: SparkSession, d: str) -> DataFrame:
     for part in (F.col("ts") < M.PIVOT, F.col("ts") >= M.PIVOT):
         C.export_store(own.where(part), f"{at}/store", "append")
         K.run_to_table(spark.readStream.format(C.FORMAT).option("settle", "0").load(f"{at}/store"), f"{at}/out", f"{at}/state")
-    return M.r6(spark.read.schema(B.SCHEMA).parquet(f"{at}/out"))
+    return spark.read.schema(B.SCHEMA).parquet(f"{at}/out")
 
 
 QUERIES = {"stream_connector": stream_connector, "stream_bars": stream_bars, "stream_hysteresis": stream_hysteresis, "stream_hysteresis_reset": stream_hysteresis_reset}

@@ -36,6 +36,8 @@ from .bars import DATE_NAMES, PRICE_NAMES, SCHEMA, canonical
 
 FORMAT = "tidemark_bars"
 PAGE_BYTES = 64 << 20
+#: Files that a page holds at most: opening one counts as this part of a page.
+FILES = 16
 #: What Spark names the folder of a null key.
 NULL_KEY = "__HIVE_DEFAULT_PARTITION__"
 ARROW = pa.schema([("ticker", pa.string()), ("ts", pa.date32()), *((n, pa.float64()) for n in PRICE_NAMES)])
@@ -120,12 +122,13 @@ def pages(root: str, found: list, size: int) -> list[Page]:
     out, room = [], 0
     for x, keys in found:
         n = -(-x.size // size) if x.extension == "parquet" else 1
-        for k in range(max(1, n)):
-            if not out or room < x.size / max(1, n):
+        cost = max(x.size / n, size / FILES)
+        for k in range(n):
+            if not out or room < cost:
                 out.append(Page(root, []))
                 room = size
-            out[-1].pieces.append(Piece(x.path, keys, k, max(1, n)))
-            room -= x.size / max(1, n)
+            out[-1].pieces.append(Piece(x.path, keys, k, n))
+            room -= cost
     return out
 
 
