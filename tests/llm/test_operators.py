@@ -190,6 +190,22 @@ def test_jaccard_links_appended_words(spark):
     assert {r[0]: (r[1], r[2]) for r in jaccard.similar(docs).select("doc_id", "n", "component").collect()} == brute.components(rows)
 
 
+def test_jaccard_makes_pairs_of_near_copies_once(spark):
+    rng, rows = random.Random(12), []
+    for run in range(30):  # near copies: 30 groups of much the same 40 sets, of two components
+        rows += [(run, k, True if k % 3 else None, k % 2) for k in range(40) if k != rng.randrange(40)]
+    rows += [(99, k, True if k == 7 else None, k) for k in (7, 8, *range(100, 400))]  # and a frequent line that one set looks at
+    groups = spark.createDataFrame(rows, "run bigint, node bigint, seeks boolean, label bigint")
+    sketches = [F.lit(0).cast("bigint").alias(f"p{k}") for k in range(jaccard.SKETCH)]
+    members = jaccard.merged(groups).select("*", F.lit(300).cast("bigint").alias("n"), *sketches, F.lit(None).cast("array<bigint>").alias("fine"))
+    got = [tuple(r) for r in jaccard.crossing(members, 80).collect()]
+    by_run = collections.defaultdict(list)
+    for r in rows:
+        by_run[r[0]].append(r[1:])
+    want = {(min(x, y), max(x, y)) for own in by_run.values() for x, seeks, k in own for y, _, m in own if seeks and k != m}
+    assert set(got) == want and len(got) <= 2 * len(want)
+
+
 def test_jaccard_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, "q r s t u v")], "doc_id bigint, text string")
     assert sorted(((r[0], r[2]) for r in jaccard.similar(docs).select("doc_id", "n", "component").collect()), key=repr) == sorted([(None, 3), (3, 3), (None, None)], key=repr)

@@ -16,7 +16,9 @@ set looks for partners go on, so a frequent line, which few sets need to spend o
 
 From these groups: (1) every member with the group's first set, verified on the exact sets;
 components of these links; (2) the sets that look for partners with members of other components
-that sizes and parity sketches do not rule out.  Pairs inside a component need no check.
+that sizes and parity sketches do not rule out.  Pairs inside a component need no check.  Near copies
+share many groups with much the same members: for (2) such groups are merged where their union costs
+fewer comparisons than each of them alone, so that a pair is made about once, not once a group.
 
 Rows: null, empty and wordless texts have no shingles and link with nothing.  Texts of fewer words
 than a shingle are one shingle.  Equal sets are one set throughout, so copies never pair up.
@@ -139,10 +141,13 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 #: 64-bit words of a set's parity sketch: each shingle flips one bit, so the bits that two sketches
 #: differ in are no more than the shingles that their sets differ in.
 SKETCH = 8
+#: Sets of more shingles than ``FINE_FROM`` have a second, longer sketch: in the short one their flips overlap.
+FINE = 64
+FINE_FROM = 200
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    bits = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+def parity(shingles: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    bits = np.bincount((shingles & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -153,16 +158,20 @@ def node_of(n: int, s1: int, s2: int) -> int:
 
 
 def set_table(rows: DataFrame, size: int) -> DataFrame:
-    """(id, key, h, n, node, p0 …) for rows (id, key, h, raw): the set's size, name and sketch."""
+    """(id, key, h, n, node, p0 …, fine) for rows (id, key, h, raw): the set's size, name and sketches."""
 
     def work(batches):
         for batch in batches:
             for piece in C.pieces(batch, "raw", CHUNK):
-                sets = np.array([(len(x), node_of(len(x), *set_key(x)), *parity(x)) for x in shingle_sets(*C.flat(piece.column("raw")), size)], np.int64).reshape(-1, len(names))
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("key"), piece.column("h"), *(pa.array(np.ascontiguousarray(c)) for c in sets.T)], names=["id", "key", "h", *names])
+                sets, fine = [], []
+                for x in shingle_sets(*C.flat(piece.column("raw")), size):
+                    sets.append((len(x), node_of(len(x), *set_key(x)), *parity(x)))
+                    fine.append(parity(x, FINE) if len(x) > FINE_FROM else None)
+                sets = np.array(sets, np.int64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("key"), piece.column("h"), *(pa.array(np.ascontiguousarray(c)) for c in sets.T), pa.array(fine, pa.list_(pa.int64()))], names=["id", "key", "h", *names, "fine"])
 
     names = ["n", "node", *(f"p{k}" for k in range(SKETCH))]
-    return C.mapped(rows, work, f"id bigint, key {rows.schema['key'].dataType.simpleString()}, h bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return C.mapped(rows, work, f"id bigint, key {rows.schema['key'].dataType.simpleString()}, h bigint, " + ", ".join(f"{n} bigint" for n in names) + ", fine array<bigint>")
 
 
 #: What comes from the tasks of the signatures: members (run, node) of groups, and for each set what it may spend there.
@@ -343,10 +352,42 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, thr
     return C.mapped(both.select("a", "b", "raw_a", "raw_b"), work, "a bigint, b bigint").distinct()
 
 
+def merged(groups: DataFrame) -> DataFrame:
+    """(group, kind, node, seeks, label): the groups (run, node, seeks, label) that hold several labels, each
+    merged with those of the same commonest label and about its size where the union costs no more
+    comparisons than they do alone.  Every pair that shares a run shares a group."""
+    runs = groups.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.mode("label").alias("main"), F.count("*").alias("n"), F.count("seeks").alias("s"))
+    runs = runs.where("lo < hi").select("run", "main", F.floor(F.log2("n")).cast("int").alias("kind"), (F.col("n") * F.col("s")).alias("cost"))
+    open_runs = C.materialise(groups.join(runs, "run"), "open")
+    unions = open_runs.groupBy("main", "kind", "node").agg(F.max("seeks").alias("seeks"), F.first("label").alias("label"))
+    unions = C.materialise(unions, "unions")
+    alone = open_runs.select("run", "main", "kind", "cost").distinct().groupBy("main", "kind").agg(F.sum("cost").alias("cost"))
+    cheap = unions.groupBy("main", "kind").agg(F.count("*").alias("n"), F.count("seeks").alias("s")).join(alone, ["main", "kind"]).where(F.col("n") * F.col("s") <= F.col("cost")).select("main", "kind")
+    cheap = C.materialise(cheap, "cheap")
+    joined = unions.join(cheap, ["main", "kind"]).select(F.col("main").alias("group"), "kind", "node", "seeks", "label")
+    rest = open_runs.join(cheap, ["main", "kind"], "left_anti").select(F.col("run").alias("group"), F.lit(-1).alias("kind"), "node", "seeks", "label")
+    return joined.unionByName(rest)
+
+
+def crossing(members: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b, for members (group, kind, node, seeks, label, n, sketches): who looks for partners with those
+    of other labels that sizes and sketches do not rule out; once for each group that both are in."""
+    bits = [f"p{k}" for k in range(SKETCH)]
+    left = members.where("seeks").select("group", "kind", *(F.col(c).alias(f"a_{c}") for c in members.columns if c not in ("group", "kind")))
+    right = members.select(F.col("group").alias("other"), F.col("kind").alias("other_kind"), *(F.col(c).alias(f"b_{c}") for c in members.columns if c not in ("group", "kind")))
+    total = F.col("a_n") + F.col("b_n")
+    most = total - 2 * F.ceil(total * threshold / (100 + threshold))
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in bits[1:]), F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))))
+    apart = F.aggregate(F.zip_with("a_fine", "b_fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    once = F.col("b_seeks").isNull() | (F.col("a_node") < F.col("b_node"))
+    pairs = left.join(right, (F.col("group") == F.col("other")) & (F.col("kind") == F.col("other_kind")) & (F.col("a_label") != F.col("b_label")) & once & (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (differ <= most) & (F.coalesce(apart, F.lit(0)) <= most))
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
 def links(rows: DataFrame, sets: DataFrame, size: int, threshold: int) -> DataFrame:
     """(id, label): the components of nodes, where they have more than one."""
     bits = [f"p{k}" for k in range(SKETCH)]
-    nodes = C.materialise(sets.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "h")).alias("row"), F.first("n").alias("n"), *(F.first(p).alias(p) for p in bits)), "nodes")
+    nodes = C.materialise(sets.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "h")).alias("row"), F.first("n").alias("n"), *(F.first(p).alias(p) for p in (*bits, "fine"))), "nodes")
     met = C.materialise(meetings(rows, size, threshold, C.deal(rows, "raw")), "met")
     seeking = C.materialise(allocated(met), "seeking")
     groups = met.where("cost IS NULL").select("run", "node").distinct()
@@ -359,18 +400,10 @@ def links(rows: DataFrame, sets: DataFrame, size: int, threshold: int) -> DataFr
     first = C.materialise(verified(stars, rows, nodes, size, threshold).unionByName(several).distinct(), "links")
     labels = components(first)
     named = groups.join(labels.withColumnRenamed("id", "node"), "node", "left").select("run", "node", "seeks", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("run")
-    open_runs = C.materialise(named.join(mixed, "run").join(nodes.drop("row"), "node"), "open")
-    if open_runs.isEmpty():
+    members = C.materialise(merged(named).join(nodes.drop("row"), "node"), "members")
+    if members.isEmpty():
         return labels
-    left = open_runs.where("seeks").select("run", *(F.col(c).alias(f"a_{c}") for c in open_runs.columns if c != "run"))
-    right = open_runs.select(F.col("run").alias("other"), *(F.col(c).alias(f"b_{c}") for c in open_runs.columns if c != "run"))
-    total = F.col("a_n") + F.col("b_n")
-    most = total - 2 * F.ceil(total * threshold / (100 + threshold))
-    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in bits[1:]), F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))))
-    once = F.col("b_seeks").isNull() | (F.col("a_node") < F.col("b_node"))
-    pairs = left.join(right, (F.col("run") == F.col("other")) & (F.col("a_label") != F.col("b_label")) & once & (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (differ <= most))
-    cross = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    cross = crossing(members, threshold).distinct()
     cross = C.materialise(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     second = C.materialise(verified(cross, rows, nodes, size, threshold), "links2")
     if second.isEmpty():
