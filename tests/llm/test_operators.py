@@ -385,6 +385,20 @@ def test_passages_beside_fragments(spark, part):
     assert sum(got[i + 1] == got[i + 2] for i in range(0, 300, 3)) >= 98
 
 
+def test_passages_between_fragments(spark):
+    rng, texts = random.Random(15), []
+
+    def fresh(n):
+        return [f"e{rng.random()}" for _ in range(n)]
+
+    for _ in range(60):  # a fragment is the least document of the key, and another stands before the second that has all of the passage
+        own = fresh(50)
+        texts += [fresh(30) + part + fresh(30) for part in (own[:49], own, own[:49], own[1:], own[:49], own)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_passages"], r["class_id"]) for r in passages.passage_table(docs).collect()}
+    assert got == {i: (int(i % 6 in (1, 5)), i - 4 if i % 6 == 5 else i) for i in range(len(texts))}
+
+
 def test_passages_of_many_documents(spark):
     rng = random.Random(8)
 

@@ -14,7 +14,11 @@ A window is joined with the least document of its key, and with the least ones o
 after (before) the least one look the same.  Where these are no third document, it also meets
 the document before it.  These are up to three pairs a window, however many documents share a passage, mostly with
 the same documents under each key; and a document with a fragment of a passage does not stand between the others.  Leads are found among a
-task's own rows first; only these and the last of each key travel.  The pairs of one document pair are joined where their
+task's own rows first; only these and the last of each key travel.
+
+What the leads leave out is made up for after they are verified.  A key of three documents or more is
+settled if its documents are of one class and each has the key's place inside a passage.  In the others
+all pairs of documents meet that are of different classes, or one of which has no passage there.  The pairs of one document pair are joined where their
 intervals overlap and verified on the texts: passages of ``WORDS`` words or more with a Jaccard similarity
 of 0.8 or more over five-word shingles.  Passages that a document repeats inside itself are not looked for.
 
@@ -119,8 +123,9 @@ def paired_windows(one: np.ndarray, two: np.ndarray, places: np.ndarray, width:
 BITS = 28
 LOW = (1 << BITS) - 1
 #: What goes to a task: packed windows (the bytes of their numbers, place by place), the ids that they name, and pairs.
-MEMBER = "dest int, ids binary, windows binary, pairs binary"
-PAIR = "a bigint, b bigint, wa bigint, wb bigint"
+MEMBER = "dest int, ids binary, windows binary, pairs binary, crowds binary"
+#: A pair of windows, or (place not null) a window of a crowded key: the key, its document, the window and the place of its least shingle.
+PAIR = "a bigint, b bigint, wa bigint, wb bigint, place bigint"
 #: How far from the least shingle those are that say what lies after and before it.
 NEAR = (1, 7, 14, 20)
 
@@ -177,6 +182,18 @@ def neighbours(key, sides, who, w):
     return np.stack([who[to], who[row], w[to], w[row]]), lead
 
 
+def crowded(key, who, crowd, own) -> np.ndarray:
+    """Those of the rows ``own`` whose key has three documents or more, or rows that stayed behind (``crowd``)."""
+    own = own[np.lexsort((who[own], key[own]))]
+    k, d = key[own], who[own]
+    if not len(own):
+        return own
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    new = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
+    ok = (np.add.reduceat(new.astype(np.int64), first) > 2) | (np.maximum.reduceat(crowd[own], first) > 0)
+    return own[np.repeat(ok, np.diff(np.append(first, len(own))))]
+
+
 def planes(*columns: np.ndarray) -> bytes:
     """The bytes of equally long arrays, place by place, so that what is mostly zero lies together; of the first, five."""
     return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1)[:, : None if k else 5].T).tobytes() for k, c in enumerate(columns))
@@ -214,17 +231,22 @@ def meetings(rows: DataFrame, width: int, hashes: int, tasks: int) -> DataFrame:
                             at = p + sign * k
                             side = C.mix(side + np.where((at >= begin) & (at < end), values[np.clip(at, 0, len(values) - 1)], np.uint64(0)))
                         sides.append((side >> np.uint64(56)).astype(np.uint8))
-                parts.append((key, *sides, doc, first, last))
+                parts.append((key, *sides, doc, first, last, p - begin))
             if not parts:
                 continue
-            key, after, before, doc, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, after, before, doc, first, last, least = (np.concatenate(x) for x in zip(*parts, strict=True))
             own = shared_keys(key)
             met, lead = neighbours(key[own], (after[own], before[own]), ids[doc[own]], ((first << BITS) | last)[own])
             met, travels = met.T, np.ones(len(key), bool)
             travels[own] = lead
-            key, after, before, doc, first, last = (x[travels] for x in (key, after, before, doc, first, last))
+            # what stays behind is a member of a crowded key; the rows of the key that travel tell the task that they meet in
+            stays = np.flatnonzero(~travels)
+            crowd = np.isin(key, key[stays]).astype(np.uint8)
+            name = ((key >> np.uint64(16)) * np.uint64(tasks) + key % np.uint64(tasks)).view(np.int64)
+            left = np.stack([name[stays], ids[doc[stays]], ((first << BITS) | last)[stays], least[stays]], axis=1)
+            key, after, before, doc, first, last, least, crowd = (x[travels] for x in (key, after, before, doc, first, last, least, crowd))
             out: dict[int, list] = {}
-            for column, at, rows in ((1, key % np.uint64(tasks), None), (3, (met[:, 0] ^ met[:, 1]) % tasks, met)):
+            for column, at, rows in ((1, key % np.uint64(tasks), None), (3, (met[:, 0] ^ met[:, 1]) % tasks, met), (4, left[:, 1] % tasks, left)):
                 order = np.argsort(at.astype(np.int64), kind="stable")
                 at = at.astype(np.int64)[order]
                 if not len(at):
@@ -232,37 +254,42 @@ def meetings(rows: DataFrame, width: int, hashes: int, tasks: int) -> DataFrame:
                 edges = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
                 for x, y in zip(edges, [*edges[1:], len(at)], strict=True):
                     own = order[x:y]
-                    row = out.setdefault(int(at[x]), [b"", b"", b""])
-                    if column == 3:
-                        row[2] = rows[own].astype("<i8").tobytes()
+                    row = out.setdefault(int(at[x]), [b"", b"", b"", b""])
+                    if column > 1:
+                        row[column - 1] = rows[own].astype("<i8").tobytes()
                     else:
                         used, place = np.unique(doc[own], return_inverse=True)
                         row[0] = ids[used].astype("<i8").tobytes()
-                        row[1] = planes((key[own] >> np.uint64(16)).astype("<u8"), after[own], before[own], place.astype("<u4"), first[own].astype("<u4"), (last - first)[own].astype("<u4"))
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), *(pa.array([v[k] for v in out.values()], pa.binary()) for k in range(3))], names=["dest", "ids", "windows", "pairs"])
+                        row[1] = planes((key[own] >> np.uint64(16)).astype("<u8"), after[own], before[own], crowd[own], (least - first)[own].astype("<u4"), place.astype("<u4"), first[own].astype("<u4"), (last - first)[own].astype("<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), *(pa.array([v[k] for v in out.values()], pa.binary()) for k in range(4))], names=["dest", "ids", "windows", "pairs", "crowds"])
 
-    def solve(held):
-        met = [np.frombuffer(x, "<i8").reshape(-1, 4).T for _, _, x in held]
-        windows = [(np.frombuffer(i, "<i8"), *from_planes(x, "<u8", "u1", "u1", "<u4", "<u4", "<u4")) for i, x, _ in held if x]
+    def solve(held, dest):
+        met = [np.frombuffer(x, "<i8").reshape(-1, 4).T for _, _, x, _ in held]
+        many = [np.frombuffer(x, "<i8").reshape(-1, 4).T for *_, x in held]
+        windows = [(np.frombuffer(i, "<i8"), *from_planes(x, "<u8", "u1", "u1", "u1", "<u4", "<u4", "<u4", "<u4")) for i, x, *_ in held if x]
         if windows:
-            key, after, before, who, w = (np.concatenate(x) for x in zip(*((k, a, b, i[d], (f.astype(np.int64) << BITS) | f + n.astype(np.int64)) for i, k, a, b, d, f, n in windows), strict=True))
+            key, after, before, crowd, least, who, w = (np.concatenate(x) for x in zip(*((k, a, b, c, f.astype(np.int64) + p, i[d], (f.astype(np.int64) << BITS) | f + n.astype(np.int64)) for i, k, a, b, c, p, d, f, n in windows), strict=True))
             del windows
             own = shared_keys(key)
             met.append(neighbours(key[own], (after[own], before[own]), who[own], w[own])[0])
-        met = np.concatenate(met, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in met], names=["a", "b", "wa", "wb"])
+            own = np.concatenate([own, np.setdiff1d(np.flatnonzero(crowd), own)])
+            own = crowded(key, who, crowd, own)
+            many.append(np.stack([(key[own] * np.uint64(tasks) + np.uint64(dest)).view(np.int64), who[own], w[own], least[own]]))
+        met, many = np.concatenate(met, axis=1), np.concatenate(many, axis=1)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in met), pa.nulls(met.shape[1], pa.int64())], names=["a", "b", "wa", "wb", "place"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in many[:3]), pa.nulls(many.shape[1], pa.int64()), pa.array(np.ascontiguousarray(many[3]))], names=["a", "b", "wa", "wb", "place"])
 
     def meet(batches):
         held, at = [], None
         for batch in batches:
             for dest, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and dest != at:
-                    yield solve(held)
+                    yield from solve(held, at)
                     held = []
                 at = dest
                 held.append(own)
         if held:
-            yield solve(held)
+            yield from solve(held, at)
 
     found = C.mapped(rows, index, MEMBER).repartition(tasks, "dest").sortWithinPartitions("dest")
     return C.mapped(found, meet, PAIR)
@@ -365,6 +392,25 @@ def sides_of(found: DataFrame) -> DataFrame:
     return found.select(F.col("a").alias("id"), F.col("first_a").alias("first"), F.col("end_a").alias("end")).unionByName(found.select(F.col("b").alias("id"), F.col("first_b").alias("first"), F.col("end_b").alias("end"))).distinct()
 
 
+def left_out(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, w): the pairs of documents a < b of each key that what was found does not settle; ``w`` has the
+    windows of a with the range that b's windows of the key span."""
+    labels = components(found.select("a", "b"))
+    spans = sides_of(found).groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    inside = F.coalesce(F.exists("spans", lambda x: (x["first"] <= F.col("place")) & (F.col("place") + SHINGLE <= x["end"])), F.lit(False))
+    state = members.join(labels, "id", "left").join(spans, "id", "left").select("key", "id", "w", F.coalesce("label", "id").alias("label"), inside.alias("inside"))
+    span = F.shiftleft(F.min(F.shiftright("w", BITS)), BITS).bitwiseOR(F.max(F.col("w").bitwiseAND(F.lit(LOW))))
+    state = C.materialise(state.groupBy("key", "id").agg(F.first("label").alias("label"), F.min("inside").alias("inside"), span.alias("span"), F.sort_array(F.collect_set("w")).alias("w")), "state")
+    keys = state.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("inside").alias("inside")).where("n > 2 AND (lo < hi OR NOT inside)").select("key")
+    state = C.materialise(state.join(keys, "key"), "unsettled")
+    one, two = (state.select(F.col("key").alias(f"key_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "inside", *own))) for x, own in (("a", ["w"]), ("b", ["span"])))
+    open_pair = (F.col("label_a") != F.col("label_b")) | ~F.col("inside_a") | ~F.col("inside_b")
+    pairs = one.join(two, (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & open_pair).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("w_a").alias("wa"), F.col("span_b").alias("wb"))
+    pairs = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("wa", "wb")).alias("of"))
+    each = F.transform("of", lambda o: F.transform(o["wa"], lambda w: F.struct(w.alias("wa"), o["wb"].alias("wb"))))
+    return pairs.select("a", "b", F.flatten(each).alias("w"))
+
+
 def shared(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, hashes: int = HASHES) -> DataFrame:
     """(a, b, first_a, end_a, first_b, end_b): verified passages, as word ranges of documents a < b."""
     body = C.text_of(text)
@@ -378,14 +424,19 @@ def shared(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
     # an id with several texts stands for itself
     several = named.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("id")
     equal = equal.join(several, "id", "left_anti").join(several.withColumnRenamed("id", "lead"), "lead", "left_anti")
-    pairs = meetings(rows, width, hashes, C.deal(rows, "raw")).groupBy("a", "b").agg(F.collect_set(F.struct("wa", "wb")).alias("w"))
+    met = C.materialise(meetings(rows, width, hashes, C.deal(rows, "raw")), "met")
+    members = met.where("place IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("wa").alias("w"), "place")
+    members = members.join(equal.select("id", "lead"), "id", "left").select("key", F.coalesce("lead", "id").alias("id"), "w", "place").distinct()
+    pairs = met.where("place IS NULL").groupBy("a", "b").agg(F.collect_set(F.struct("wa", "wb")).alias("w"))
     for x in "ab":
         pairs = pairs.join(equal.select(F.col("id").alias(x), F.col("lead").alias(f"lead_{x}")), x, "left").withColumn(x, F.coalesce(f"lead_{x}", x)).drop(f"lead_{x}")
     turned = F.transform("w", lambda v: F.struct(v["wb"].alias("wa"), v["wa"].alias("wb")))
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), turned).otherwise(F.col("w")).alias("w"))
     pairs = pairs.groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("w"))
     whole = equal.where(F.col("n") >= words).select(F.col("lead").alias("a"), F.col("id").alias("b"), F.lit(0).cast("bigint").alias("first_a"), F.col("n").cast("bigint").alias("end_a"), F.lit(0).cast("bigint").alias("first_b"), F.col("n").cast("bigint").alias("end_b"))
-    return verified(pairs, rows, width).unionByName(whole).distinct()
+    found = C.materialise(verified(pairs, rows, width).unionByName(whole).distinct(), "first")
+    rest = left_out(members, found)
+    return found.unionByName(verified(rest, rows, width)).distinct()
 
 
 def passage_table(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
