@@ -6,11 +6,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.llm import brute
+from tidemark.llm import common as C
 from tidemark.llm import decontaminate, jaccard, language, licenses, packing, passages, quality, sharding, suffix_dedup, urls
 
 RNG = random.Random(1)
@@ -416,6 +418,52 @@ def test_passages_of_many_documents(spark):
     assert sum(r["n_passages"] > 0 for r in rows) >= 392 and collections.Counter(r["class_id"] for r in rows).most_common(1)[0][1] >= 392
 
 
+def test_passages_beside_a_common_line(spark, monkeypatch):
+    rng, texts, sent = random.Random(21), [], []
+
+    def fresh(n):
+        return [f"g{rng.random()}" for _ in range(n)]
+
+    line, own = fresh(40), fresh(60)
+    for i in range(240):  # all hold a line too short for a passage, and some of them a passage around it
+        texts.append(fresh(80) + (own[:20] + line + own[20:] if i % 60 == 30 else line) + fresh(80))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    held = C.materialise
+
+    def watched(df, name):
+        out = held(df, name)
+        if name == "agreeing":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "materialise", watched)
+    got = {r["doc_id"]: (r["n_passages"], r["class_id"]) for r in passages.passage_table(docs).collect()}
+    assert got == {i: (int(i % 60 == 30), 30 if i % 60 == 30 else i) for i in range(240)}
+    assert sum(sent) <= 12 * len(texts)  # a few leads a document; all pairs would be 120 times the documents
+
+
+def test_passages_between_stretches():
+    rng, rows = random.Random(22), []
+
+    def fresh(n):
+        return [f"h{rng.random()}" for _ in range(n)]
+
+    own, line = fresh(90), fresh(30)
+    parts = [fresh(20) + own + fresh(9), fresh(3) + own + fresh(30), own[:49] + fresh(60), fresh(50) + line + fresh(50), fresh(50) + line + fresh(50), fresh(7) + own[:45] + fresh(1) + own[46:] + line]
+    for i, words in enumerate(parts):
+        rows.append({"hub": 0, "id": i, "label": i, "open": list(range(100, 100 + len(words))), "at": 100, "raw": " ".join(words).encode()})
+    found = passages.passages_between(pa.Table.from_pylist(rows), 46).to_pylist()
+    spans = collections.defaultdict(set)
+    for r in found:
+        spans[r["a"]].add((r["first_a"] - 100, r["end_a"] - 100))
+        spans[r["b"]].add((r["first_b"] - 100, r["end_b"] - 100))
+    assert spans == {0: {(20, 110)}, 1: {(3, 93)}, 5: {(7, 97)}}
+    first = collections.Counter()
+    for r in found:
+        first[r["a"], r["b"]] += 1
+    assert len(first) == len(found) >= 2  # each pair once, and all three are linked
+
+
 def test_passages_null_ids_and_extra_columns(spark):
     text = prose(80)
     docs = spark.createDataFrame([(None, text, "x"), (1, text, "y"), (2, "z " + text, "z")], "doc_id bigint, text string, id string")

@@ -28,6 +28,8 @@ and copies share their whole text; a null id is not compared and gets a row with
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -124,8 +126,8 @@ BITS = 28
 LOW = (1 << BITS) - 1
 #: What goes to a task: packed windows (the bytes of their numbers, place by place), the ids that they name, and pairs.
 MEMBER = "dest int, ids binary, windows binary, pairs binary, crowds binary"
-#: A pair of windows, or (place not null) a window of a crowded key: the key, its document, the window and the place of its least shingle.
-PAIR = "a bigint, b bigint, wa bigint, wb bigint, place bigint"
+#: The pairs of windows of two documents, or (crowd) the windows of a document in a crowded key: a is the key, b the document, wb the place of the least shingle.
+PAIR = "crowd boolean, a bigint, b bigint, w array<struct<wa: bigint, wb: bigint>>"
 #: How far from the least shingle those are that say what lies after and before it.
 NEAR = (1, 7, 14, 20)
 
@@ -194,6 +196,19 @@ def crowded(key, who, crowd, own) -> np.ndarray:
     return own[np.repeat(ok, np.diff(np.append(first, len(own))))]
 
 
+def listed(crowd: bool, table: np.ndarray) -> pa.RecordBatch:
+    """A row (``PAIR``) for each a and b of a table of four rows: a, b, and what ``w`` lists, each once."""
+    table = table[:, np.lexsort(table[::-1])]
+    new = np.ones(table.shape[1], bool)
+    new[1:] = (table[:, 1:] != table[:, :-1]).any(axis=0)
+    table = table[:, new]
+    first = np.ones(table.shape[1], bool)
+    first[1:] = (table[:2, 1:] != table[:2, :-1]).any(axis=0)
+    at = np.flatnonzero(first)
+    w = pa.ListArray.from_arrays(pa.array(np.append(at, table.shape[1]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in table[2:]], names=["wa", "wb"]))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), crowd)), pa.array(table[0, at]), pa.array(table[1, at]), w], names=["crowd", "a", "b", "w"])
+
+
 def planes(*columns: np.ndarray) -> bytes:
     """The bytes of equally long arrays, place by place, so that what is mostly zero lies together; of the first, five."""
     return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1)[:, : None if k else 5].T).tobytes() for k, c in enumerate(columns))
@@ -208,7 +223,7 @@ def from_planes(body: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def meetings(rows: DataFrame, width: int, hashes: int, tasks: int) -> DataFrame:
-    """(a, b, wa, wb): pairs of windows with a common key, of documents a < b."""
+    """The pairs of windows with a common key, of documents a < b, and the windows of crowded keys (``PAIR``)."""
 
     def index(batches):
         for batch in C.gather(batches, "raw", CHUNK):
@@ -276,8 +291,8 @@ def meetings(rows: DataFrame, width: int, hashes: int, tasks: int) -> DataFrame:
             own = crowded(key, who, crowd, own)
             many.append(np.stack([(key[own] * np.uint64(tasks) + np.uint64(dest)).view(np.int64), who[own], w[own], least[own]]))
         met, many = np.concatenate(met, axis=1), np.concatenate(many, axis=1)
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in met), pa.nulls(met.shape[1], pa.int64())], names=["a", "b", "wa", "wb", "place"])
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in many[:3]), pa.nulls(many.shape[1], pa.int64()), pa.array(np.ascontiguousarray(many[3]))], names=["a", "b", "wa", "wb", "place"])
+        yield listed(False, met)
+        yield listed(True, many)
 
     def meet(batches):
         held, at = [], None
@@ -297,8 +312,8 @@ def meetings(rows: DataFrame, width: int, hashes: int, tasks: int) -> DataFrame:
 
 def passages_of(x: np.ndarray, y: np.ndarray, least: int, gap: int = GAP, threshold: int = THRESHOLD) -> list[tuple[int, int, int, int]]:
     """Passages (first and end shingle in x, in y) of two runs of shingles that verify: stretches of
-    common shingles with small gaps, where they are similar enough as wholes, and else the runs of
-    equal shingles inside them."""
+    common shingles with small gaps, where they are similar enough as wholes, else the parts on either side
+    of their widest gap, and so on, and the runs of equal shingles inside what is left."""
     order = np.argsort(y, kind="stable")
     y_sorted = y[order]
     spot = np.searchsorted(y_sorted, x)
@@ -320,21 +335,32 @@ def passages_of(x: np.ndarray, y: np.ndarray, least: int, gap: int = GAP, thresh
 
     def parts(cut):
         cuts = np.flatnonzero(cut) + 1
-        return zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True)
-
-    out, done = [], np.zeros(len(at), bool)
-    for a, b in parts((np.diff(at) > gap) | (np.abs(np.diff(to)) > gap)):
+        return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True))
+
+    # so many shingles that occur once have two runs in common that verify
+    need = -(-2 * threshold * least // (100 + threshold)) if once else 1
+    wide = np.maximum(np.diff(at), np.abs(np.diff(to)))
+    out, done, todo = [], np.zeros(len(at), bool), parts(wide > gap)
+    while todo:
+        a, b = todo.pop()
         p, q = int(at[a]), int(at[b - 1]) + 1
+        if q - p < least or b - a < need:
+            continue
         u, v = int(to[a:b].min()), int(to[a:b].max()) + 1
-        if q - p >= least and v - u >= least:
-            if once:
-                inter, total = b - a, (q - p) + (v - u)
-            else:
-                own, other = np.unique(x[p:q]), np.unique(y[u:v])
-                inter, total = len(np.intersect1d(own, other, assume_unique=True)), len(own) + len(other)
-            if inter * 100 >= threshold * (total - inter):
-                out.append((p, q, u, v))
-                done[a:b] = True
+        if v - u < least:
+            continue
+        if once:
+            inter, total = b - a, (q - p) + (v - u)
+        else:
+            own, other = np.unique(x[p:q]), np.unique(y[u:v])
+            inter, total = len(np.intersect1d(own, other, assume_unique=True)), len(own) + len(other)
+        if inter * 100 >= threshold * (total - inter):
+            out.append((p, q, u, v))
+            done[a:b] = True
+        else:
+            k = a + int(wide[a : b - 1].argmax()) + 1
+            if wide[k - 1] > 1:
+                todo += [(a, k), (k, b)]
     for a, b in parts((np.diff(at) != 1) | (np.diff(to) != 1)):
         if b - a >= least and not done[a:b].all():
             out.append((int(at[a]), int(at[b - 1]) + 1, int(to[a]), int(to[b - 1]) + 1))
@@ -346,7 +372,7 @@ FOUND = "a bigint, b bigint, first_a bigint, end_a bigint, first_b bigint, end_b
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The passages (``FOUND``) around pairs of windows (a, b, w)."""
-    many = C.materialise(pairs, "agreeing")
+    many = C.materialise(pairs, "agreeing").where("a < b")
     both = many.join(texts.select(F.col("id").alias("a"), F.col("raw").alias("raw_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("raw").alias("raw_b")), "b")
 
     def side(batch, name):
@@ -393,22 +419,177 @@ def sides_of(found: DataFrame) -> DataFrame:
 
 
 def left_out(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b, w): the pairs of documents a < b of each key that what was found does not settle; ``w`` has the
-    windows of a with the range that b's windows of the key span."""
-    labels = components(found.select("a", "b"))
-    spans = sides_of(found).groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    inside = F.coalesce(F.exists("spans", lambda x: (x["first"] <= F.col("place")) & (F.col("place") + SHINGLE <= x["end"])), F.lit(False))
-    state = members.join(labels, "id", "left").join(spans, "id", "left").select("key", "id", "w", F.coalesce("label", "id").alias("label"), inside.alias("inside"))
-    span = F.shiftleft(F.min(F.shiftright("w", BITS)), BITS).bitwiseOR(F.max(F.col("w").bitwiseAND(F.lit(LOW))))
-    state = C.materialise(state.groupBy("key", "id").agg(F.first("label").alias("label"), F.min("inside").alias("inside"), span.alias("span"), F.sort_array(F.collect_set("w")).alias("w")), "state")
-    keys = state.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("inside").alias("inside")).where("n > 2 AND (lo < hi OR NOT inside)").select("key")
-    state = C.materialise(state.join(keys, "key"), "unsettled")
-    one, two = (state.select(F.col("key").alias(f"key_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "inside", *own))) for x, own in (("a", ["w"]), ("b", ["span"])))
-    open_pair = (F.col("label_a") != F.col("label_b")) | ~F.col("inside_a") | ~F.col("inside_b")
-    pairs = one.join(two, (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & open_pair).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("w_a").alias("wa"), F.col("span_b").alias("wb"))
-    pairs = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("wa", "wb")).alias("of"))
-    each = F.transform("of", lambda o: F.transform(o["wa"], lambda w: F.struct(w.alias("wa"), o["wb"].alias("wb"))))
-    return pairs.select("a", "b", F.flatten(each).alias("w"))
+    """(hub, id, label, open, w): the documents of each key that what was found does not settle, under the key's
+    least document (hub); ``w`` has the windows that a document has in the keys of a hub, ``open`` the places outside passages."""
+    sides = sides_of(found).groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    known = sides.join(components(found.select("a", "b")), "id")
+    bare = F.filter("w.wb", lambda at: ~F.coalesce(F.exists("spans", lambda x: (x["first"] <= at) & (at + SHINGLE <= x["end"])), F.lit(False)))
+    state = C.materialise(members.join(known, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), bare.alias("open"), F.col("w.wa").alias("w")), "state")
+    keys = state.groupBy("key").agg(F.count_distinct("id").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.size("open")).alias("bare"), F.min("id").alias("hub")).where("n > 2 AND (lo < hi OR bare > 0)").select("key", "hub")
+    own = state.join(keys, "key").groupBy("hub", "id").agg(F.first("label").alias("label"), *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("open", "w")))
+    return C.materialise(own, "unsettled")
+
+
+#: A stretch of a document's text: its first word's place, and the text itself.
+STRETCH = "hub bigint, id bigint, label bigint, open array<bigint>, at bigint, raw binary"
+
+
+def stretches(own: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The text around the windows of each row (``STRETCH``); those that touch are one."""
+
+    def cut(batches):
+        for batch in batches:
+            data, places = C.flat(batch.column("raw"))
+            starts, ends, at = C.spans(data, places, C.NOT_SPACE)
+            row, first, raw = [], [], []
+            for i, windows in enumerate(batch.column("w").to_pylist()):
+                n = int(at[i + 1] - at[i]) - SHINGLE + 1
+                joined: list[list[int]] = []
+                for lo, hi in sorted((max(0, (w >> BITS) - width), min(n, (w & LOW) + 1 + width)) for w in windows):
+                    if joined and lo <= joined[-1][1]:
+                        joined[-1][1] = max(joined[-1][1], hi)
+                    elif lo < hi:
+                        joined.append([lo, hi])
+                for lo, hi in joined:
+                    row.append(i)
+                    first.append(lo)
+                    raw.append(data[starts[at[i] + lo] : ends[at[i] + hi + SHINGLE - 2]].tobytes())
+            yield C.with_column(C.with_column(batch.select(["hub", "id", "label", "open"]).take(pa.array(row, pa.int64())), "at", pa.array(first, pa.int64())), "raw", pa.array(raw, pa.binary()))
+
+    return C.mapped(own.join(texts, "id").select("hub", "id", "label", "open", "w", "raw"), cut, STRETCH)
+
+
+def alike(values: np.ndarray, places: np.ndarray, least: int):
+    """(rows, first, part): rows of stretches that differ only in shingles that no other has, the place of the first
+    shingle that others have, and each row's shingles from there to the last such.  Rows too short for a passage are left out."""
+    code = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    row = np.repeat(np.arange(len(places) - 1), np.diff(places))
+    order = np.lexsort((row, code))
+    new = np.append(True, (code[order][1:] != code[order][:-1]) | (row[order][1:] != row[order][:-1]))[: len(order)]
+    others = np.bincount(code[order][new], minlength=1) > 1
+    distinct = np.bincount(row[order][new], minlength=len(places) - 1)  # of each row
+    has = np.bincount(row[order][new & others[code[order]]], minlength=len(places) - 1)
+    repeats = distinct < np.diff(places)
+    found: dict[bytes, list] = {}
+    for i in np.flatnonzero(np.where(repeats, has > 0, has * 100 >= THRESHOLD * least)).tolist():
+        own = code[places[i] : places[i + 1]]
+        at = np.flatnonzero(others[own])
+        part = own[at[0] : at[-1] + 1]
+        if len(part) < least:
+            continue
+        # shingles of its own count by the place where they come first
+        _, first, back = np.unique(part, return_index=True, return_inverse=True) if repeats[i] else (None, np.arange(len(part)), np.arange(len(part)))
+        found.setdefault(np.where(others[part], part, -1 - first[back]).tobytes(), []).append((i, int(at[0]), part))
+    return list(found.values())
+
+
+def passages_between(table: pa.Table, width: int) -> pa.Table:
+    """The passages (``FOUND``) of the stretches of one hub.  Stretches that differ in nothing that others have are
+    compared once for all of them; each of them then has a row with the first of the others'."""
+    raw = table.column("raw").combine_chunks()
+    values, places = shingled(*C.flat(raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw))
+    ids, label, at = (table.column(c).to_numpy() for c in ("id", "label", "at"))
+    bare = table.column("open").to_pylist()
+    kinds, out = alike(values, places, width), []
+    labels = [{int(label[i]) for i, *_ in k} for k in kinds]
+    sets = [np.unique(k[0][2]) for k in kinds]
+    members = [set(x.tolist()) for x in sets]
+    once = np.array([len(x) == len(k[0][2]) for x, k in zip(sets, kinds, strict=True)], bool)
+    # shingles in common that a passage needs: of two stretches without repeats, of one
+    both, one = -(-2 * THRESHOLD * width // (100 + THRESHOLD)), -(-THRESHOLD * width // 100)
+    class_of: dict[int, int] = {}
+    # the places of keys that no passage covers yet, and their shingles
+    bare = [{r: int(k[0][2][r]) for i, p, part in k for x in bare[i] if 0 <= (r := x - int(at[i]) - p) < len(part)} for k in kinds]
+
+    def least_of(x):
+        while (to := class_of.get(x, x)) != x:
+            class_of[x] = x = class_of.get(to, to)
+        return x
+
+    mark = np.zeros(int(max((x[-1] for x in sets), default=0)) + 1, bool)
+
+    def reach(i, j):
+        """Where passages of i with j may lie: stretches of common shingles, with small gaps, that are long enough."""
+        mark[sets[j]] = True
+        at = np.flatnonzero(mark[kinds[i][0][2]])
+        mark[sets[j]] = False
+        cut = np.flatnonzero(np.diff(at) > GAP) + 1
+        lo, hi = np.append(0, cut), np.append(cut, len(at))
+        if not len(at):
+            return []
+        first, end = at[lo], at[hi - 1] + 1
+        ok = (end - first >= width) & (hi - lo >= (both if once[i] and once[j] else 1))
+        return list(zip(first[ok].tolist(), end[ok].tolist(), strict=True))
+
+    def settled(i, j):
+        """Whether two kinds can't have a passage, or are of one class and can't have one over a place that no passage covers yet."""
+        if len({least_of(x) for x in labels[i] | labels[j]}) > 1:
+            return not reach(i, j)
+        return not any(
+            p <= r < q for x, y in ((i, j), (j, i)) if not members[y].isdisjoint(bare[x].values()) for p, q in reach(x, y) for r in bare[x]
+        )
+
+    def cover(i, p, q):
+        bare[i] = {r: x for r, x in bare[i].items() if not p <= r < q}
+
+    def tell(one, two, spans):
+        (i, p, _), (j, q, _) = one, two
+        if ids[i] == ids[j]:
+            return
+        class_of[least_of(int(label[i]))] = least_of(int(label[j]))
+        for s, e, m, n in spans:
+            x = (int(ids[i]), int(at[i]) + p + s, int(at[i]) + p + e + SHINGLE - 1)
+            y = (int(ids[j]), int(at[j]) + q + m, int(at[j]) + q + n + SHINGLE - 1)
+            x, y = min(x, y), max(x, y)
+            out.append((x[0], y[0], *x[1:], *y[1:]))
+
+    def compare(i, j):
+        one, two = kinds[i], kinds[j]
+        spans = passages_of(one[0][2], two[i == j][2], width)
+        if not spans:
+            return
+        for x in one[i == j :]:
+            tell(x, two[0], spans)
+        for y in two[1:] if i != j else ():
+            tell(one[0], y, spans)
+        # rows of one document are not compared, so only kinds of different documents count as covered
+        if len({int(ids[k]) for k, *_ in one} | {int(ids[k]) for k, *_ in two}) == len(one) + len(two) * (i != j):
+            for s, e, m, n in spans:
+                cover(i, s, e)
+                cover(j, m, n)
+
+    for i in range(len(kinds)):
+        if len(kinds[i]) > 1 and not settled(i, i):
+            compare(i, i)
+    # the kinds of each shingle
+    code = np.concatenate([np.zeros(0, np.int64), *sets])
+    kind = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(code, kind="stable")
+    code, kind = code[order], kind[order]
+    for i, own in enumerate(sets):
+        lo, hi = np.searchsorted(code, own, "left"), np.searchsorted(code, own, "right")
+        n = hi - lo
+        near = kind[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        common = np.bincount(near[near > i], minlength=len(sets))
+        for j in np.flatnonzero(common >= (np.where(once, both, one) if once[i] else np.where(once, one, 1))).tolist():
+            if not settled(i, j):
+                compare(i, j)
+    return pa.table({n: pa.array([o[k] for o in out], pa.int64()) for k, n in enumerate(("a", "b", "first_a", "end_a", "first_b", "end_b"))})
+
+
+@contextmanager
+def filtered(spark):
+    """Inside, the rows of a large table that a join has no use for are mostly dropped before they are shuffled (Spark's
+    runtime Bloom filters, which leave tables of less than 10 GB alone)."""
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    held = {name + k: spark.conf.get(name + k) for k in ("enabled", "applicationSideScanSizeThreshold", "creationSideThreshold")}
+    try:
+        for key, value in zip(held, ("true", "0", "1t"), strict=True):
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
 
 
 def shared(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, hashes: int = HASHES) -> DataFrame:
@@ -424,19 +605,22 @@ def shared(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
     # an id with several texts stands for itself
     several = named.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("id")
     equal = equal.join(several, "id", "left_anti").join(several.withColumnRenamed("id", "lead"), "lead", "left_anti")
-    met = C.materialise(meetings(rows, width, hashes, C.deal(rows, "raw")), "met")
-    members = met.where("place IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("wa").alias("w"), "place")
-    members = members.join(equal.select("id", "lead"), "id", "left").select("key", F.coalesce("lead", "id").alias("id"), "w", "place").distinct()
-    pairs = met.where("place IS NULL").groupBy("a", "b").agg(F.collect_set(F.struct("wa", "wb")).alias("w"))
+    tasks = C.deal(rows, "raw")
+    met = C.materialise(meetings(rows, width, hashes, tasks), "met")
+    # a copy's keys are those of its lead
+    members = met.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("id"), "w").join(equal.select("id"), "id", "left_anti")
+    pairs = met.where("NOT crowd").groupBy("a", "b").agg(F.flatten(F.collect_list("w")).alias("w"))
     for x in "ab":
         pairs = pairs.join(equal.select(F.col("id").alias(x), F.col("lead").alias(f"lead_{x}")), x, "left").withColumn(x, F.coalesce(f"lead_{x}", x)).drop(f"lead_{x}")
     turned = F.transform("w", lambda v: F.struct(v["wb"].alias("wa"), v["wa"].alias("wb")))
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), turned).otherwise(F.col("w")).alias("w"))
-    pairs = pairs.groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("w"))
+    pairs = pairs.groupBy("a", "b").agg(F.flatten(F.collect_set("w")).alias("w"))
     whole = equal.where(F.col("n") >= words).select(F.col("lead").alias("a"), F.col("id").alias("b"), F.lit(0).cast("bigint").alias("first_a"), F.col("n").cast("bigint").alias("end_a"), F.lit(0).cast("bigint").alias("first_b"), F.col("n").cast("bigint").alias("end_b"))
-    found = C.materialise(verified(pairs, rows, width).unionByName(whole).distinct(), "first")
-    rest = left_out(members, found)
-    return found.unionByName(verified(rest, rows, width)).distinct()
+    with filtered(docs.sparkSession):
+        found = C.materialise(verified(pairs, rows, width).unionByName(whole).distinct(), "first")
+        near = stretches(left_out(members, found).where("hub <= id"), rows, width).repartition(tasks, "hub")
+        rest = C.materialise(near.groupBy("hub").applyInArrow(lambda table: passages_between(table, width), FOUND), "rest")
+    return found.unionByName(rest).distinct()
 
 
 def passage_table(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
