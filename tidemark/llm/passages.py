@@ -17,8 +17,8 @@ the same documents under each key; and a document with a fragment of a passage d
 task's own rows first; only these and the last of each key travel.
 
 What the leads leave out is made up for after they are verified.  A key of three documents or more is
-settled if its documents are of one class and each has the key's place inside a passage.  In the others
-all pairs of documents meet that are of different classes, or one of which has no passage there.  The pairs of one document pair are joined where their
+settled if its documents are of one class and each has the key's place inside a passage.  The others
+go to their least document (hub) as stretches of text, where those meet that are of different classes or have no passage there.  The pairs of one document pair are joined where their
 intervals overlap and verified on the texts: passages of ``WORDS`` words or more with a Jaccard similarity
 of 0.8 or more over five-word shingles.  Passages that a document repeats inside itself are not looked for.
 
