@@ -1,6 +1,7 @@
 """Each operator against brute force on the smallest tables and on odd rows: nulls, empty and long texts, ties, repeats, extra columns."""
 
 import collections
+import itertools
 import random
 import zlib
 
@@ -464,6 +465,68 @@ def test_passages_between_stretches():
     assert len(first) == len(found) >= 2  # each pair once, and all three are linked
 
 
+def near_copies(rng, n, words, edits):
+    """Texts of one, each with about one word in ``edits`` replaced, left out or doubled by another."""
+    base, out = [f"w{i}" for i in range(words)], []
+    for _ in range(n):
+        own = []
+        for w in base:
+            kind = rng.integers(3) if rng.random() < 1 / edits else None
+            own += [w] if kind is None else [] if kind == 0 else [f"e{rng.integers(60)}"] if kind == 1 else [w, f"e{rng.integers(60)}"]
+        out.append(own)
+    return out
+
+
+def test_places_that_a_passage_can_cover_are_covered():
+    rng = np.random.default_rng(3)
+    texts = near_copies(rng, 30, 170, 30)
+    rows = [{"hub": 0, "id": i, "label": 0, "open": list(range(len(t) - 4)), "at": 0, "raw": " ".join(t).encode()} for i, t in enumerate(texts)]
+    got = collections.defaultdict(set)
+    for r in passages.passages_between(pa.Table.from_pylist(rows), 46).to_pylist():
+        got[r["a"]] |= set(range(r["first_a"], r["end_a"] - 4))
+        got[r["b"]] |= set(range(r["first_b"], r["end_b"] - 4))
+    shingles = [[tuple(t[k : k + 5]) for k in range(len(t) - 4)] for t in texts]
+    assert all(len(set(x)) == len(x) for x in shingles)
+    want, whole = collections.defaultdict(set), 0
+    for i, j in itertools.permutations(range(len(texts)), 2):
+        spot = {v: k for k, v in enumerate(shingles[j])}
+        at = np.array([k for k, v in enumerate(shingles[i]) if v in spot])
+        to = np.array([spot[shingles[i][k]] for k in at])
+        part = np.cumsum(np.append(0, (np.diff(at) > 8) | (np.abs(np.diff(to)) > 8)))
+        n, x, y = np.arange(len(at)), at[None] - at[:, None] + 1, to[None] - to[:, None] + 1
+        common = n[None] - n[:, None] + 1
+        for a, b in np.argwhere((part[None] == part[:, None]) & (x >= 46) & (y >= 46) & (100 * common >= 80 * (x + y - common))).tolist():
+            want[i] |= set(at[a : b + 1].tolist())
+    for i, x in enumerate(shingles):
+        assert want[i] <= got[i]
+        whole += len(want[i]) > len(x) - 20
+    assert 3 < whole < 27  # of some all places can be covered, of others not
+
+
+def test_near_copies_are_not_compared_in_all_pairs(monkeypatch):
+    rng, counted = np.random.default_rng(5), []
+    known = {n: getattr(passages, n) for n in ("passages_of", "widest") if hasattr(passages, n)}
+    for name, work in known.items():
+        monkeypatch.setattr(passages, name, lambda *x, work=work: counted.append(1) or work(*x))
+    for n in (200, 800):
+        rows = [{"hub": 0, "id": i, "label": 0 if i % 10 else i, "open": sorted(rng.integers(0, 150, 3).tolist()), "at": 0, "raw": " ".join(t).encode()} for i, t in enumerate(near_copies(rng, n, 170, 22))]
+        counted.clear()
+        found = passages.passages_between(pa.Table.from_pylist(rows), 46)
+        # all pairs are 19,900 and 319,600
+        assert len(counted) < 20 * n and n / 10 - 2 < len(found) < 5 * n
+
+
+def test_passages_of_repeats_from_either_side():
+    def run(*parts):
+        return " ".join(" ".join([w] * n) for w, n in parts).encode()
+
+    one, two = run(("a", 27), ("b", 27), ("c", 27), ("d", 27)), run(("c", 71), ("d", 71))
+    for turned in (False, True):
+        texts = [two, one] if turned else [one, two]
+        rows = [{"hub": 0, "id": i, "label": i, "open": [], "at": 0, "raw": t} for i, t in enumerate(texts)]
+        assert {(r["a"], r["b"]) for r in passages.passages_between(pa.Table.from_pylist(rows), 46).to_pylist()} == {(0, 1)}
+
+
 def test_passages_null_ids_and_extra_columns(spark):
     text = prose(80)
     docs = spark.createDataFrame([(None, text, "x"), (1, text, "y"), (2, "z " + text, "z")], "doc_id bigint, text string, id string")

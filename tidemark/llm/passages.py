@@ -323,14 +323,16 @@ def passages_of(x: np.ndarray, y: np.ndarray, least: int, gap: int = GAP, thresh
         return []
     to = order[spot[at]]
     x_sorted = np.sort(x)
-    once = not (y_sorted[1:] == y_sorted[:-1]).any() and not (x_sorted[1:] == x_sorted[:-1]).any()
+    again = [np.unique(z[1:][z[1:] == z[:-1]]) for z in (x_sorted, y_sorted)]
+    once = not len(again[0]) and not len(again[1])
     if not once:
+        # so many of the shingles before each place are repeated ones
+        many = [np.append(0, np.cumsum(np.isin(z, w))).tolist() if len(w) else [0] * (len(z) + 1) for z, w in zip((x, y), again, strict=True)]
         # a shingle that y repeats follows its predecessor where it can
-        place, next_y = to.tolist(), y.tolist()
-        for k, (p, v) in enumerate(zip(at.tolist(), x[at].tolist(), strict=True)):
-            if k and p == before + 1 and place[k - 1] + 1 < len(next_y) and next_y[place[k - 1] + 1] == v:
+        place, next_y, spots = to.tolist(), y.tolist(), at.tolist()
+        for k in np.flatnonzero(np.isin(x[at], again[1])).tolist():
+            if k and spots[k] == spots[k - 1] + 1 and place[k - 1] + 1 < len(next_y) and next_y[place[k - 1] + 1] == x[spots[k]]:
                 place[k] = place[k - 1] + 1
-            before = p
         to = np.array(place)
 
     def parts(cut):
@@ -349,7 +351,7 @@ def passages_of(x: np.ndarray, y: np.ndarray, least: int, gap: int = GAP, thresh
         u, v = int(to[a:b].min()), int(to[a:b].max()) + 1
         if v - u < least:
             continue
-        if once:
+        if once or (many[0][p] == many[0][q] and many[1][u] == many[1][v]):
             inter, total = b - a, (q - p) + (v - u)
         else:
             own, other = np.unique(x[p:q]), np.unique(y[u:v])
@@ -483,9 +485,113 @@ def alike(values: np.ndarray, places: np.ndarray, least: int):
     return list(found.values())
 
 
+def widest(at: np.ndarray, to: np.ndarray, k: int | None, least: int, threshold: int = THRESHOLD) -> list[tuple[int, int, int, int]]:
+    """The longest passage (over the k-th of them) of the common shingles of two stretches without repeats, whose places ``at`` and ``to`` both rise."""
+    # common ones count 100 less the threshold, each other of either side the threshold
+    n = np.arange(len(at))
+    score = 100 * n + threshold * (n - (at - at[0]) - (to - to[0]))
+    low, b = (np.minimum.accumulate(score), n) if k is None else (np.minimum.accumulate(score[: k + 1]), n[k:])
+    a = np.searchsorted(-low, -(score[b] + 100 - threshold))
+    a, b = a[a < len(low)], b[a < len(low)]
+    ok = (at[b] - at[a] >= least - 1) & (to[b] - to[a] >= least - 1)
+    if not ok.any():
+        return []
+    a, b = a[ok], b[ok]
+    j = int((at[b] - at[a]).argmax())
+    return [(int(at[a[j]]), int(at[b[j]]) + 1, int(to[a[j]]), int(to[b[j]]) + 1)]
+
+
+def hopes(x: np.ndarray, kind: np.ndarray, ends: np.ndarray, different: np.ndarray, count: np.ndarray, levels: list[int], width: int):
+    """For each shingle of flat stretches (``kind``; ``ends``: where each ends, ``different``: how many it has), in how many of the levels a passage over it is
+    still possible with a stretch that has none of its stretch's shingles that ``count`` or fewer have, for count in ``levels``;
+    and the number of the part (from the first level) that such passages can't leave.  Both for any stretch, and for one
+    without repeats if its own stretch is too.
+
+    At least ``THRESHOLD`` percent of the different shingles of a passage are common, and gaps between them are small."""
+    start = np.append(True, x[1:] != x[:-1])
+    start[np.append(0, ends[:-1])] = True
+    # repeats of a shingle in a row count once; where it comes again later, only gaps and lengths are looked at
+    first = np.flatnonzero(start)
+    end, own, often = np.append(first[1:], len(x)), kind[first], count[x[first]]
+    weight = np.where(np.bincount(own, minlength=len(ends)) == different, THRESHOLD, 0)[own]
+    far = 400 * (len(x) + 1)
+
+    def covered(at, price):
+        """The shingles inside a run that is long enough and has enough of what is at ``at``; ``price``: of the gap before each."""
+        cut = np.append(True, (own[at[1:]] != own[at[:-1]]) | (first[at[1:]] - end[at[:-1]] + 1 > GAP))
+        rest = np.cumsum(100 - weight[at] - np.where(cut, 0, weight[at] * np.diff(at, prepend=at[0] - 1) - weight[at] + price)) - np.cumsum(cut) * far
+        # the first place from which on enough is common; parts before are higher by ``far``
+        p, q = first[at[np.searchsorted(-np.minimum.accumulate(rest), -(rest + 100 - weight[at]))]], end[at]
+        ok = q - p >= width
+        return np.cumsum(np.bincount(p[ok], minlength=len(x) + 1) - np.bincount(q[ok], minlength=len(x) + 1))[:-1] > 0
+
+    def numbered(inside):
+        return np.cumsum(np.append(True, (inside[1:] != inside[:-1]) | (kind[1:] != kind[:-1])))
+
+    level, strict = np.zeros(len(x), np.int8), np.zeros(len(x), np.int8)
+    part = own_part = np.zeros(len(x), np.int64)
+    price = None
+    for k, limit in enumerate(levels):
+        at = np.flatnonzero(often > limit)
+        if not len(at) or not (inside := covered(at, 0)).any():
+            break
+        level += inside
+        price = price or prices(x, kind, count, np.diff(ends, prepend=0) == different, inside)
+        narrow = inside & covered(at, price(limit)[first[at]])
+        strict += narrow & (strict == k)
+        if not k:
+            part, own_part = numbered(inside), numbered(narrow)
+    return (level, part), (strict, own_part)
+
+
+def prices(x: np.ndarray, kind: np.ndarray, count: np.ndarray, once: np.ndarray, inside: np.ndarray):
+    """A function of a limit: at each shingle after a gap, what the gap between the shingles that more have costs at least besides its
+    own, in a passage with a stretch that has none of these: the shingles that stand between the two sides in the stretch where they
+    are nearest, or common ones given up.  All of a passage is ``inside``.  Zero in a stretch with repeats, or with shingles that come in both orders."""
+    size = int(x.max()) + 1
+    some = np.flatnonzero(inside & (count[x] > 1) & once[kind])
+    spans = []
+    for d in range(1, GAP + 1):
+        k = some[: np.searchsorted(some, len(x) - d)].astype(np.int32)
+        spans.append(k[(kind[k] == kind[k + d]) & inside[k + d] & (count[x[k + d]] > 1)])
+    found = [np.unique(x[k] * size + x[k + d]) for d, k in enumerate(spans, 1)]
+    keys, at = np.unique(np.concatenate(found), return_inverse=True)
+    # how far apart the two shingles of a key stand, a bit for each distance
+    apart = np.zeros(len(keys), np.int64)
+    np.bitwise_or.at(apart, at, np.repeat(1 << np.arange(1, GAP + 1), [len(f) for f in found]))
+    turned = np.isin(keys % size * size + keys // size, keys)
+    # the least distance in others: at the same one, what shingles of adjacent words have between them is equal too, and so no gap
+    bits = np.arange(1 << GAP + 1)
+    lowest = np.where(bits > 0, np.log2(np.maximum(bits & -bits, 1)).astype(np.int64), GAP + 1)
+    ordered, between = once.copy(), []
+    for d, k in enumerate(spans, 1):
+        spot = np.searchsorted(keys, x[k] * size + x[k + d])
+        ordered[kind[k[turned[spot]]]] = False
+        between.append((THRESHOLD * (lowest[apart[spot] & ~(1 << d if d <= SHINGLE else 0)] - 1)).astype(np.int32))
+
+    def price(limit):
+        common = count[x] > limit
+        gap = np.append(False, common[1:] & ~common[:-1] & (kind[1:] == kind[:-1]))
+        gaps, have, most = np.cumsum(gap, dtype=np.int32), np.cumsum(common, dtype=np.int32), np.iinfo(np.int64).max
+        out = np.where(gap, most, 0)
+        for d, (k, cost) in enumerate(zip(spans, between, strict=True), 1):
+            ok = (gaps[k + d] > gaps[k]) & common[k] & common[k + d]
+            k, cost = k[ok], cost[ok]
+            cost = (cost + 100 * (have[k + d] - have[k] - 1)) // (gaps[k + d] - gaps[k])
+            for e in range(1, d + 1):
+                inner = gap[k + e]
+                np.minimum.at(out, k[inner] + e, cost[inner])
+        return np.where((out < most) & ordered[kind], out, 0)
+
+    return price
+
+
 def passages_between(table: pa.Table, width: int) -> pa.Table:
     """The passages (``FOUND``) of the stretches of one hub.  Stretches that differ in nothing that others have are
-    compared once for all of them; each of them then has a row with the first of the others'."""
+    compared once for all of them; each of them then has a row with the first of the others'.
+
+    Two stretches are compared where they may join classes, or cover a place that no passage covers yet.  Where a stretch
+    has no passage by its commoner shingles alone (``hopes``), it is held only against those that share a rarer one."""
     raw = table.column("raw").combine_chunks()
     values, places = shingled(*C.flat(raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw))
     ids, label, at = (table.column(c).to_numpy() for c in ("id", "label", "at"))
@@ -493,7 +599,6 @@ def passages_between(table: pa.Table, width: int) -> pa.Table:
     kinds, out = alike(values, places, width), []
     labels = [{int(label[i]) for i, *_ in k} for k in kinds]
     sets = [np.unique(k[0][2]) for k in kinds]
-    members = [set(x.tolist()) for x in sets]
     once = np.array([len(x) == len(k[0][2]) for x, k in zip(sets, kinds, strict=True)], bool)
     # shingles in common that a passage needs: of two stretches without repeats, of one
     both, one = -(-2 * THRESHOLD * width // (100 + THRESHOLD)), -(-THRESHOLD * width // 100)
@@ -507,6 +612,7 @@ def passages_between(table: pa.Table, width: int) -> pa.Table:
         return x
 
     mark = np.zeros(int(max((x[-1] for x in sets), default=0)) + 1, bool)
+    spot = np.zeros(len(mark), np.int64)
 
     def reach(i, j):
         """Where passages of i with j may lie: stretches of common shingles, with small gaps, that are long enough."""
@@ -521,14 +627,6 @@ def passages_between(table: pa.Table, width: int) -> pa.Table:
         ok = (end - first >= width) & (hi - lo >= (both if once[i] and once[j] else 1))
         return list(zip(first[ok].tolist(), end[ok].tolist(), strict=True))
 
-    def settled(i, j):
-        """Whether two kinds can't have a passage, or are of one class and can't have one over a place that no passage covers yet."""
-        if len({least_of(x) for x in labels[i] | labels[j]}) > 1:
-            return not reach(i, j)
-        return not any(
-            p <= r < q for x, y in ((i, j), (j, i)) if not members[y].isdisjoint(bare[x].values()) for p, q in reach(x, y) for r in bare[x]
-        )
-
     def cover(i, p, q):
         bare[i] = {r: x for r, x in bare[i].items() if not p <= r < q}
 
@@ -543,9 +641,22 @@ def passages_between(table: pa.Table, width: int) -> pa.Table:
             x, y = min(x, y), max(x, y)
             out.append((x[0], y[0], *x[1:], *y[1:]))
 
+    compared = set()
+
     def compare(i, j):
+        i, j = min(i, j), max(i, j)
+        if (i, j) in compared:
+            return []
+        compared.add((i, j))
+        one, two = kinds[i][0][2], kinds[j][i == j][2]
+        spans = passages_of(one, two, width)
+        if not (once[i] and once[j]):  # what repeats is found from one side only
+            spans = list({*spans, *((u, v, p, q) for p, q, u, v in passages_of(two, one, width))})
+        keep(i, j, spans)
+        return spans
+
+    def keep(i, j, spans):
         one, two = kinds[i], kinds[j]
-        spans = passages_of(one[0][2], two[i == j][2], width)
         if not spans:
             return
         for x in one[i == j :]:
@@ -558,22 +669,131 @@ def passages_between(table: pa.Table, width: int) -> pa.Table:
                 cover(i, s, e)
                 cover(j, m, n)
 
+    def common_places(i, j):
+        """Places of the common shingles of two kinds without repeats, and bounds of the parts between large gaps."""
+        mark[sets[j]] = True
+        spot[kinds[j][0][2]] = np.arange(len(sets[j]))
+        at = np.flatnonzero(mark[kinds[i][0][2]])
+        mark[sets[j]] = False
+        to = spot[kinds[i][0][2][at]]
+        cuts = np.flatnonzero((np.diff(at) > GAP) | (np.abs(np.diff(to)) > GAP)) + 1
+        return at, to, [0, *cuts.tolist()], [*cuts.tolist(), len(at)]
+
+    def join(i, j):
+        """Whether two kinds have a passage."""
+        if not (once[i] and once[j]):
+            return bool(reach(i, j) and compare(i, j))
+        at, to, *bounds = common_places(i, j)
+        for lo, hi in zip(*bounds, strict=True):
+            if hi - lo >= both and at[hi - 1] + 1 - at[lo] >= width:
+                if (to[lo + 1 : hi] < to[lo : hi - 1]).any():
+                    if compare(i, j):
+                        return True
+                elif spans := widest(at[lo:hi], to[lo:hi], None, width):
+                    widen(i, j, spans[0])
+                    return True
+        return False
+
+    def widen(i, j, span):
+        """What a comparison finds, and the span (of i, of j) if it is not inside that."""
+        p, q, u, v = span if i <= j else (*span[2:], *span[:2])
+        if not any(a <= p and q <= b and c <= u and v <= d for a, b, c, d in compare(i, j)):
+            keep(min(i, j), max(i, j), [(p, q, u, v)])
+
+    def hold(i, j, r):
+        """Look for a passage of i with j over the place r of i."""
+        if once[i] and once[j]:
+            at, to, lo, hi = common_places(i, j)
+            k = int(np.searchsorted(at, r))
+            c = int(np.searchsorted(lo, k, "right")) - 1
+            lo, hi = lo[c], hi[c]
+            if at[hi - 1] + 1 - at[lo] < width:
+                return
+            if (to[lo + 1 : hi] > to[lo : hi - 1]).all():
+                for span in widest(at[lo:hi], to[lo:hi], k - lo, width):
+                    widen(i, j, span)
+                return
+        if (min(i, j), max(i, j)) not in compared and any(p <= r < q for p, q in reach(i, j)):
+            compare(i, j)
+
     for i in range(len(kinds)):
-        if len(kinds[i]) > 1 and not settled(i, i):
+        if len(kinds[i]) > 1 and (len({least_of(x) for x in labels[i]}) > 1 or bare[i]):
             compare(i, i)
+
     # the kinds of each shingle
-    code = np.concatenate([np.zeros(0, np.int64), *sets])
-    kind = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    order = np.argsort(code, kind="stable")
-    code, kind = code[order], kind[order]
-    for i, own in enumerate(sets):
-        lo, hi = np.searchsorted(code, own, "left"), np.searchsorted(code, own, "right")
-        n = hi - lo
-        near = kind[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        common = np.bincount(near[near > i], minlength=len(sets))
-        for j in np.flatnonzero(common >= (np.where(once, both, one) if once[i] else np.where(once, one, 1))).tolist():
-            if not settled(i, j):
-                compare(i, j)
+    x = np.concatenate([np.zeros(0, np.int64), *(k[0][2] for k in kinds)])
+    ends = np.cumsum([len(k[0][2]) for k in kinds], dtype=np.int64)
+    kind = np.repeat(np.arange(len(kinds)), [len(k[0][2]) for k in kinds])
+    order = np.argsort(x, kind="stable")
+    new = np.flatnonzero(np.append(True, (x[order][1:] != x[order][:-1]) | (kind[order][1:] != kind[order][:-1]))[: len(x)])
+    code, who = x[order][new], kind[order][new]
+    count = np.bincount(code, minlength=len(mark))
+    to = np.cumsum(count)
+    levels = [1]
+    while levels[-1] * 16 < count.max(initial=0):
+        levels.append(levels[-1] * 4)
+    # of any two stretches, and of two without repeats
+    ways = hopes(x, kind, ends, np.array([len(k) for k in sets]), count, levels, width) if len(x) else [(x, x)] * 2
+    top = [np.maximum.reduceat(w[order], new) if len(new) else w for w, _ in ways]
+    most_of = [np.maximum.reduceat(w, np.append(0, ends[:-1])) if len(x) else w for w, _ in ways]
+    # how common what is around a shingle is
+    near = np.append(0, np.cumsum(count[x]))
+    place = order[new]
+    common = near[np.minimum(place + width, ends[who])] - near[np.maximum(place - width, np.append(0, ends)[who])]
+
+    def having(shingles):
+        """Places in ``who`` of those that have the shingles."""
+        n = count[shingles]
+        return np.repeat(to[shingles] - np.cumsum(n), n) + np.arange(int(n.sum()))
+
+    def shared(i, where, most):
+        """Kinds that have one of the shingles of i there that ``most`` kinds have at most."""
+        own = np.unique(where)
+        return np.unique(who[having(own[(count[own] > 1) & (count[own] <= most)])])
+
+    # classes: those of the largest are not held against each other
+    of = np.array([least_of(min(k)) if len({least_of(x) for x in k}) == 1 else -1 - i for i, k in enumerate(labels)], np.int64)
+    names, size = np.unique(of, return_counts=True)
+    most = of == names[size.argmax()] if len(names) and names[size.argmax()] >= 0 else np.zeros(len(of), bool)
+    for i in np.flatnonzero(~most & (most_of[0] > 0)).tolist():
+        lo, hi = int(ends[i]) - len(kinds[i][0][2]), int(ends[i])
+        found = np.zeros(len(kinds), np.int64)
+        for way, (level, _) in enumerate(ways):
+            fit = once if way and once[i] else ~once if once[i] else ~once | once if not way else None
+            if fit is None or not most_of[way][i] or not fit.any():
+                continue
+            own = np.unique(x[lo:hi][level[lo:hi] > 0])
+            rare = shared(i, own, levels[min(int(most_of[way][i]), len(levels) - 1)])
+            found[rare[fit[rare]]] = 1
+            if most_of[way][i] == len(levels):
+                other = np.bincount(who[having(own)], minlength=len(kinds))
+                np.maximum(found, np.where(fit & (other >= (np.where(once, both, one) if once[i] else np.where(once, one, 1))) & (most_of[way] == len(levels)), other, 0), out=found)
+        order_of = np.flatnonzero(found)
+        found = order_of[np.argsort(-found[order_of], kind="stable")]
+        for j in found[most[found] | (found > i)].tolist():
+            if of[j] != of[i] and join(i, j):
+                old, now = (of[i], of[j]) if most[j] else (of[j], of[i])
+                if min(old, now) >= 0:
+                    of[of == old] = now
+    # places that no passage covers
+    for i in range(len(kinds)):
+        lo = int(ends[i]) - len(kinds[i][0][2])
+        for r, v in list(bare[i].items()):
+            if r not in bare[i]:
+                continue
+            here, ok = np.arange(to[v] - count[v], to[v]), np.zeros(int(count[v]), bool)
+            for way, (level, part) in enumerate(ways):
+                fit, deep = once[who[here]] if once[i] else way > 0, int(level[lo + r])
+                fit = here[fit if way else ~fit] if once[i] else here[:0] if way else here
+                if len(fit) and deep:
+                    own = x[lo : int(ends[i])][part[lo : int(ends[i])] == part[lo + r]]
+                    ok[fit - here[0]] = np.isin(who[fit], shared(i, own, levels[min(deep, len(levels) - 1)])) | ((top[way][fit] == len(levels)) & (deep == len(levels)))
+            here = here[ok]
+            for j in who[here[np.argsort(-common[here], kind="stable")]].tolist():
+                if j != i:
+                    hold(i, j, r)
+                    if r not in bare[i]:
+                        break
     return pa.table({n: pa.array([o[k] for o in out], pa.int64()) for k, n in enumerate(("a", "b", "first_a", "end_a", "first_b", "end_b"))})
 
 
